@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from noticeloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from noticeloom.llm.mixing import OP4_SQL, op4_mixing
+from noticeloom.llm.packing import op8_packing
 from noticeloom.llm.sharding import op1_sharding
+from noticeloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_packing": op8_packing,
 }
 SQL = {
     "op4_mixing": OP4_SQL,
