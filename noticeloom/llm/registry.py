@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from noticeloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from noticeloom.llm.license_scan import op2_license_scan
+from noticeloom.llm.media import op10_media
 from noticeloom.llm.mixing import OP4_SQL, op4_mixing
 from noticeloom.llm.packing import op8_packing
 from noticeloom.llm.sharding import op1_sharding
@@ -10,10 +12,12 @@ from noticeloom.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_license_scan": op2_license_scan,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op10_media": op10_media,
 }
 SQL = {
     "op4_mixing": OP4_SQL,
