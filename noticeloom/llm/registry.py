@@ -6,6 +6,7 @@ from noticeloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from noticeloom.llm.license_scan import op2_license_scan
 from noticeloom.llm.media import op10_media
 from noticeloom.llm.mixing import OP4_SQL, op4_mixing
+from noticeloom.llm.near_dedup import op9_near_dedup
 from noticeloom.llm.packing import op8_packing
 from noticeloom.llm.quality import op6_quality
 from noticeloom.llm.sharding import op1_sharding
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_media": op10_media,
 }
 SQL = {
