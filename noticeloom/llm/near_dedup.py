@@ -270,7 +270,8 @@ def near_groups(texts: DataFrame) -> DataFrame:
     least = tops.groupBy("label").agg(F.min("top").alias("least"))
     reached = saved(tops.join(least, "label").select(F.col("node").alias("digest"), "least"), "near-reached")
     alone = classes.select(F.col("id").alias("digest"), "top")
-    by_class = alone.join(reached, "digest", "left").select("digest", F.coalesce("least", "top").alias("component_id"))
+    # Written, so that the join below stands alone and adaptive execution can split a digest that a third of all rows have.
+    by_class = saved(alone.join(reached, "digest", "left").select("digest", F.coalesce("least", "top").alias("component_id")), "near-by-class")
     return (
         documents.join(by_class, "digest", "left")
         .select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
