@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -20,6 +21,11 @@ BRACKETS = r"[\[\]()〈〉<>「」『』【】]"
 EMPHASIS = r"\[\[/?(?:em|b)\]\]"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def replaced(c: Column, *steps: tuple[str, str]) -> Column:
     for pattern, by in steps:
         c = F.regexp_replace(c, F.lit(pattern), F.lit(by))
@@ -61,18 +67,18 @@ def strip_html(c: Column) -> Column:
 
 def _code_points(c: Column, pattern: str, radix: int) -> Column:
     """Numeric entities as characters; what is no character stays."""
-    entities = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
-    def character(i: Column) -> Column:
-        entity, digits = F.get(entities, i), F.regexp_replace(F.get(numbers, i), "^0+(?=.)", "")
+    def character(entity: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(entity, pattern, 1), "^0+(?=.)", "")
         code = F.when(F.length(digits) <= 7, F.conv(digits, radix, 10).cast("int"))
-        valid = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), entity, F.lit(""))
+        decoded = once(code, lambda n: F.when((n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        return F.coalesce(decoded, entity)
+
+    def joined(text: Column) -> Column:
+        entities = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), character)
+        return F.array_join(F.zip_with(F.split(text, pattern), entities, lambda part, char: F.concat(part, F.coalesce(char, F.lit("")))), "")
 
-    parts = F.split(c, pattern)
-    joined = F.array_join(F.transform(parts, lambda part, i: F.concat(part, character(i))), "")
-    return F.when(F.size(entities) > 0, joined).otherwise(c)
+    return once(c, lambda text: F.when(text.rlike(pattern), joined(text)).otherwise(text))
 
 
 def decode_entities(c: Column) -> Column:
@@ -82,10 +88,12 @@ def decode_entities(c: Column) -> Column:
 
 def strip_question_marks(c: Column) -> Column:
     """Question marks at the edges are traces of broken characters, but one stays after what ends like a question."""
-    c = replaced(c, (rf"^(?:\?{WS}*)+", ""))
-    base = replaced(c, (rf"(?:\?|{WS})+$", ""))
-    asks = base.rlike("(?:" + "|".join(QUESTION_ENDINGS) + ")$") & (F.substr(c, F.length(base) + 1, F.lit(1)) == "?")
-    return F.when(c.endswith("?"), F.concat(base, F.when(asks, F.lit("?")).otherwise(F.lit("")))).otherwise(c)
+
+    def stripped(text: Column) -> Column:
+        base = replaced(text, (rf"(?:\?|{WS})+$", ""))
+        return once(base, lambda b: F.when(b.rlike("(?:" + "|".join(QUESTION_ENDINGS) + ")$") & (F.substr(text, F.length(b) + 1, F.lit(1)) == "?"), F.concat(b, F.lit("?"))).otherwise(b))
+
+    return once(replaced(c, (rf"^(?:\?{WS}*)+", "")), lambda text: F.when(text.endswith("?"), stripped(text)).otherwise(text))
 
 
 def sanitize(c: Column) -> Column:
@@ -179,9 +187,8 @@ def dice(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def http_url(c: Column) -> Column:
     """The address if it is one of http or https (``www.`` counts as https), else null."""
-    value = trimmed(c)
-    full = F.when(value.rlike("(?i)^www[.]"), F.concat(F.lit("https://"), value)).otherwise(value)
-    return F.when(full.rlike("(?i)^https?://") & F.try_parse_url(full, F.lit("HOST")).isNotNull(), full)
+    full = F.regexp_replace(trimmed(c), "(?i)^(?=www[.])", "https://")
+    return once(full, lambda url: F.when(url.rlike("(?i)^https?://") & F.try_parse_url(url, F.lit("HOST")).isNotNull(), url))
 
 
 def host_in(url: Column, domains: list[str]) -> Column:

@@ -1,6 +1,6 @@
 """Notices, alerts and word rules made of the given tables, in Spark and in DuckDB's SQL.
 
-A document is a notice: its first line the title, its second the target, its whole text the summary. Word rules stand in
+A document is a notice: its first sentence or cell the title, its second the target, its whole text the summary. Word rules stand in
 for the domain's Korean ones, which are parameters of the operators.
 """
 
@@ -38,7 +38,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         (F.substring("source", 4, 9).cast("int") % 5 + 1).alias("source_id"),
         F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("source_key"),
-        F.get(lines, F.lit(0)).alias("title"),
+        F.regexp_extract("text", "^[^.!?|\n]*", 0).alias("title"),
         F.col("source").alias("organization"),
         F.col("lang").alias("region"),
         F.get(lines, F.lit(1)).alias("target"),
@@ -69,7 +69,7 @@ _HASH = lambda c: rf"lower(regexp_replace(regexp_replace(coalesce({c}, ''), '{WS
 NOTICES = rf"""
 WITH plain AS (
   SELECT doc_id AS id, CAST(substr(source, 4) AS INTEGER) % 5 + 1 AS source_id, 'k' || doc_id AS source_key,
-         string_split(text, chr(10))[1] AS title, source AS organization, lang AS region, string_split(text, chr(10))[2] AS target,
+         regexp_extract(text, '^[^.!?|\n]*') AS title, source AS organization, lang AS region, string_split(text, chr(10))[2] AS target,
          lang AS support_type, text AS summary,
          CASE WHEN doc_id % 3 <> 0 THEN DATE '{TODAY}' + CAST(n_chars % 40 - 60 AS INTEGER) END AS apply_start,
          CASE WHEN doc_id % 7 <> 0 THEN DATE '{TODAY}' + CAST(n_chars % 60 - 30 AS INTEGER) END AS apply_end,
