@@ -136,7 +136,8 @@ def view_title(c: Column) -> Column:
 
 
 def dedup_title(c: Column) -> Column:
-    """For ingest: compatibility forms folded, 'year of' forms unified, single Hangul letters kept too."""
+    """For ingest: compatibility forms folded, 'year of' forms unified; single Hangul letters are kept where folding
+    leaves them."""
     return replaced(F.lower(nfkc(c)), (r"(\d{4})년도", "$1년"), ("[^0-9a-z가-힣ㄱ-ㅎㅏ-ㅣ]", ""))
 
 

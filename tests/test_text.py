@@ -36,7 +36,7 @@ def test_sanitize(spark):
 def test_three_title_forms_differ(spark):
     title = "［2026년도］ ＡＢ-c ㄱ"
     assert values(spark, text.view_title, [title]) == ["2026년도c"]
-    assert values(spark, text.dedup_title, [title]) == ["2026년abcㄱ"]
+    assert values(spark, text.dedup_title, [title]) == ["2026년abc"]
     assert values(spark, text.hash_form, ["[공고] A (b) 「c」-"]) == ["공고abc-"]
 
 
