@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import dates
+from noticeloom.functions.scratch import written
 from noticeloom.functions.text import bigrams, dedup_title, dice, digit_signature, view_title
 from noticeloom.functions.values import FUZZY_DICE, MIN_CANONICAL
 
@@ -44,25 +45,28 @@ def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=
     exact = left.join(known.select("canonical").distinct(), "canonical", "left_semi").select("id", F.lit("exact").alias("how"))
 
     rest = left.join(exact.select("id"), "id", "left_anti").select("id", "canonical", "apply_end")
-    titles = rest.select("canonical").unionByName(known.select("canonical")).distinct()
-    parts = titles.select("canonical", F.length("canonical").alias("n"), digit_signature(F.col("canonical")).alias("digits"), F.explode(bigrams(F.col("canonical"))).alias("bigram"))
+    # Titles go by a digest, so that a row per bigram doesn't carry the title.
+    titles = rest.select("canonical", F.lit(1).alias("own")).unionByName(known.select("canonical", F.lit(0).alias("own")))
+    titles = titles.groupBy("canonical").agg(F.max("own").alias("own"), F.min("own").alias("theirs"))
+    titles = titles.select(F.md5(F.col("canonical").cast("binary")).alias("key"), "canonical", "own", (1 - F.col("theirs")).alias("theirs"), (F.length("canonical") - 1).alias("n"), digit_signature(F.col("canonical")).alias("digits"))
+    titles = written(titles, "titles")  # or the digits would be sought again for each bigram
+    parts = titles.select("key", "own", "theirs", "n", "digits", F.explode(bigrams(F.col("canonical"))).alias("bigram"))
     common = parts.groupBy("digits", "bigram").agg(F.count(F.lit(1)).alias("titles")).where("titles > 1")
-    rank = F.row_number().over(Window.partitionBy("canonical").orderBy("titles", "bigram"))
-    least = F.ceil((F.col("n") - 1) * F.lit(threshold / (2 - threshold)))
+    each = Window.partitionBy("key")
     # A bigram that no other title has comes first in the order and joins nothing: it only takes its place.
-    lone = F.col("n") - 1 - F.count(F.lit(1)).over(Window.partitionBy("canonical"))
-    prefix = parts.join(common, ["digits", "bigram"]).withColumn("place", rank + lone).where(F.col("place") <= F.col("n") - 1 - least + 1)
+    lone = F.col("n") - F.count(F.lit(1)).over(each)
+    place = F.row_number().over(each.orderBy("titles", "bigram")) + lone
+    least = F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)))
+    prefix = parts.join(common, ["digits", "bigram"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1)
     # Lengths of similar titles lie in the same band of a geometric scale, or in neighbouring ones.
-    band = F.floor(F.log(F.col("n") - 1) / F.log(F.lit((2 - threshold) / threshold))).cast("int")
-    prefix = prefix.select("canonical", "digits", "bigram", "n", band.alias("band"))
-    other = prefix.select(F.col("canonical").alias("k_title"), "digits", "bigram", F.col("n").alias("k_n"), "band")
-    prefix = prefix.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    fits = 2 * F.least(F.col("n") - 1, F.col("k_n") - 1) >= (F.col("n") + F.col("k_n") - 2) * threshold
-    own = rest.select("canonical").distinct()
-    theirs = known.select(F.col("canonical").alias("k_title")).distinct()
-    pairs = prefix.join(own, "canonical", "left_semi").join(other.join(theirs, "k_title", "left_semi"), ["digits", "band", "bigram"]).where(fits)
-    pairs = pairs.select("canonical", "k_title").distinct()
-    similar = pairs.where(dice(F.col("canonical"), F.col("k_title")) >= threshold)
+    band = F.floor(F.log("n") / F.log(F.lit((2 - threshold) / threshold))).cast("int")
+    prefix = written(prefix.withColumn("band", band), "title-prefixes")
+    other = prefix.where("theirs = 1").select(F.col("key").alias("k_key"), "digits", "band", "bigram", F.col("n").alias("k_n"))
+    near = prefix.where("own = 1").select("key", "n", "digits", "bigram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    fits = 2 * F.least("n", "k_n") >= (F.col("n") + F.col("k_n")) * threshold
+    pairs = near.join(other, ["digits", "band", "bigram"]).where(fits).select("key", "k_key").distinct()
+    pairs = pairs.join(titles.select("key", "canonical"), "key").join(titles.select(F.col("key").alias("k_key"), F.col("canonical").alias("k_title")), "k_key")
+    similar = pairs.where(dice(F.col("canonical"), F.col("k_title")) >= threshold).select("canonical", "k_title")
     ends = known.select(F.col("canonical").alias("k_title"), F.col("apply_end").alias("k_end"))
     may = F.col("apply_end").isNull() | F.col("k_end").isNull() | (F.col("apply_end") == F.col("k_end"))
     found = rest.join(similar, "canonical").join(ends, "k_title").where(may)
