@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,10 +47,11 @@ def first_text(*candidates: Column) -> Column:
 
 def contains_any(c: Column, keywords: list[str]) -> Column:
     """Whether the lower-cased text has one of the keywords; null has none."""
-    if not keywords:
-        return F.lit(False)
-    quoted = "|".join(r"\Q" + k.lower() + r"\E" for k in keywords)
-    return F.coalesce(F.lower(c).rlike(quoted), F.lit(False))
+    return F.coalesce(once(F.lower(c), lambda text: has_one(text, keywords)), F.lit(False))
+
+
+def has_one(text: Column, keywords: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(k.lower()) for k in keywords], F.lit(False))
 
 
 # -- HTML remains ----------------------------------------------------------------------------------------------------

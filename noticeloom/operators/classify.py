@@ -6,14 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeloom.functions import values as V
-from noticeloom.functions.text import contains_any
+from noticeloom.functions.text import contains_any, has_one, once
 
 
 def category_ids(title: Column, target: Column, support_type: Column, summary: Column, rules: dict[int, list[str]] = V.CATEGORY_KEYWORDS) -> Column:
     """Ids of all rules with a keyword in the joined text; none gives an empty array."""
-    text = F.concat_ws(" ", title, target, support_type, summary)
-    found = F.array(*[F.when(contains_any(text, words), F.lit(id_)) for id_, words in rules.items()])
-    return F.array_compact(found)
+    text = F.lower(F.concat_ws(" ", title, target, support_type, summary))
+    return F.array_compact(once(text, lambda t: F.array(*[F.when(has_one(t, words), F.lit(id_)) for id_, words in rules.items()])))
 
 
 def audience(columns: list[Column], keywords: list[str]) -> Column:
