@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -7,8 +8,9 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+import noticeloom.llm.token_counts as token_counts_module
 from noticeloom.llm.packing import best_fit, byte_ids, cut, pack
-from noticeloom.llm.token_counts import counter, op7_token_counts, prefix_counts, runs, token_counts
+from noticeloom.llm.token_counts import PrefixCounter, counter, op7_token_counts, prefix_counts, runs, token_counts
 from tests.llm.conftest import EDGES
 
 WORD, BYTE, RANKS = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
@@ -42,6 +44,47 @@ def test_budget_is_the_longest_prefix():
         assert chars == fits[-1]
 
 
+def library_prefixes(c, t):
+    return [len(c.tokenizer.encode(t[:i], add_special_tokens=False).ids) for i in range(1, len(t) + 1)]
+
+
+@pytest.mark.parametrize("bits, size", [("acgt", 400), ("a", 300), ("=", 300), ("=-_'<|!", 400), ("abcdefghijklmnopqrstuvwxyz", 400), ("éßaèñ한국中文", 200), ("😀😂🇺🇸", 150), ("haehlo", 300)])
+def test_prefixes_of_a_long_word(bits, size):
+    r = random.Random(size)
+    c = counter(WORD)
+    word = "".join(r.choice(bits) for _ in range(size))
+    t = f"so {word} it"
+    expected = library_prefixes(c, t)
+    assert np.concatenate(list(c.prefixes(t))).tolist() == expected
+    budgets = (0, 1, 2, 7, 30, 60, 1000)
+    assert c.answer(t, budgets) == (expected[-1], [max((i + 1 for i, n in enumerate(expected) if n <= b), default=0) for b in budgets])
+
+
+def test_a_long_run_takes_linear_time_and_is_not_kept(spark, frame):
+    r = random.Random(3)
+    long = ["=" * 100_000, "a" * 100_000, "".join(r.choice("acgt") for _ in range(100_000))]
+    c = PrefixCounter(WORD)
+    began = time.monotonic()
+    for t in long:
+        n, (fit,) = c.answer(t, (2048,))
+        assert n == len(c.tokenizer.encode(t, add_special_tokens=False).ids) > 2048
+        assert len(c.tokenizer.encode(t[:fit], add_special_tokens=False).ids) <= 2048 < len(c.tokenizer.encode(t[: fit + 1], add_special_tokens=False).ids)
+    assert np.concatenate(list(c.prefixes(long[2])))[-1] == n
+    assert time.monotonic() - began < 60
+    assert not c.counts and not c.tables
+    rows = token_counts(frame(list(enumerate(long))), WORD).collect()
+    assert sorted(row["n_tokens"] for row in rows) == sorted(c.answer(t, ())[0] for t in long)
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_counts_module, "CACHE_BYTES", 5_000)
+    c = PrefixCounter(WORD)
+    t = " ".join(f"word{i} thing{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    expected = len(c.tokenizer.encode(t, add_special_tokens=False).ids)
+    assert c.answer(t, (5,))[0] == expected == np.concatenate(list(c.prefixes(t)))[-1]
+    assert len(c.counts) + len(c.tables) < 30
+
+
 def test_runs_do_not_change_counts():
     t = "the quick  brown fox's\n" * 200
     assert "".join(runs(t, 100)) == t
