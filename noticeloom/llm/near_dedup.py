@@ -10,16 +10,18 @@
    Jaccard similarity of the full sets.
 4. Classes made of hot values mostly (families of thousands of near copies, texts that are little more than a passage that
    many share) are pairwise similar only if they share hot values, too. Each lists its rarest hot values, as many as a
-   similar one can't all miss; lists that have classes in common form a block. Blocks are searched exactly, in squares
-   of at most ``SQUARE`` by ``SQUARE`` classes: overlaps of sketches are one matrix product, and only pairs that the links
-   found so far in the square don't already join are verified. So a family of n costs about n verifications and links,
-   and no link that matters to the components is lost.
+   similar one can't all miss; lists that have classes in common form a block. Blocks are searched in squares of at most
+   about ``SQUARE`` by ``SQUARE`` classes, which carry ids, sizes and sketches only: overlaps of sketches are one matrix
+   product, and of the pairs that may be similar those are verified that join most. First parts of a block are searched
+   by themselves, then one class of each joined group, then squares of the parts whose classes aren't joined yet. So a
+   family of n costs about n verifications and links, and no link that matters to the components is lost.
 5. Components of the links give the groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -167,11 +169,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(work, "a binary, b binary")
 
 
-def square_links(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what is similar in a square. Only pairs of different sides count, if there are two sides."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    kept = [s[:K] for s in sets]
+def open_pairs(sizes: np.ndarray, kept: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Which pairs of a square may be similar, by sizes and sketches (a matrix). Only pairs of different sides count, if
+    there are two sides."""
+    n = len(kept)
     values, places = np.unique(np.concatenate(kept), return_inverse=True)
     rows = np.repeat(np.arange(n), [len(s) for s in kept])
     overlap = np.zeros((n, n), np.float32)
@@ -192,38 +193,124 @@ def square_links(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, in
     if side.min() != side.max():
         open_ &= side[:, None] != side[None, :]
     np.fill_diagonal(open_, False)
-    label, links = np.arange(n), []
+    return open_
+
+
+def forest(open_: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Open pairs (other, hub) that join all that open pairs join, beyond what bears one label. They are closed."""
+    label, links = label.copy(), []
     # Hubs first: what is similar to many joins many at once.
-    for i in np.argsort(-open_.sum(axis=1), kind="stable"):
-        for j in np.flatnonzero(open_[i]):
-            if label[j] != label[i] and similar(sets[i], sets[j]):
-                links.append((int(i), int(j)))
-                label[label == label[j]] = label[i]
-        open_[:, i] = False
+    for hub in np.argsort(-open_.sum(axis=1), kind="stable"):
+        near = np.flatnonzero(open_[hub] & (label != label[hub]))
+        if len(near):
+            joined, first = np.unique(label[near], return_index=True)
+            links += [(int(near[f]), int(hub)) for f in first]
+            label[np.isin(label, joined)] = label[hub]
+    for other, hub in links:
+        open_[other, hub] = open_[hub, other] = False
     return links
 
 
-def family_links(hot: DataFrame, texts: DataFrame) -> DataFrame:
+def candidates(rows: pd.DataFrame, seen: pd.DataFrame | None, layers: int) -> pd.DataFrame:
+    """The next pairs of a square to verify: ``layers`` forests of pairs that aren't ``seen`` (p, q, ok) and that neither
+    labels nor verified links join."""
+    rows = rows.sort_values("id")
+    ids = rows["id"].tolist()
+    label = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)[1]
+    kept = [np.asarray(s, dtype=np.int64) for s in rows["sketch"]]
+    links: list[tuple[int, int]] = []
+    if label.min() != label.max():
+        open_ = open_pairs(rows["n"].to_numpy(), kept, rows["side"].to_numpy())
+        if seen is not None:
+            p, q, ok = (seen[c].to_numpy() for c in ("p", "q", "ok"))
+            open_[p, q] = open_[q, p] = False
+            for x, y in zip(p[ok], q[ok], strict=True):
+                label[label == label[y]] = label[x]
+        for _ in range(layers):
+            if not (some := forest(open_, label)):
+                break
+            links += some
+    first = rows.iloc[0]
+    found = {"block": first["block"], "i": first["i"], "j": first["j"], "p": [p for p, _ in links], "q": [q for _, q in links]}
+    return pd.DataFrame(found | {"a": [ids[p] for p, _ in links], "b": [ids[q] for _, q in links]}, columns=["block", "i", "j", "p", "q", "a", "b"])
+
+
+def settled(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) that join what is similar in squares. ``dealt``: block, i, j (the square), side, id, n, sketch, label.
+
+    A round takes candidates by sketches and verifies them by joins with the texts. A square all of whose candidates are
+    similar is done, as they join all that may be similar. The others go on, with four times as many candidates a class
+    in each round, without what is joined or was turned away.
+    """
+    square, layers, seen, links = ["block", "i", "j"], 1, None, []
+    kind = "block binary, i string, j string, p int, q int, a binary, b binary"
+    while True:
+        if seen is None:
+            pairs = dealt.groupBy(*square).applyInPandas(lambda rows: candidates(rows, None, layers), kind)
+        else:
+            pairs = dealt.groupBy(*square).cogroup(seen.groupBy(*square)).applyInPandas(lambda rows, old: candidates(rows, old, layers), kind)
+        pairs = saved(pairs, "near-candidates")
+        if pairs.isEmpty():
+            break
+        good = saved(verified(pairs.select("a", "b").distinct(), texts), "near-verified")
+        links.append(good)
+        marked = pairs.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").select(*square, "p", "q", F.coalesce("ok", F.lit(False)).alias("ok"))
+        marked = saved(marked, "near-marked")
+        going = marked.where(~F.col("ok")).select(*square).distinct()
+        if going.isEmpty():
+            break
+        seen = (marked if seen is None else seen.unionByName(marked)).join(going, square, "left_semi")
+        dealt, seen, layers = saved(dealt.join(going, square, "left_semi"), "near-squares"), saved(seen, "near-seen"), 4 * layers
+    return reduce(DataFrame.unionByName, links) if links else pairs.select("a", "b")
+
+
+def parts_of(members: DataFrame) -> DataFrame:
+    """``members`` with ``count``, that of its block, and a random ``part`` of about SQUARE or fewer classes."""
+    counts = members.groupBy("block").agg(F.count(F.lit(1)).alias("count"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / SQUARE)).cast("string")
+    return members.join(counts, "block").where("count > 1").withColumn("part", part)
+
+
+def squares_between(members: DataFrame) -> DataFrame:
+    """``members`` dealt to squares in which all pairs of different labels meet. Parts hold one large label or small
+    ones only, and two parts of one label don't meet."""
+    labels = members.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c")).withColumn("large", F.col("c") * 2 > SQUARE)
+    small = labels.where("not large").groupBy("block").agg(F.sum("c").alias("rest"))
+    sized = members.drop("count", "part").join(labels, ["block", "label"]).join(small, "block", "left")
+    deal = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / SQUARE)).cast("string")
+    placed = sized.withColumn("pure", F.when(F.col("large"), F.hex("label")).otherwise(""))
+    placed = placed.withColumn("part", F.when(F.col("large"), F.concat("pure", F.lit(":"), deal("c"))).otherwise(deal("rest")))
+    placed = saved(placed.select("block", "part", "pure", "id", "n", "sketch", "label"), "near-placed")
+    parts = placed.select("block", "part", "pure").distinct()
+    ends = [parts.select("block", F.col("part").alias(e), F.col("pure").alias(f"{e}_pure")) for e in ("i", "j")]
+    squares = ends[0].join(ends[1], "block").where("i <= j and (i_pure <> j_pure or i_pure = '')").select("block", "i", "j")
+    left = squares.withColumn("part", F.col("i")).withColumn("side", F.lit(0))
+    right = squares.where("i < j").withColumn("part", F.col("j")).withColumn("side", F.lit(1))
+    return placed.drop("pure").join(left.unionByName(right), ["block", "part"]).drop("part")
+
+
+def family_links(hot: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among the classes of ``hot`` (id, value, length, need, count: their hot values), which are pairwise similar
-    only if they share ``need`` of these values."""
+    only if they share ``need`` of these values. Squares carry ids, sizes and sketches; texts meet in ``verified`` alone."""
     rarest = F.row_number().over(Window.partitionBy("id").orderBy("length", "value"))
     listed = hot.withColumn("place", rarest).where(F.col("place") <= F.col("count") - F.col("need") + 1)
     blocks = components(listed.select(F.col("id").alias("a"), F.unhex(F.lpad(F.hex("value"), 16, "0")).alias("b")), "near-blocks")
-    blocks = saved(texts.join(blocks, texts["id"] == blocks["node"]).select("id", "text", F.col("label").alias("block")), "near-families")
-    counts = blocks.groupBy("block").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / SQUARE).cast("int"))
-    placed = blocks.join(counts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = placed.select("block", "id", "text", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("block", "id", "text", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    members = classes.join(blocks, classes["id"] == blocks["node"]).select("id", "n", "sketch", F.col("label").alias("block"))
+    members = saved(parts_of(members.withColumn("label", F.col("id"))), "near-families")
+    inside = lambda placed: placed.select("block", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), "id", "n", "sketch", "label")
+    links = settled(inside(members), texts)
+    wide = members.where(F.col("count") > SQUARE).drop("count", "part")
+    if wide.isEmpty():
+        return links
 
-    def square(rows: pd.DataFrame) -> pd.DataFrame:
-        shingler = Shingler()
-        rows = rows.sort_values("id")
-        sets, ids = [shingler.hashes(t) for t in rows["text"]], rows["id"].tolist()
-        side = rows["part"].to_numpy()
-        links = [] if rows["i"].iloc[0] != rows["j"].iloc[0] and side.min() == side.max() else square_links(sets, side)
-        return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype=object)
+    def contracted(rows: DataFrame, turn: int) -> DataFrame:
+        joined = components(links, f"near-joined-{turn}").select(F.col("node").alias("id"), F.col("label").alias("to"))
+        return saved(rows.drop("label").join(joined, "id", "left").withColumn("label", F.coalesce("to", "id")).drop("to"), f"near-labels-{turn}")
 
-    return dealt.groupBy("block", "i", "j").applyInPandas(square, "a binary, b binary")
+    # What parts have joined meets by one class each; then only pairs that are still apart are searched in squares.
+    wide = contracted(wide, 0)
+    links = links.unionByName(settled(inside(parts_of(wide.where("id = label"))), texts))
+    return links.unionByName(settled(squares_between(contracted(wide, 1)), texts))
 
 
 def near_groups(texts: DataFrame) -> DataFrame:
@@ -264,7 +351,7 @@ def near_groups(texts: DataFrame) -> DataFrame:
 
     links = verified(pairs, found)
     if not hot.isEmpty():
-        links = links.unionByName(family_links(hot, found))
+        links = links.unionByName(family_links(hot, classes, found))
     groups = components(links, "near")
     tops = groups.join(classes.select(F.col("id").alias("node"), "top"), "node")
     least = tops.groupBy("label").agg(F.min("top").alias("least"))

@@ -72,6 +72,30 @@ def test_equals_brute_force(frame, monkeypatch, hot, square):
     assert as_rows(near_groups(frame(rows).select("doc_id", "text"))) == Counter(brute_groups(rows))
 
 
+def test_a_family_costs_about_its_size_and_squares_carry_no_texts(frame, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    copies = [" ".join([*base, f"end{i}"]) for i in range(200)]
+    rows = list(enumerate(copies))
+    monkeypatch.setattr(module, "SQUARE", 20)
+    squares, verifications, settled, verified = [], [], module.settled, module.verified
+    monkeypatch.setattr(module, "settled", lambda dealt, texts: (squares.append((dealt.columns, dealt.count())), settled(dealt, texts))[1])
+    monkeypatch.setattr(module, "verified", lambda pairs, texts: (verifications.append(pairs.where(pairs["a"] != pairs["b"]).count()), verified(pairs, texts))[1])
+    groups = as_rows(near_groups(frame(rows).select("doc_id", "text")))
+    assert groups == Counter(brute_groups(rows))
+    assert squares and all("text" not in columns for columns, _ in squares)
+    assert sum(n for _, n in squares) < 3 * len(rows)
+    assert sum(verifications) < 2 * len(rows)
+
+
+def test_pairs_that_only_seem_similar(frame, monkeypatch):
+    # By sketches these may be similar (0.6 to 0.7), but no two are; only two copies are.
+    apart = [" ".join([f"v{i}" for i in range(100)] + [f"x{k}y{i}" for i in range(22)]) for k in range(30)]
+    rows = list(enumerate([*apart, apart[3] + " end", apart[3] + " ends"]))
+    monkeypatch.setattr(module, "SQUARE", 20)
+    assert as_rows(near_groups(frame(rows).select("doc_id", "text"))) == Counter(brute_groups(rows))
+
+
 def test_sets_are_exact_and_runs_do_not_matter(monkeypatch):
     text = " ".join(f"W{i % 97} x{i % 31}" for i in range(3000)).encode()
     whole = Shingler().hashes(text)
