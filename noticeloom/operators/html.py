@@ -39,7 +39,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"script", "style", "noscript", "template", "svg", "canvas", "iframe", "nav", "header", "footer"}
 DROPPED_CLASSES = {"blind", "sr-only", "skip", "breadcrumb", "location", "modal", "popup"}
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "tr", "section", "article"}
-CLOSED_BY = {"p": BLOCKS | {"div", "ul", "ol", "dl", "table"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+CLOSED_BY = {"option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "p": BLOCKS | {"div", "ul", "ol", "dl", "table"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
 class Node:
@@ -53,10 +53,14 @@ class Node:
         return set(self.attributes.get("class", "").split())
 
     def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
+        stack = [iter(self.children)]  # explicit, as pages may nest deeper than Python's calls
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, Node):
                 yield child
-                yield from child.walk()
+                stack.append(iter(child.children))
 
     def select(self, selector: str) -> list[Node]:
         if selector[0] == ".":
@@ -66,7 +70,18 @@ class Node:
         return [n for n in self.walk() if n.name == selector]
 
     def raw_text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.raw_text() for c in self.children)
+        return "".join(self.raw_pieces())
+
+    def raw_pieces(self):
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, Node):
+                stack.append(iter(child.children))
+            else:
+                yield child
 
 
 class Tree(HTMLParser):
@@ -141,22 +156,27 @@ def emphasis(node: Node) -> tuple[str, str] | None:
 def text_of(node: Node) -> str:
     """A node's text with line ends after blocks, and marks around red and bold parts (the outermost)."""
 
-    def inner(n: Node, marked: bool) -> str:
-        out = []
-        for child in n.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif child.name == "br":
-                out.append("\n")
-            else:
-                marks = None if marked or not child.raw_text().strip() else emphasis(child)
-                text = inner(child, marked or marks is not None)
-                out += [marks[0], text, marks[1]] if marks else [text]
-                if child.name in BLOCKS:
-                    out.append("\n")
-        return "".join(out)
-
-    return squeezed(inner(node, False))
+    out: list[str] = []
+    # The open nodes: their remaining children, whether they stand within marks, and what follows them.
+    stack = [(iter(node.children), False, "")]
+    while stack:
+        children, marked, after = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            out.append(after)
+        elif isinstance(child, str):
+            out.append(child)
+        elif child.name == "br":
+            out.append("\n")
+        else:
+            marks = None if marked else emphasis(child)
+            if marks and not any(map(str.strip, child.raw_pieces())):
+                marks = None
+            out.append(marks[0] if marks else "")
+            end = (marks[1] if marks else "") + ("\n" if child.name in BLOCKS else "")
+            stack.append((iter(child.children), marked or marks is not None, end))
+    return squeezed("".join(out))
 
 
 def body_of(root: Node) -> Node:

@@ -66,6 +66,17 @@ def test_pages_in_spark(spark):
     assert rows[0].detail_content_hash == rows[1].detail_content_hash
 
 
+@pytest.mark.parametrize("tag", ["option", "font", "a", "center", "span", "b", "div"])
+def test_deep_pages(tag):
+    text = detail(f"<main>한글 본문 스무 글자를 넘는 안내 문장입니다. {f'<{tag}>x' * 3000}</main>")["detail_content"]
+    assert text.count("x") == 3000
+
+
+def test_options_end_each_other():
+    root = Tree("<select><option>a<option>b<optgroup><option>c<optgroup><option>d</select>").root
+    assert [n.raw_text() for n in root.select("option")] == ["a", "b", "c", "d"]
+
+
 def kinds(text):
     return [x["kind"] for x in classify_lines(text)]
 
