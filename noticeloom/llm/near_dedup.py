@@ -8,13 +8,14 @@
    formed in these alone, so their number is at most HOT per retained value.
 3. Pairs are filtered by the similarity estimated from the bottom-k sketch of the union, and verified by the exact
    Jaccard similarity of the full sets.
-4. Classes made of hot values mostly (families of thousands of near copies, texts that are little more than a passage that
-   many share) are pairwise similar only if they share hot values, too. Each lists its rarest hot values, as many as a
-   similar one can't all miss; lists that have classes in common form a block. Blocks are searched in squares of at most
-   about ``SQUARE`` by ``SQUARE`` classes, which carry ids, sizes and sketches only: overlaps of sketches are one matrix
-   product, and of the pairs that may be similar those are verified that join most. First parts of a block are searched
-   by themselves, then one class of each joined group, then squares of the parts whose classes aren't joined yet. So a
-   family of n costs about n verifications and links, and no link that matters to the components is lost.
+4. Classes made of hot values mostly (families of thousands of near copies, texts that are little more than passages that
+   many share) get lists of runs: keys of neighbouring retained values, of which similar classes share some (`run_keys`).
+   Short lists of runs give pairs as in step 2. Classes with a common run in a long list form a block. Blocks are searched
+   in squares of at most about ``SQUARE`` by ``SQUARE`` classes, which carry ids, sizes and the ``WIDE`` smallest hashes:
+   sets of up to WIDE shingles whole, so that the square itself compares them exactly, and wider sketches of others,
+   whose pairs are verified by their texts. First parts of a block are searched by themselves, then one class of each
+   joined group, then squares of the parts whose classes aren't joined yet. So a family of n costs about n links, and no
+   link that matters to the components is lost.
 5. Components of the links give the groups.
 """
 
@@ -33,12 +34,16 @@ from pyspark.sql import functions as F
 from noticeloom.llm.common import LOWER, UPPER, saved, table
 from noticeloom.llm.components import components
 
-WORDS, K, HOT, SQUARE = 5, 64, 24, 1000
+WORDS, K, HOT, SQUARE = 5, 64, 24, 400
 SIMILARITY = 75  # per cent
 #: Of K retained values, those that a pair of the stated similarity shares at least: 48 on average, less 3.5 deviations.
 NEED = 36
 #: Estimates below this are turned away: 0.75 less five deviations.
 ESTIMATE = 0.48
+#: Hashes of a class in squares (8 KB at most).
+WIDE = 1024
+#: Lengths of runs of retained values, and from and below which set size they are taken.
+RUNS = [(2, 2, 9), (3, 7, 32), (4, 24, 1 << 62)]
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 RUN, CACHE_WORDS = 1 << 22, 500_000
@@ -169,26 +174,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "t_a", "t_b").mapInArrow(work, "a binary, b binary")
 
 
+def run_keys(size: Column, sketch: Column) -> Column:
+    """Keys of the runs of neighbouring retained values by which classes of a similarity of 0.75 find each other.
+
+    In the ordered union of two such sets a quarter of the values at most is of one set only, so it has runs of shared
+    values, and these stand side by side in both sketches. Unions of 9 values or more have a run of three for certain,
+    smaller ones a run of two; from 32 on there is a run of four but with a probability of 2e-5. A class takes the lengths
+    that it shares with every size that may be similar.
+    """
+    keys = lambda r: F.transform(F.sequence(F.lit(1), F.size(sketch) - (r - 1)), lambda i: F.xxhash64(F.lit(r), F.slice(sketch, i, r)))
+    none = F.array().cast("array<bigint>")
+    return F.concat(*[F.when((size >= least) & (size < below), keys(r)).otherwise(none) for r, least, below in RUNS])
+
+
 def open_pairs(sizes: np.ndarray, kept: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Which pairs of a square may be similar, by sizes and sketches (a matrix). Only pairs of different sides count, if
-    there are two sides."""
+    """Which pairs of a square share a run and have fitting sizes (a matrix). Only pairs of different sides count, if there
+    are two sides."""
     n = len(kept)
-    values, places = np.unique(np.concatenate(kept), return_inverse=True)
-    rows = np.repeat(np.arange(n), [len(s) for s in kept])
-    overlap = np.zeros((n, n), np.float32)
-    common = np.flatnonzero(np.bincount(places) > 1)
-    order = np.argsort(places, kind="stable")
-    edges = np.searchsorted(places[order], np.arange(len(values) + 1))
-    for start in range(0, len(common), 2048):
-        some = common[start : start + 2048]
-        held = np.zeros((n, len(some)), np.float32)
-        for column, value in enumerate(some):
-            held[rows[order[edges[value] : edges[value + 1]]], column] = 1
-        overlap += held @ held.T
-    lengths = np.minimum(sizes, K)
-    open_ = overlap >= np.ceil(np.minimum.outer(lengths, lengths) * ESTIMATE)
-    whole = np.maximum.outer(sizes, sizes) <= K  # then the overlap is exact
-    open_ &= ~whole | (100 * overlap >= SIMILARITY * (sizes[:, None] + sizes[None, :] - overlap))
+    open_ = np.zeros((n, n), bool)
+    for r, least, below in RUNS:
+        with_runs = np.flatnonzero((sizes >= least) & (sizes < below))
+        if not len(with_runs):
+            continue
+        found = [mixed(sum(s[j : len(s) - r + 1 + j] * MULTIPLIERS[j] for j in range(r))) for s in (kept[x][:K] for x in with_runs)]
+        places = np.unique(np.concatenate(found), return_inverse=True)[1]
+        order = np.argsort(places, kind="stable")
+        rows = np.repeat(with_runs, [len(f) for f in found])[order]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(places))])
+        for at in np.flatnonzero(np.diff(edges) > 1):
+            members = rows[edges[at] : edges[at + 1]]
+            open_[members[:, None], members] = True
     open_ &= np.minimum.outer(sizes, sizes) * 100 >= np.maximum.outer(sizes, sizes) * SIMILARITY
     if side.min() != side.max():
         open_ &= side[:, None] != side[None, :]
@@ -196,10 +211,41 @@ def open_pairs(sizes: np.ndarray, kept: list[np.ndarray], side: np.ndarray) -> n
     return open_
 
 
+def settle_whole(open_: np.ndarray, sizes: np.ndarray, kept: list[np.ndarray], label: np.ndarray, wide: int) -> list[tuple[int, int]]:
+    """Links (other, hub) of open pairs whose sets are kept whole: exact, and only as many as join all that such pairs join.
+    ``label`` follows the links. Of the pairs with a set of over ``wide`` hashes, those stay open whose estimate from so many
+    is at most five deviations below 0.75."""
+    enough = 0.75 - 5 * (0.75 * 0.25 / wide) ** 0.5
+    values, places = np.unique(np.concatenate(kept), return_inverse=True)
+    edges = np.concatenate([[0], np.cumsum([len(s) for s in kept])])
+    own = [places[a:b] for a, b in zip(edges[:-1], edges[1:])]
+    held, links = np.zeros(len(values), np.int64), []
+    # Hubs first: what is similar to many joins many at once.
+    for hub in np.argsort(-open_.sum(axis=1), kind="stable"):
+        near = np.flatnonzero(open_[hub] & (label != label[hub]))
+        if not len(near):
+            continue
+        held[own[hub]] = 1
+        both = np.add.reduceat(held[np.concatenate([own[x] for x in near])], np.concatenate([[0], np.cumsum([len(own[x]) for x in near])[:-1]]))
+        held[own[hub]] = 0
+        whole = np.maximum(sizes[near], sizes[hub]) <= wide
+        good = whole & (100 * both >= SIMILARITY * (sizes[near] + sizes[hub] - both))
+        maybe = ~whole & (both >= enough * wide)
+        for at in np.flatnonzero(maybe):
+            union = np.union1d(kept[hub], kept[near[at]])[:wide]
+            shared = np.intersect1d(kept[hub], kept[near[at]], assume_unique=True)
+            maybe[at] = np.count_nonzero(shared <= union[-1]) >= enough * len(union)
+        shut = near[~maybe]
+        open_[hub, shut] = open_[shut, hub] = False
+        joined, first = np.unique(label[near[good]], return_index=True)
+        links += [(int(near[good][f]), int(hub)) for f in first]
+        label[np.isin(label, joined)] = label[hub]
+    return links
+
+
 def forest(open_: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     """Open pairs (other, hub) that join all that open pairs join, beyond what bears one label. They are closed."""
     label, links = label.copy(), []
-    # Hubs first: what is similar to many joins many at once.
     for hub in np.argsort(-open_.sum(axis=1), kind="stable"):
         near = np.flatnonzero(open_[hub] & (label != label[hub]))
         if len(near):
@@ -211,57 +257,62 @@ def forest(open_: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def candidates(rows: pd.DataFrame, seen: pd.DataFrame | None, layers: int) -> pd.DataFrame:
-    """The next pairs of a square to verify: ``layers`` forests of pairs that aren't ``seen`` (p, q, ok) and that neither
-    labels nor verified links join."""
+def candidates(rows: pd.DataFrame, seen: pd.DataFrame | None, layers: int, wide: int) -> pd.DataFrame:
+    """The links of a square that are sure, and the next pairs to verify: ``layers`` forests of pairs that aren't ``seen``
+    (p, q, ok) and that neither labels nor links join."""
     rows = rows.sort_values("id")
     ids = rows["id"].tolist()
     label = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)[1]
-    kept = [np.asarray(s, dtype=np.int64) for s in rows["sketch"]]
+    kept, sizes = [np.frombuffer(s, "<u8") for s in rows["wide"]], rows["n"].to_numpy()
+    sure: list[tuple[int, int]] = []
     links: list[tuple[int, int]] = []
     if label.min() != label.max():
-        open_ = open_pairs(rows["n"].to_numpy(), kept, rows["side"].to_numpy())
+        open_ = open_pairs(sizes, kept, rows["side"].to_numpy())
         if seen is not None:
             p, q, ok = (seen[c].to_numpy() for c in ("p", "q", "ok"))
             open_[p, q] = open_[q, p] = False
             for x, y in zip(p[ok], q[ok], strict=True):
                 label[label == label[y]] = label[x]
+        sure = settle_whole(open_, sizes, kept, label, wide)
         for _ in range(layers):
             if not (some := forest(open_, label)):
                 break
             links += some
-    first = rows.iloc[0]
-    found = {"block": first["block"], "i": first["i"], "j": first["j"], "p": [p for p, _ in links], "q": [q for _, q in links]}
-    return pd.DataFrame(found | {"a": [ids[p] for p, _ in links], "b": [ids[q] for _, q in links]}, columns=["block", "i", "j", "p", "q", "a", "b"])
+    first, both = rows.iloc[0], sure + links
+    found = {"block": first["block"], "i": first["i"], "j": first["j"], "p": [p for p, _ in both], "q": [q for _, q in both]}
+    found |= {"a": [ids[p] for p, _ in both], "b": [ids[q] for _, q in both], "sure": [True] * len(sure) + [False] * len(links)}
+    return pd.DataFrame(found, columns=["block", "i", "j", "p", "q", "a", "b", "sure"])
 
 
 def settled(dealt: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (a, b) that join what is similar in squares. ``dealt``: block, i, j (the square), side, id, n, sketch, label.
+    """The links (a, b) that join what is similar in squares. ``dealt``: block, i, j (the square), side, id, n, wide, label.
 
-    A round takes candidates by sketches and verifies them by joins with the texts. A square all of whose candidates are
-    similar is done, as they join all that may be similar. The others go on, with four times as many candidates a class
-    in each round, without what is joined or was turned away.
+    Sets that are kept whole are settled in the square. Of longer ones a round takes candidates by their sketches and
+    verifies them by joins with the texts. A square all of whose candidates are similar is done, as they join all that
+    may be similar. The others go on, with four times as many candidates a class in each round, without what is joined
+    or was turned away.
     """
-    square, layers, seen, links = ["block", "i", "j"], 1, None, []
-    kind = "block binary, i string, j string, p int, q int, a binary, b binary"
+    square, layers, width, seen, links = ["block", "i", "j"], 1, WIDE, None, []
+    kind = "block binary, i string, j string, p int, q int, a binary, b binary, sure boolean"
     while True:
         if seen is None:
-            pairs = dealt.groupBy(*square).applyInPandas(lambda rows: candidates(rows, None, layers), kind)
+            pairs = dealt.groupBy(*square).applyInPandas(lambda rows: candidates(rows, None, layers, width), kind)
         else:
-            pairs = dealt.groupBy(*square).cogroup(seen.groupBy(*square)).applyInPandas(lambda rows, old: candidates(rows, old, layers), kind)
+            pairs = dealt.groupBy(*square).cogroup(seen.groupBy(*square)).applyInPandas(lambda rows, old: candidates(rows, old, layers, width), kind)
         pairs = saved(pairs, "near-candidates")
-        if pairs.isEmpty():
+        links.append(pairs.where("sure").select("a", "b"))
+        if pairs.where("not sure").isEmpty():
             break
-        good = saved(verified(pairs.select("a", "b").distinct(), texts), "near-verified")
+        good = saved(verified(pairs.where("not sure").select("a", "b").distinct(), texts), "near-verified")
         links.append(good)
-        marked = pairs.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").select(*square, "p", "q", F.coalesce("ok", F.lit(False)).alias("ok"))
-        marked = saved(marked, "near-marked")
+        marked = pairs.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left")
+        marked = saved(marked.select(*square, "p", "q", (F.col("sure") | F.coalesce("ok", F.lit(False))).alias("ok")), "near-marked")
         going = marked.where(~F.col("ok")).select(*square).distinct()
         if going.isEmpty():
             break
         seen = (marked if seen is None else seen.unionByName(marked)).join(going, square, "left_semi")
         dealt, seen, layers = saved(dealt.join(going, square, "left_semi"), "near-squares"), saved(seen, "near-seen"), 4 * layers
-    return reduce(DataFrame.unionByName, links) if links else pairs.select("a", "b")
+    return reduce(DataFrame.unionByName, links)
 
 
 def parts_of(members: DataFrame) -> DataFrame:
@@ -280,7 +331,7 @@ def squares_between(members: DataFrame) -> DataFrame:
     deal = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / SQUARE)).cast("string")
     placed = sized.withColumn("pure", F.when(F.col("large"), F.hex("label")).otherwise(""))
     placed = placed.withColumn("part", F.when(F.col("large"), F.concat("pure", F.lit(":"), deal("c"))).otherwise(deal("rest")))
-    placed = saved(placed.select("block", "part", "pure", "id", "n", "sketch", "label"), "near-placed")
+    placed = saved(placed.select("block", "part", "pure", "id", "n", "wide", "label"), "near-placed")
     parts = placed.select("block", "part", "pure").distinct()
     ends = [parts.select("block", F.col("part").alias(e), F.col("pure").alias(f"{e}_pure")) for e in ("i", "j")]
     squares = ends[0].join(ends[1], "block").where("i <= j and (i_pure <> j_pure or i_pure = '')").select("block", "i", "j")
@@ -289,15 +340,26 @@ def squares_between(members: DataFrame) -> DataFrame:
     return placed.drop("pure").join(left.unionByName(right), ["block", "part"]).drop("part")
 
 
-def family_links(hot: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among the classes of ``hot`` (id, value, length, need, count: their hot values), which are pairwise similar
-    only if they share ``need`` of these values. Squares carry ids, sizes and sketches; texts meet in ``verified`` alone."""
-    rarest = F.row_number().over(Window.partitionBy("id").orderBy("length", "value"))
-    listed = hot.withColumn("place", rarest).where(F.col("place") <= F.col("count") - F.col("need") + 1)
-    blocks = components(listed.select(F.col("id").alias("a"), F.unhex(F.lpad(F.hex("value"), 16, "0")).alias("b")), "near-blocks")
-    members = classes.join(blocks, classes["id"] == blocks["node"]).select("id", "n", "sketch", F.col("label").alias("block"))
+def wide_sketches(texts: DataFrame) -> DataFrame:
+    """``id, wide``: the WIDE smallest shingle hashes, eight bytes each, of ``id, text`` (binary)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            wide = [shingler.hashes(t.as_py())[:WIDE].tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(wide, pa.binary())], names=["id", "wide"])
+
+    return texts.select("id", "text").mapInArrow(work, "id binary, wide binary")
+
+
+def family_links(long: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the classes of ``long`` (id, value: runs that more than HOT classes have). Squares carry ids, sizes and
+    bounded sets; texts meet in ``verified`` alone."""
+    blocks = components(long.select(F.col("id").alias("a"), F.unhex(F.lpad(F.hex("value"), 16, "0")).alias("b")), "near-blocks")
+    members = classes.select("id", "n").join(blocks.withColumnRenamed("node", "id"), "id").select("id", "n", F.col("label").alias("block"))
+    members = members.join(wide_sketches(texts.join(members.select("id"), "id", "left_semi")), "id")
     members = saved(parts_of(members.withColumn("label", F.col("id"))), "near-families")
-    inside = lambda placed: placed.select("block", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), "id", "n", "sketch", "label")
+    inside = lambda placed: placed.select("block", F.col("part").alias("i"), F.col("part").alias("j"), F.lit(0).alias("side"), "id", "n", "wide", "label")
     links = settled(inside(members), texts)
     wide = members.where(F.col("count") > SQUARE).drop("count", "part")
     if wide.isEmpty():
@@ -337,10 +399,15 @@ def near_groups(texts: DataFrame) -> DataFrame:
     lengths = saved(postings.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1"), "near-lengths")
     shared = saved(postings.join(lengths, "value"), "near-postings")
 
-    pairs = saved(estimated(short_list_pairs(shared), classes), "near-pairs")
-    hot = shared.where(F.col("length") > HOT).select("id", "value", "length", needed(F.col("size")).alias("need"))
-    mostly = hot.groupBy("id", "need").agg(F.count(F.lit(1)).alias("count")).where("count >= need")
-    hot = saved(hot.join(mostly, ["id", "need"]), "near-hot")
+    hot = shared.where(F.col("length") > HOT).select("id", needed(F.col("size")).alias("need"))
+    mostly = hot.groupBy("id", "need").agg(F.count(F.lit(1)).alias("count")).where("count >= need").select("id")
+    runs = saved(classes.join(mostly, "id", "left_semi").select("id", "n", F.explode(run_keys(F.col("n"), F.col("sketch"))).alias("value")), "near-runs")
+    run_lengths = runs.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    runs = saved(runs.join(run_lengths, "value"), "near-run-lists")
+
+    pairs = short_list_pairs(shared).unionByName(short_list_pairs(runs)).distinct()
+    pairs = saved(estimated(pairs, classes), "near-pairs")
+    hot = runs.where(F.col("length") > HOT).select("id", "value")
 
     members = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(hot.select("id")).distinct()
     wanted = classes.select("id", "sample.*").join(members, "id", "left_semi")

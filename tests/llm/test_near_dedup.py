@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import noticeloom.llm.near_dedup as module
 from noticeloom.llm.components import components
@@ -96,6 +97,39 @@ def test_pairs_that_only_seem_similar(frame, monkeypatch):
     assert as_rows(near_groups(frame(rows).select("doc_id", "text"))) == Counter(brute_groups(rows))
 
 
+def test_texts_of_common_passages_and_sets_that_are_not_whole(frame, monkeypatch):
+    r = random.Random(5)
+    passages = [" ".join(f"p{i}w{j}" for j in range(25)) for i in range(14)]
+    texts = [" ".join(r.sample(passages, 5)) for _ in range(60)]
+    texts += [f"{texts[0]} end{i}" for i in range(30)] + [f"{texts[1]} {passages[0]} end{i}" for i in range(30)]
+    rows = list(enumerate(texts))
+    for name, value in (("HOT", 3), ("SQUARE", 20), ("WIDE", 70)):
+        monkeypatch.setattr(module, name, value)
+    squares, settled = [], module.settled
+    monkeypatch.setattr(module, "settled", lambda dealt, texts: (squares.append(dealt.count()), settled(dealt, texts))[1])
+    assert as_rows(near_groups(frame(rows).select("doc_id", "text"))) == Counter(brute_groups(rows))
+    assert sum(squares) > 0
+
+
+def test_similar_sets_share_a_run(spark):
+    # All splits of unions of 4 to 31 values into shared and unshared ones, at random places; larger ones by chance.
+    r = random.Random(3)
+    pairs = []
+    for size in [n for n in range(4, 32) for _ in range(40)] + [r.randrange(32, 400) for _ in range(300)]:
+        alone = size // 4
+        values = sorted(r.sample(range(1 << 62), size))
+        out = set(r.sample(values, alone))
+        of_b = set(r.sample(sorted(out), r.randint(0, alone)))
+        pairs.append(([v for v in values if v not in of_b][: module.K], [v for v in values if v not in out - of_b][: module.K], size - len(of_b), size - alone + len(of_b)))
+    df = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>, n_a bigint, n_b bigint")
+    keys = [module.run_keys(df[f"n_{x}"], df[x]) for x in "ab"]
+    assert all(row[0] for row in df.select(F.arrays_overlap(*keys)).collect())
+    kept = [np.array(x, dtype=np.uint64) for p in pairs for x in p[:2]]
+    sizes = np.array([n for p in pairs for n in p[2:]])
+    open_ = module.open_pairs(sizes, kept, np.zeros(len(kept)))
+    assert all(open_[i, i + 1] for i in range(0, len(kept), 2) if kept[i].tolist() != kept[i + 1].tolist())
+
+
 def test_sets_are_exact_and_runs_do_not_matter(monkeypatch):
     text = " ".join(f"W{i % 97} x{i % 31}" for i in range(3000)).encode()
     whole = Shingler().hashes(text)
