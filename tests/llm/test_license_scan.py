@@ -44,14 +44,12 @@ def test_automaton_gives_matching_statistics():
             assert size == best
             found = tuple(text[i + 1 - size : i + 1])
             if size:
-                holders = {n for n, s in enumerate(sequences) if any(tuple(s[a : a + size]) == found for a in range(len(s)))}
-                assert set(auto.ends[state]) == holders
-                for n, end in auto.ends[state].items():
-                    assert tuple(sequences[n][end - size : end]) == found
+                places = [(n, a + size) for n, s in enumerate(sequences) for a in range(len(s)) if tuple(s[a : a + size]) == found]
+                assert sorted(auto.ends[state]) == places
 
 
 def scanner():
-    return LicenseScanner(TEMPLATES, BASE_PHRASES, 4, 0.6, 20)
+    return LicenseScanner(TEMPLATES, BASE_PHRASES, 4, 0.6, 20, 20)
 
 
 @pytest.mark.parametrize("label, text", TEMPLATES)
@@ -61,6 +59,78 @@ def test_templates_find_themselves(label, text):
     assert found["score"] == pytest.approx(1.0)
 
 
+def all_matches(text, template, least):
+    """Stretches of both that can't be extended to either side, as (start, end, end in the template)."""
+    for i in range(len(text)):
+        for j in range(len(template)):
+            if text[i] == template[j] and (not i or not j or text[i - 1] != template[j - 1]):
+                n = 1
+                while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                    n += 1
+                if n >= least:
+                    yield i, i + n, j + n
+
+
+def brute_chain(matches, gap, last=None):
+    """The most words that a chain of matches covers, by trying all."""
+    best = 0
+    for start, end, at in matches:
+        size, new = end - start, end - start
+        if last:
+            if not (end > last[1] and at > last[2] and start - last[1] <= gap and at - size - last[2] <= gap):
+                continue
+            new = size - max(0, last[1] - start, last[2] - (at - size))
+        if new > 0:
+            best = max(best, new + brute_chain(matches, gap, (start, end, at)))
+    return best
+
+
+def test_chains_equal_brute_force():
+    r = random.Random(9)
+    for _ in range(150):
+        templates = [("".join(f"t{n}"), " ".join(r.choice("abcd") for _ in range(r.randint(4, 14)))) for n in range(3)]
+        base = templates[r.randrange(3)][1].split()
+        text = [w if r.random() > 0.2 else r.choice("abcde") for w in base for _ in range(1 + (r.random() < 0.1))]
+        scan = LicenseScanner(templates, {}, 2, 0.0, 2, 0)
+        found = {}
+        chain = scan.chain
+        scan.chain = lambda name, matches, found=found, chain=chain: found.setdefault(name, (sorted(matches), chain(name, matches)))[1]
+        scan.scan(" ".join(text).encode())
+        for name, (_, template) in enumerate(templates):
+            matches = sorted(all_matches(text, template.split(), 2))
+            assert found.get(name, ([], []))[0] == matches
+            spans = found.get(name, ([], []))[1]
+            assert max((s["covered"] for s in spans), default=0) == brute_chain(matches, 2)
+            ends = sorted((s["start_word"], s["end_word"]) for s in spans)
+            assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+@pytest.mark.parametrize("label, text", [t for t in TEMPLATES if len(words(t[1])) >= 20])
+def test_labels_survive_edits_and_insertions(label, text):
+    r, scan, template = random.Random(1), scanner(), words(text)
+    for _ in range(300):
+        edited = list(template)
+        for i in r.sample(range(len(edited)), min(3, len(edited) // 15)):  # what still leaves three fifths in stretches of four
+            edited[i] = "changed"
+        at, start = r.randrange(len(edited)), r.randrange(len(edited) - 5)
+        edited[at:at] = template[start : start + 5]
+        assert label in scan.scan(" ".join(edited).encode())["labels"].split(",")
+
+
+def test_licences_that_differ_by_a_word_are_told_apart():
+    for label, text in TEMPLATES:
+        if label in ("gpl", "lgpl", "agpl") or label.startswith("cc"):
+            assert scanner().scan(f"here {text} there".encode())["labels"] == label
+    nd = b"This work is licensed under the Creative Commons Attribution-Noncommercial-Something 4.0 International License"
+    assert scanner().scan(nd)["labels"] == ""
+
+
+def test_repeated_licences_give_a_span_each_in_linear_time():
+    mit = TEMPLATES[0][1]
+    found = scanner().scan((f"{mit} " * 3000).encode())
+    assert [s["covered"] for s in found["spans"]] == [len(words(mit))] * 3000
+
+
 def test_parts_and_edits():
     mit = TEMPLATES[0][1].split()
     edited = " ".join(w for i, w in enumerate(mit) if i % 25)
