@@ -7,11 +7,14 @@ the rate's fraction. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import table
+from noticeloom.llm.common import saved, table
 
+#: Sources up to which their targets are broadcast, and the bytes of their names up to which they are.
+MOST_SOURCES, MOST_NAME_BYTES = 100_000, 8 << 20
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,6 +47,34 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float,
     )
 
 
+def counted(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def coin(id_: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from the seed, the id and the text."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    whole = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("")), digest).cast("binary"))
+    return F.conv(F.substring(whole, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def with_copies(rows: DataFrame, totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """``rows`` (source, coin, others) with source_size, target and copies. ``totals``: source, source_size.
+
+    Targets are one row a source. They are broadcast within the stated bounds; beyond, rows meet them in an equi-join, in
+    which adaptive execution splits a hot source.
+    """
+    targets = saved(source_targets(totals, weights, share, cap), "mix-targets").withColumnRenamed("source", "of")
+    names = F.coalesce(F.sum(F.octet_length(F.col("of").cast("string"))), F.lit(0))
+    count, name_bytes = targets.agg(F.count(F.lit(1)), names).first()
+    if count <= MOST_SOURCES and name_bytes <= MOST_NAME_BYTES:
+        targets = F.broadcast(targets)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    copies = (F.floor("rate") + (F.col("coin") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return joined.withColumn("rate", rate).withColumn("copies", copies).drop("rate")
+
+
 def plan_mix(
     df: DataFrame,
     *,
@@ -58,36 +89,43 @@ def plan_mix(
 ) -> DataFrame:
     """Every row of ``df`` with ``mix_size, mix_source_size, mix_target`` and ``mix_copies``, how often the mix takes it.
 
-    ``carry`` names the columns to keep (all). A null text has size 0; null sources are one source; a source of size 0
-    takes nothing. The coin of a row depends on the seed, its id and its text, so reruns agree and rows that repeat in
-    both share it. Input columns of the result's ``mix_`` names are replaced. An empty table gives no rows.
+    ``carry`` names the columns to keep (all). Texts are read once: what is carried, sizes and coins are written and read
+    again. A null text has size 0; null sources are one source; a source of size 0 takes nothing. The coin of a row depends
+    on the seed, its id and its text, so reruns agree and rows that repeat in both share it. Input columns of the four
+    names are replaced. An empty table gives no rows.
     """
-    names = [c for c in (carry if carry is not None else df.columns) if not c.startswith("mix_")]
-    sized = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    coin = F.md5(
-        F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).cast("binary")
-    )
+    names = [c for c in (carry if carry is not None else df.columns) if c not in ADDED]
+    text = F.col(f"`{text_col}`")
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        F.col(f"`{source_col}`").alias("source"),
-        sized.alias("size"),
-        (F.conv(F.substring(coin, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))).alias("coin"),
-    )
-    totals = df.select(F.col(f"`{source_col}`").alias("source"), sized.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, share, cap)
-    joined = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = (F.floor("rate") + (F.col("coin") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return joined.withColumn("rate", rate).select(
-        "row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.alias("mix_copies")
-    )
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{source_col}`").alias("source"),
+        counted(text).alias("size"), coin(F.col(f"`{id_col}`"), text, seed).alias("coin"),
+    )
+    rows = saved(rows, "mix-sizes")
+    planned = with_copies(rows, rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    return planned.select("row.*", *[F.col(c).alias(a) for c, a in zip(("size", "source_size", "target", "copies"), ADDED, strict=True)])
 
 
-def mix(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``df`` as often as :func:`plan_mix` takes it, with its own columns only."""
-    planned = plan_mix(df, **options)
-    once = planned.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))))
-    return once.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_copy")
+def mix(
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 7,
+) -> DataFrame:
+    """The mix itself: each row of ``df`` as often as :func:`plan_mix` takes it, with its own columns, whatever their names.
+
+    Sizes are aggregated in one pass over the texts, copies made in a second one, as they depend on the coin and the
+    source's rate alone; no text is shuffled while the targets are broadcast.
+    """
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").alias("source")
+    totals = df.select(source, counted(text).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), source, coin(F.col(f"`{id_col}`"), text, seed).alias("coin"))
+    planned = with_copies(rows, totals, weights, share, cap).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

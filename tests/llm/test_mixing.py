@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import noticeloom.llm.mixing as module
 from noticeloom.llm.mixing import mix, plan_mix
 from tests.llm.conftest import EDGES
 
@@ -65,5 +66,19 @@ def test_many_sources_come_near_their_targets(spark):
 
 
 def test_empty_table_and_names(empty, edges):
-    assert plan_mix(empty).count() == 0
-    assert mix(edges.withColumn("mix_copies", F.lit("x")).withColumn("rate", F.lit(9)).withColumn("coin", F.lit(9))).count() == mix(edges).count()
+    assert plan_mix(empty).count() == 0 == mix(empty).count()
+    clashing = {c: F.lit(i) for i, c in enumerate(["mix_note", "mix_copies", "rate", "coin", "row", "of", "copies", "size", "target", "source_size"])}
+    mixed = mix(edges.withColumns(clashing))
+    assert mixed.columns == [*edges.columns, *clashing]
+    assert Counter(map(tuple, mixed.collect())) == Counter((*r, *range(len(clashing))) for r in mix(edges).collect())
+    planned = plan_mix(edges.withColumns(clashing))
+    assert planned.columns == [*edges.columns, *[c for c in clashing if c != "mix_copies"], *module.ADDED]
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_texts_are_not_shuffled_within_the_bound(edges, monkeypatch, most):
+    monkeypatch.setattr(module, "MOST_SOURCES", most)
+    mixed = mix(edges.withColumn("rate", F.lit(1)))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (most > 1)
+    assert Counter(map(tuple, mixed.drop("rate").collect())) == Counter(map(tuple, mix(edges).collect()))
