@@ -4,9 +4,9 @@ A linear model on statistics of the whole text minimises the non-negative unbias
 
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 
-with the logistic loss, trusted positives P (label 1 in the training fold), unlabelled web text U, and a class prior
-estimated from the training fold. It is fitted on the driver from samples of about ``SAMPLE`` rows each (a documented
-bound; the rows are those with the smallest hashes of their ids); scoring covers all rows.
+with the logistic loss, trusted positives P (label 1 in the training fold), unlabelled web text U, and a class prior that
+is estimated from P and U alone: labels 0 aren't used. It is fitted on the driver from at most ``sample`` rows of each (a
+parameter of :func:`fit`; the rows are those with the smallest hashes of id and text); scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -88,6 +88,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def risk(weights: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risk's two parts, of positives and of negatives (which may be below zero), and their slopes (the bias last)."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    softplus = lambda z: np.logaddexp(0, z)
+    slope = lambda x, d: np.append(x.T @ d, d.sum()) / len(d)
+    zp, zu = p @ weights + bias, u @ weights + bias
+    sp, su = sigmoid(zp), sigmoid(zu)
+    positive, negative = prior * softplus(-zp).mean(), softplus(zu).mean() - prior * softplus(zp).mean()
+    return positive, negative, prior * slope(p, sp - 1), slope(u, su) - prior * slope(p, sp)
+
+
 def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 1e-4) -> Model:
     """Full-batch Adam on the non-negative risk. While its second part is negative, the step goes up that part's slope
     instead, so that the model unlearns what made it so."""
@@ -96,15 +107,9 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     weights, bias = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    softplus = lambda z: np.logaddexp(0, z)
     for step in range(1, steps + 1):
-        zp, zu = p @ weights + bias, u @ weights + bias
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative = softplus(zu).mean() - prior * softplus(zp).mean()
-        slope = lambda x, d: np.append(x.T @ d, d.sum()) / len(d)
-        of_negative = slope(u, su) - prior * slope(p, sp)
-        gradient = prior * slope(p, sp - 1) + of_negative if negative >= 0 else -of_negative
+        _, negative, of_positive, of_negative = risk(weights, bias, p, u, prior)
+        gradient = of_positive + of_negative if negative >= 0 else -of_negative
         gradient[:-1] += penalty * weights
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -117,42 +122,76 @@ def remainder(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def sampled(df: DataFrame, id_: Column, rows: int, salt: int) -> DataFrame:
-    """All rows if there are at most SAMPLE, else about SAMPLE of them, by a hash of the id."""
-    if rows <= SAMPLE:
-        return df
-    return df.where(F.pmod(F.xxhash64(id_, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / rows))
-
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from the scores of both.
 
-def collected(texts: DataFrame) -> np.ndarray:
-    """Features of a bounded sample (columns doc_id, text), in the order of ids."""
+    Above any score lie a share p of the positives and a share u of the unlabelled, of which at least prior * p are
+    positives: prior <= u / p. The bound is taken at the score where it is least, allowing for chance in both shares
+    (``doubt`` is the probability of being off by more), so that few rows at the top don't decide.
+    """
+    above = np.sort(positive)[::-1]
+    share = np.arange(1, len(above) + 1) / len(above)
+    of_all = 1 - np.searchsorted(np.sort(unlabelled), above, side="left") / len(unlabelled)
+    chance = sum(np.sqrt(np.log(4 / doubt) / 2 / len(x)) for x in (positive, unlabelled))
+    whole = np.append(above[1:] != above[:-1], True)  # equal scores count together
+    at = int(np.argmin(np.where(whole, (of_all + chance) / share, np.inf)))
+    return float(np.clip(of_all[at] / share[at], 0.02, 0.98))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior of the unlabelled rows. Each half of the rows is scored by a model of the other half; a better prior
+    gives better scores, and these a better prior."""
+    prior = 0.5
+    if min(len(positive), len(unlabelled)) < 2:
+        return prior
+    for _ in range(3):
+        found = []
+        for half in (0, 1):
+            trial = fit_risk(positive[1 - half :: 2], unlabelled[1 - half :: 2], prior, steps=300)
+            found.append(least_ratio(trial.score(positive[half::2]), trial.score(unlabelled[half::2])))
+        prior = sum(found) / 2
+    return prior
+
+
+def collected(texts: DataFrame, rows: int, sample: int, salt: int) -> np.ndarray:
+    """Features of all ``rows`` texts (columns doc_id, text), or of the ``sample`` with the smallest hashes of id and text.
+
+    A threshold on the hash turns most rows away before their features are taken; it is raised if too few pass, as
+    repeated rows have one hash and pass or fail together. The limit, not the threshold, is the bound on what reaches the
+    driver.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.array([features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], names=["doc_id", "f"])
+            found = pa.array([features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), found], names=["h", "f"])
 
-    binary = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = sorted((r[0] is None, r[0] or 0, bytes(r[1])) for r in binary.mapInArrow(work, "doc_id bigint, f binary").collect())
-    return np.array([np.frombuffer(f) for _, _, f in rows]).reshape(len(rows), MANY)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 30))
+    given = texts.select(place.alias("h"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    share = min(1.0, (1.2 * sample + 100) / max(1, rows))
+    while True:
+        passed = given if share == 1 else given.where(F.col("h") < int((1 << 30) * share))
+        found = passed.mapInArrow(work, "h bigint, f binary").orderBy("h", "f").limit(sample).collect()
+        if share == 1 or len(found) == sample:
+            return np.array([np.frombuffer(r["f"]) for r in found]).reshape(len(found), MANY)
+        share = min(1.0, 8 * share)
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, prior: float | None = None) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, prior: float | None = None, sample: int = SAMPLE) -> Model:
     """``documents``: doc_id, text. ``labels``: doc_id, quality (others ignored), of which the held-out fold isn't read.
 
-    Without a positive row to learn from, all texts score the prior. Without any label the prior is 0.5.
+    At most ``sample`` positives and ``sample`` unlabelled texts are learnt from. Without a positive row to learn from, or
+    without documents, all texts score the prior (0.5 if none is given).
     """
-    known = labels.select("doc_id", "quality").where((remainder(F.col("doc_id")) != 0) & F.col("quality").isin(0, 1))
-    ones, all_ = known.agg(F.sum("quality"), F.count(F.lit(1))).first()
-    ones = int(ones or 0)
-    prior = prior if prior is not None else (ones + 1) / (all_ + 2)
-    trusted = sampled(known.where("quality = 1"), F.col("doc_id"), ones, 1).select("doc_id").distinct()
+    known = labels.select("doc_id", "quality").where((remainder(F.col("doc_id")) != 0) & (F.col("quality") == 1))
     texts = documents.select("doc_id", "text")
-    unlabelled = collected(sampled(texts, F.col("doc_id"), texts.count(), 2))
-    positive = collected(texts.join(trusted, "doc_id", "left_semi"))
+    trusted = texts.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    positive = collected(trusted, trusted.select("doc_id").count(), sample, 1)
+    unlabelled = collected(texts, texts.count(), sample, 2)
     if not len(positive) or not len(unlabelled):
+        prior = 0.5 if prior is None else prior
         return Model(np.zeros(MANY), np.ones(MANY), np.zeros(MANY), float(np.log(prior / (1 - prior))), prior)
-    return fit_risk(positive, unlabelled, prior)
+    return fit_risk(positive, unlabelled, estimated_prior(positive, unlabelled) if prior is None else prior)
 
 
 def classify(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:

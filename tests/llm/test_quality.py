@@ -1,10 +1,11 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.llm.quality import MANY, classify, features, fit, fit_risk, op6_quality
+from noticeloom.llm.quality import MANY, classify, collected, estimated_prior, features, fit, fit_risk, op6_quality, risk
 from tests.llm.conftest import EDGES
 
 
@@ -24,6 +25,49 @@ def test_risk_separates_without_negatives():
     assert order > 0.98  # the area under the curve, without one labelled negative
 
 
+def plain_risk(weights, bias, p, u, prior):
+    """Row by row, from the definition."""
+    z = lambda x: sum(a * b for a, b in zip(x, weights)) + bias
+    loss = lambda x, sign: math.log(1 + math.exp(-sign * z(x)))
+    mean = lambda values: sum(values) / len(values)
+    return prior * mean([loss(x, 1) for x in p]), mean([loss(x, -1) for x in u]) - prior * mean([loss(x, -1) for x in p])
+
+
+def test_risk_and_slopes_equal_a_plain_version():
+    rng = np.random.default_rng(7)
+    for _ in range(5):
+        p, u, weights, bias, prior = rng.normal(size=(20, 3)), rng.normal(size=(30, 3)), rng.normal(size=3), rng.normal(), rng.uniform(0.1, 0.9)
+        first, second, of_first, of_second = risk(weights, bias, p, u, prior)
+        assert (first, second) == pytest.approx(plain_risk(weights, bias, p, u, prior))
+        step = 1e-6
+        for i in range(4):
+            move = np.eye(4)[i] * step
+            more, less = (plain_risk(weights + s * move[:3], bias + s * move[3], p, u, prior) for s in (1, -1))
+            assert of_first[i] == pytest.approx((more[0] - less[0]) / (2 * step), abs=1e-5)
+            assert of_second[i] == pytest.approx((more[1] - less[1]) / (2 * step), abs=1e-5)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_the_prior_is_estimated_without_negatives(share):
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(1, 1, (4000, 3)), rng.normal(-2, 1, (4000, 3))
+    n = int(3000 * share)
+    unlabelled = rng.permutation(np.vstack([good[1000 : 1000 + n], bad[: 3000 - n]]))
+    assert estimated_prior(good[:1000], unlabelled) == pytest.approx(share, abs=0.06)
+
+
+def test_the_bound_holds_for_repeated_and_null_ids(spark):
+    repeated = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    nulls = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    for texts in (repeated, nulls, repeated.unionByName(nulls)):
+        n = texts.count()
+        assert len(collected(texts, n, 100, 1)) == 100
+        assert np.array_equal(collected(texts, n, 100, 1), collected(texts.repartition(7), n, 100, 1))
+    assert len(collected(repeated, 3000, 3000, 1)) == 3000
+    model = fit(repeated, spark.createDataFrame([(7, 1)], "doc_id bigint, quality int"), sample=50)
+    assert 0 < model.prior < 1
+
+
 def test_held_out_accuracy_and_use_of_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in op6_quality(spark, sf).collect()}
