@@ -3,7 +3,7 @@
 A payload of bytes is kept as 8-bit mu-law or A-law samples, or as the 4-bit codes of IMA ADPCM blocks, in a WAV file of
 8 kHz; the bytes read back from it are the payload again. Decoding expands mu-law and A-law by lookup tables of 256
 entries. ADPCM is sequential inside a block, so numpy steps through the samples of all blocks of a batch at once. PCM is
-resampled linearly and stored as 16-bit samples.
+resampled linearly and is a column of 16-bit samples in the result, beside the features computed from it.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ MULAW, ALAW, IMA_ADPCM = 7, 6, 17
 CODECS = {"mulaw": MULAW, "alaw": ALAW, "adpcm": IMA_ADPCM}
 #: An ADPCM block: its first sample (16 bits), step index and a zero, then codes, two in a byte, low one first.
 BLOCK_HEAD, BLOCK_CODES = 4, 288
-#: Blocks decoded at once.
-BLOCKS = 16_384
-
+#: Blocks decoded, and samples resampled, at once.
+BLOCKS, SAMPLES = 16_384, 1 << 20
 # Fixed values of the IMA ADPCM format.
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, dtype=np.int32)
 STEPS = np.array(
@@ -97,9 +96,10 @@ def encode_wav(payload: bytes, codec: str) -> bytes:
         extra = struct.pack("<HH", 2, samples)
     else:
         data, align, bits, per_second, extra = payload, 1, 8, RATE, struct.pack("<H", 0)
+    count = len(data) // align * (samples if tag == IMA_ADPCM else 1)
     form = struct.pack("<HHIIHH", tag, 1, RATE, per_second, align, bits) + extra
     pad = b"\0" * (len(data) % 2)
-    body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data + pad
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, count) + b"data" + struct.pack("<I", len(data)) + data + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -107,18 +107,22 @@ def read_wav(media: bytes) -> tuple[int, int, bytes]:
     """Format tag, block size and data, with headers and lengths checked."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE" or struct.unpack_from("<I", media, 4)[0] != len(media) - 8:
         raise ValueError("not a WAV file of its stated length")
-    at, tag, align, data = 12, None, 0, None
+    at, tag, align, data, count = 12, None, 0, None, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if at + 8 + size > len(media):
             raise ValueError("a chunk passes the file's end")
         if name == b"fmt ":
             tag, align = struct.unpack_from("<H", media, at + 8)[0], struct.unpack_from("<H", media, at + 20)[0]
+        elif name == b"fact":
+            count = struct.unpack_from("<I", media, at + 8)[0]
         elif name == b"data":
             data = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     if tag not in CODECS.values() or data is None:
         raise ValueError("no known format or no data")
+    if len(data) % align or count != len(data) // align * (2 * (align - BLOCK_HEAD) + 1 if tag == IMA_ADPCM else 1):
+        raise ValueError("the data isn't of the stated number of samples")
     return tag, align, data
 
 
@@ -160,12 +164,24 @@ def decode(media: list[bytes]) -> list[np.ndarray]:
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation in whole numbers, so that every machine gives the same samples."""
-    n = len(pcm) * to // rate
-    place = np.arange(n, dtype=np.int64) * rate
-    left, part = place // to, place % to
-    a = pcm[left].astype(np.int64)
-    b = pcm[np.minimum(left + 1, len(pcm) - 1)].astype(np.int64)
-    return ((a * (to - part) + b * part) // to).astype("<i2")
+    out = np.empty(len(pcm) * to // rate, dtype="<i2")
+    for start in range(0, len(out), SAMPLES):
+        place = np.arange(start, min(start + SAMPLES, len(out)), dtype=np.int64) * rate
+        left, part = place // to, place % to
+        a = pcm[left].astype(np.int64)
+        b = pcm[np.minimum(left + 1, len(pcm) - 1)].astype(np.int64)
+        out[start : start + SAMPLES] = (a * (to - part) + b * part) // to
+    return out
+
+
+def feature_of(pcm: np.ndarray, codec: str, rate: int) -> str:
+    peak = crossings = square = 0
+    for start in range(0, len(pcm), SAMPLES):
+        wide = pcm[max(0, start - 1) : start + SAMPLES].astype(np.int64)  # with the sample before
+        crossings += int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
+        own = wide[min(start, 1) :]
+        peak, square = max(peak, int(abs(own).max(initial=0))), square + int((own * own).sum())
+    return f"codec={codec};rate={rate};samples={len(pcm)};peak={peak};crossings={crossings};mean_square={square // max(1, len(pcm))};pcm_crc32={zlib.crc32(pcm.tobytes())}"
 
 
 def encode_media(df: DataFrame, *, payload_col: str = "payload", codec_col: str = "codec") -> DataFrame:
@@ -185,11 +201,12 @@ def encode_media(df: DataFrame, *, payload_col: str = "payload", codec_col: str
 
 
 def decode_media(df: DataFrame, *, media_col: str = "media", to_rate: int = 16_000, outputs: tuple[str, ...] = ("payload", "pcm", "feature")) -> DataFrame:
-    """``df`` without its media but with what ``outputs`` names: ``payload`` (the bytes read back), ``pcm`` (16-bit samples
-    resampled to ``to_rate``), ``feature`` (codec, samples, peak, zero crossings, mean square and checksum of the PCM),
-    ``digest`` (struct of payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256).
+    """``df`` without its media but with what ``outputs`` names: ``payload`` (the bytes read back), ``pcm`` (little-endian
+    16-bit samples resampled to ``to_rate``), ``feature`` (codec, samples, peak, zero crossings, mean square and checksum
+    of the PCM), ``digest`` (struct of payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256).
 
-    Null media give nulls. Files with wrong headers or lengths fail the job. An empty table gives no rows.
+    Null media give nulls. Files with wrong headers or lengths fail the job. Input columns of the outputs' names are
+    replaced. An empty table gives no rows.
     """
     kinds = {"payload": "binary", "pcm": "binary", "feature": "string", "digest": "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>"}
     names = [c for c in df.columns if c != media_col and c not in outputs]
@@ -197,33 +214,27 @@ def decode_media(df: DataFrame, *, media_col: str = "media", to_rate: int = 16_0
     schema = T.StructType([given.schema["row"], *T._parse_datatype_string(", ".join(f"{o} {kinds[o]}" for o in outputs)).fields])
     digest = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
     arrow = {"payload": pa.binary(), "pcm": pa.binary(), "feature": pa.string(), "digest": digest}
-    codec_of = {tag: name for name, tag in CODECS.items()}
+    codec_of, decoded = {tag: name for name, tag in CODECS.items()}, "pcm" in outputs or "feature" in outputs
 
     def one(media: bytes, pcm: np.ndarray | None) -> dict:
-        out = {}
-        if "payload" in outputs or "digest" in outputs:
-            payload = out["payload"] = payload_of(media)
+        payload = payload_of(media)
+        out: dict = {"payload": payload}
+        if decoded:
+            again = resample(pcm, RATE, to_rate)
+            out |= {"pcm": again.tobytes(), "feature": feature_of(again, codec_of[read_wav(media)[0]], to_rate)}
         if "digest" in outputs:
             out["digest"] = {
                 "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
                 "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
             }
-        if pcm is not None:
-            again = resample(pcm, RATE, to_rate)
-            out["pcm"] = again.tobytes() if "pcm" in outputs else None
-            wide = again.astype(np.int64)
-            crossings = int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))
-            mean_square = int((wide * wide).sum()) // max(1, len(wide))
-            codec = codec_of[read_wav(media)[0]]
-            out["feature"] = f"codec={codec};rate={to_rate};samples={len(wide)};peak={int(abs(wide).max(initial=0))};crossings={crossings};mean_square={mean_square};pcm_crc32={zlib.crc32(again.tobytes())}"
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, "media"):
                 media = [m.as_py() for m in batch.column("media")]
                 there = [m for m in media if m is not None]
-                pcm = iter(decode(there) if "pcm" in outputs or "feature" in outputs else [None] * len(there))
+                pcm = iter(decode(there) if decoded else [None] * len(there))
                 found = [{} if m is None else one(m, next(pcm)) for m in media]
                 columns = [pa.array([x.get(o) for x in found], arrow[o]) for o in outputs]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], names=["row", *outputs])
@@ -231,9 +242,9 @@ def decode_media(df: DataFrame, *, media_col: str = "media", to_rate: int = 16_0
     return given.mapInArrow(work, schema).select("row.*", *outputs)
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` bytes of media, as PCM takes several times the room."""
-    sizes = np.cumsum([0 if not m.is_valid else len(m.as_buffer()) for m in batch.column("media")])
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of a column, as PCM takes several times the room."""
+    sizes = np.cumsum([0 if not m.is_valid else len(m.as_buffer()) for m in batch.column(column)])
     start, before = 0, 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
@@ -250,8 +261,9 @@ def padded(text, unit: int = UNIT):
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
-    """Stores each payload in the codec that its checksum picks, in a table of media, and reads the table back."""
+    """Stores each payload in the codec that its checksum picks, in a table of media, and reads the table back. The
+    resampled PCM is the result's last column."""
     documents = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded(F.col("text")).alias("payload"))
     codec = F.element_at(F.array(*map(F.lit, CODECS)), (F.crc32("payload") % len(CODECS) + 1).cast("int"))
     stored = saved(encode_media(documents.withColumn("codec", codec)), "media")
-    return decode_media(stored, outputs=("digest", "feature")).select("doc_id", "n_bytes", "digest.*", "feature")
+    return decode_media(stored, outputs=("digest", "feature", "pcm")).select("doc_id", "n_bytes", "digest.*", "feature", "pcm")
