@@ -5,15 +5,17 @@ Parsing HTML has no built-in function; a small tree on the standard library's pa
 
 from __future__ import annotations
 
-from __future__ import annotations
-
+import codecs
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urlencode, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeloom.functions.values import ATTACHMENT
 
@@ -27,13 +29,30 @@ SELECTORS = {
 }
 ALTERNATES = [".content", ".sub", ".sub_cont", ".sub-content", ".board_view", ".view_cont", ".view-content", ".view_content", "article"]
 MAPPED_SECTIONS = {"apply_method": "신청방법 및 대상", "documents": "제출서류", "contact": "문의처"}
+PROXY_PATH, FILE_NUMBERS = "/api/attachments/msit", ["nttSeqNo", "atchFileNo", "fileOrd"]
 GENERIC_TEXT = re.compile("(?i)^(?:다운로드|바로보기|내려받기|첨부파일|download|view)$")
 GENERIC_TITLE = re.compile(r"^(?:파일\s?다운로드|다운로드|첨부파일)$")
 FILE_NAME = re.compile(r"(?i)\.(?:pdf|hwpx?|docx?|xlsx?|pptx?|zip)(?:$|[?#])")
 FILE_WORD = re.compile("(?i)file|atch|attach|download")
 RED_NAMES = {"red", "crimson", "firebrick", "darkred", "orangered", "tomato", "indianred", "maroon"}
 RED, BOLD = ("[[em]]", "[[/em]]"), ("[[b]]", "[[/b]]")
-LEAST_TEXT, MOST_TEXT, MOST_FILES, MOST_LABEL = 20, 200_000, 50, 300
+LEAST_TEXT = 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What is kept of a page (characters of text, files, characters of a label), and how deep nodes nest: as browsers do,
+    what is deeper stands beside its parent."""
+
+    text: int = 200_000
+    files: int = 50
+    label: int = 300
+    depth: int = 512
+
+
+LIMITS = Limits()
+#: Korean names of one character set.
+EUC_KR = {"ks_c_5601-1987", "ksc5601", "cp949", "euc-kr"}
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DROPPED = {"script", "style", "noscript", "template", "svg", "canvas", "iframe", "nav", "header", "footer"}
@@ -85,28 +104,52 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Builds nodes; a few end tags may be missing."""
+    """Builds nodes; a few end tags may be missing. Marked sections that aren't HTML go, as a browser's comments do."""
+
+    UNKNOWN_SECTION = re.compile(r"(?i)<!\[(?!cdata\[|if\b|else\b|endif\b)[^>]*(?:>|$)")
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, deepest: int = LIMITS.depth):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
-        self.feed(html)
-        self.close()
+        self.depth, self.deepest = 0, deepest
+        #: Open nodes beyond the depth; they hold nothing, their text goes to the deepest node.
+        self.beyond: list[str] = []
+        self.held: Counter = Counter()
+        try:
+            self.feed(self.UNKNOWN_SECTION.sub("", html))
+            self.close()
+        except AssertionError:
+            pass  # what the parser gives up on ends the page
 
     def handle_starttag(self, tag, attrs):
-        while tag in CLOSED_BY.get(self.at.name, ()):
+        while not self.beyond and tag in CLOSED_BY.get(self.at.name, ()):
             self.at = self.at.parent
+            self.depth -= 1
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in VOID:
+        if tag in VOID:
+            return
+        if self.depth < self.deepest:
             self.at = node
+            self.depth += 1
+        else:
+            self.beyond.append(tag)
+            self.held[tag] += 1
 
     def handle_endtag(self, tag):
-        node = self.at
+        if self.held[tag]:
+            while (name := self.beyond.pop()) != tag:
+                self.held[name] -= 1
+            self.held[tag] -= 1
+            return
+        node, up = self.at, 1
         while node is not None and node.name != tag:
-            node = node.parent
+            node, up = node.parent, up + 1
         if node is not None and node.parent is not None:
             self.at = node.parent
+            self.depth -= up
+            self.beyond.clear()
+            self.held.clear()
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -138,7 +181,7 @@ def is_red(color: str) -> bool:
     if m := re.fullmatch("#([0-9a-f]{3}|[0-9a-f]{6})", color):
         digits = m[1] if len(m[1]) == 6 else "".join(2 * d for d in m[1])
         r, g, b = (int(digits[i : i + 2], 16) for i in (0, 2, 4))
-    elif m := re.match(r"rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)", color):
+    elif m := re.match(r"rgba?\(\s*(\d{1,9})\s*,\s*(\d{1,9})\s*,\s*(\d{1,9})", color):
         r, g, b = map(int, m.groups())
     else:
         return False
@@ -203,15 +246,15 @@ def sections(root: Node) -> list[dict]:
 
 def private(host: str) -> bool:
     host = host.lower().rstrip(".")
-    m = re.match(r"172\.(\d+)\.", host)
+    m = re.match(r"172\.(\d{1,3})\.", host)
     return host == "localhost" or host.endswith(".local") or re.match(r"127\.|10\.|192\.168\.|169\.254\.", host) is not None or (m is not None and 16 <= int(m[1]) <= 31)
 
 
-def attachments(root: Node, url: str) -> list[dict]:
+def attachments(root: Node, url: str, limits: Limits = LIMITS) -> list[dict]:
     found: dict[str, str] = {}
     for a in root.select("a"):
         href = a.attributes.get("href", "").strip()
-        if len(found) >= MOST_FILES or not href or href[0] == "#" or href.lower().startswith("javascript:"):
+        if len(found) >= limits.files or not href or href[0] == "#" or href.lower().startswith("javascript:"):
             continue
         text, title = squeezed(a.raw_text()), squeezed(a.attributes.get("title", ""))
         no_text, no_title = not text or GENERIC_TEXT.match(text), not title or GENERIC_TITLE.match(title)
@@ -233,22 +276,25 @@ def attachments(root: Node, url: str) -> list[dict]:
         except ValueError:
             continue
         if parts.scheme in ("http", "https") and parts.hostname and not (parts.username or parts.password or private(parts.hostname)):
-            found.setdefault(whole, label[:MOST_LABEL])
+            found.setdefault(whole, label[: limits.label])
     return [{"label": label, "url": u} for u, label in found.items()]
 
 
-def numbered_files(root: Node, url: str, path: str = "/api/attachments/msit") -> list[dict]:
+def numbered_files(root: Node, url: str, path: str = PROXY_PATH, limits: Limits = LIMITS) -> list[dict]:
     """Files of a board that names them by numbers in a script call; addresses go through a proxy path."""
-    page = parse_qs(urlsplit(url or "").query).get("nttSeqNo", [""])[0].strip()
-    if not re.fullmatch(r"\d{1,20}", page):
+    try:
+        page = parse_qs(urlsplit(url or "").query).get("nttSeqNo", [""])[0].strip()
+    except ValueError:  # no address
+        return []
+    if not re.fullmatch(r"[0-9]{1,20}", page):
         return []
     found: dict[tuple, dict] = {}
     for item in (li for box in root.select(".down_file") for li in box.children if isinstance(li, Node) and li.name == "li"):
         calls = [a.attributes.get("onclick", "") for box in item.select(".down_btn") for a in box.select("a") if "fn_download" in a.attributes.get("onclick", "")]
         m = re.search(r"""(?i)fn_download\(\s*['"](\d{1,20})['"]\s*,\s*['"](\d{1,20})['"]\s*,\s*['"][a-z0-9]{1,12}['"]\s*\)""", calls[0]) if calls else None
-        if m and m.groups() not in found and len(found) < MOST_FILES:
+        if m and m.groups() not in found and len(found) < limits.files:
             names = [a.raw_text() for a in item.select("a") if "ico_file_" in a.attributes.get("class", "")]
-            label = re.sub(r"\s+", " ", names[0]).strip()[:MOST_LABEL] if names else ""
+            label = re.sub(r"\s+", " ", names[0]).strip()[: limits.label] if names else ""
             query = urlencode({"nttSeqNo": page, "atchFileNo": m[1], "fileOrd": m[2]})
             found[m.groups()] = {"label": label or f"{ATTACHMENT} {len(found) + 1}", "url": f"{path}?{query}"}
     return list(found.values())
@@ -260,31 +306,80 @@ def empty_shell(root: Node, files: list[dict], iframe: bool, login: bool, app: b
     return not (iframe or files or login or app or len(text_of(body_of(root))) >= LEAST_TEXT or any(len(text_of(n)) >= LEAST_TEXT for s in there for n in root.select(s)))
 
 
+def proxied_file(url: str | None, path: str = PROXY_PATH) -> str | None:
+    """A proxied file's address in its one form, or None if it isn't one: the path and three numbers."""
+    if not url or not url.startswith(f"{path}?"):
+        return None
+    try:
+        parts = urlsplit(url)
+        query = parse_qs(parts.query, keep_blank_values=True)
+    except ValueError:
+        return None
+    found = {k: query.get(k, [""])[0].strip() for k in FILE_NUMBERS}
+    if parts.path != path or not all(re.fullmatch("[0-9]{1,20}", v) for v in found.values()):
+        return None
+    return f"{path}?{urlencode(found)}"
+
+
+def page_has_file(html: str | None, file: str, order: str) -> bool:
+    """Whether a board's page offers the file of these numbers."""
+    numbers = re.fullmatch("[0-9]{1,20}", file) and re.fullmatch("[0-9]{1,20}", order)
+    return bool(numbers and re.search(rf"""(?i)fn_download\(\s*['"]{file}['"]\s*,\s*['"]{order}['"]\s*,""", html or ""))
+
+
+def decode_html(page: bytes | None, content_type: str | None = None) -> str | None:
+    """A page's text: by the charset of the response, else of a meta element in its first 8 KB, else as UTF-8, which also
+    stands in for charsets that aren't known. Bytes that don't fit become U+FFFD."""
+    if page is None:
+        return None
+    stated = re.search(r"(?i)charset=[\"']?([\w-]+)", content_type or "") or re.search(r"(?i)<meta[^>]+charset\s*=\s*[\"']?([\w-]+)", page[:8192].decode("latin1"))
+    name = stated[1].lower() if stated else "utf-8"
+    try:
+        name = codecs.lookup("cp949" if name in EUC_KR else name).name
+        return page.decode(name, "replace").removeprefix("\ufeff")
+    except (LookupError, UnicodeError):
+        return page.decode("utf-8", "replace").removeprefix("\ufeff")
+
+
+@F.pandas_udf(T.StringType())
+def decoded_html(page: pd.Series, content_type: pd.Series) -> pd.Series:
+    return pd.Series([decode_html(p, c) for p, c in zip(page, content_type, strict=True)], dtype="object")
+
+
+@F.pandas_udf(T.StringType())
+def proxied_url(url: pd.Series) -> pd.Series:
+    return url.map(proxied_file, na_action="ignore")
+
+
 DETAIL = "detail_content string, sections array<struct<title:string,body:string>>, apply_method string, documents string, contact string, attachments array<struct<label:string,url:string>>, reason string"
 
 
-def page_detail(html: str | None, url: str | None, source: str | None) -> dict:
-    tree = Tree(html or "").root
+def page_detail(html: str | None, url: str | None, source: str | None, limits: Limits = LIMITS) -> dict:
+    tree = Tree(html or "", limits.depth).root
     login = any(n.attributes.get("type") == "password" for n in tree.select("input"))
     iframe, app = bool(tree.select("iframe")), any(n.attributes.get("id") in ("root", "app", "__next") for n in tree.select("div"))
     root = cleared(tree)
-    files = (numbered_files(root, url) if source == "msit" else []) or attachments(root, url)
+    files = (numbered_files(root, url, limits=limits) if source == "msit" else []) or attachments(root, url, limits)
     parts = sections(root) if source == "kstartup" else []
     mapped = {k: next((p["body"] for p in parts if t in p["title"]), None) for k, t in MAPPED_SECTIONS.items()}
     text = "\n\n".join(f"{p['title']}\n{p['body']}" for p in parts) or main_text(root, SELECTORS.get(source, ["main", "article"]))
     reason = None
     if len(text) < LEAST_TEXT:
         reason = "empty_shell_200" if source == "kstartup" and empty_shell(root, files, iframe, login, app) else "본문 없음"
-    return {"detail_content": text[:MOST_TEXT], "sections": parts, **mapped, "attachments": files, "reason": reason}
+    return {"detail_content": text[: limits.text], "sections": parts, **mapped, "attachments": files, "reason": reason}
 
 
-def _detail(html: pd.Series, url: pd.Series, source: pd.Series) -> pd.DataFrame:
+def parse_pages(pages: DataFrame, source: Column | None = None, limits: Limits = LIMITS) -> DataFrame:
+    """``pages`` (url, html, ...) with a struct ``detail`` and ``detail_content_hash``. ``html`` may be bytes; a column
+    ``content_type`` then may name their charset. Pages that aren't HTML, and null ones, have no text and a reason."""
     names = ["detail_content", "sections", "apply_method", "documents", "contact", "attachments", "reason"]
-    return pd.DataFrame([page_detail(*row) for row in zip(html, url, source, strict=True)], columns=names)
 
+    def details(html: pd.Series, url: pd.Series, source: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_detail(*row, limits) for row in zip(html, url, source, strict=True)], columns=names)
 
-def parse_pages(pages: DataFrame, source: Column | None = None) -> DataFrame:
-    """``pages`` (url, html, ...) with a struct ``detail`` and ``detail_content_hash``."""
-    parsed = pages.withColumn("detail", F.pandas_udf(_detail, DETAIL)("html", "url", source if source is not None else F.lit(None).cast("string")))
+    html = F.col("html")
+    if dict(pages.dtypes)["html"] == "binary":
+        html = decoded_html(html, F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string"))
+    parsed = pages.withColumn("detail", F.pandas_udf(details, DETAIL)(html, "url", source if source is not None else F.lit(None).cast("string")))
     hashed = [F.col(f"detail.{c}") for c in ("detail_content", "apply_method", "documents", "contact", "attachments")]
     return parsed.withColumn("detail_content_hash", F.sha2(F.to_json(F.struct(*hashed), {"ignoreNullFields": "false"}), 256))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators.html import Tree, attachments, cleared, is_red, main_text, page_detail, parse_pages, text_of
+from noticeloom.operators.html import Limits, Tree, attachments, cleared, decode_html, is_red, main_text, page_detail, page_has_file, parse_pages, proxied_file, text_of
 from noticeloom.operators.lines import classify_lines, text_lines
 from noticeloom.operators.region import RegionInference, infer_region
 
@@ -128,3 +130,60 @@ def test_regions(given, expected):
 def test_regions_in_spark(spark):
     df = spark.createDataFrame([("[서울] 지원", None, None), (None, None, None)], "t string, a string, s string")
     assert [r[0].region for r in df.select(infer_region("t", "a", "s", F.lit(None).cast("string"))).collect()] == ["서울", "미확인"]
+
+
+ODD = [
+    ("<![foo[x]]> the text of this page goes on and on", "the text of this page goes on and on"),
+    ("<p>the text before a section that never ends <![foo[", "the text before a section that never ends"),
+    ("<font color='rgb(" + "9" * 5000 + ",1,1)'>the text in a colour that is none</font>", "the text in a colour that is none"),
+    ("<![if !x]>a conditional part of a page<![endif]>", "a conditional part of a page"),
+]
+
+
+@pytest.mark.parametrize("page, text", ODD)
+def test_odd_markup_gives_a_row(page, text):
+    assert detail(page, "http://[bad", "msit")["detail_content"] == text
+
+
+@pytest.mark.parametrize("page", ["<div class='content'>" * 100_000 + "deep text that is long enough" + "</div>" * 100_000 + "<p>after</p>", "<p>a" * 100_000, "<li><a download href='/f'>download</a>" * 20_000, "x" * 20_000_000])
+def test_deep_and_long_pages_take_seconds(page):
+    began = time.time()
+    found = detail(page)
+    assert time.time() - began < 60
+    assert len(found["detail_content"]) <= 200_000
+    if "after" in page:
+        assert "deep text that is long enough" in found["detail_content"] and found["detail_content"].endswith("after")
+
+
+def test_limits_are_parameters():
+    page = "<main>" + "".join(f"<a href='/{i}.pdf'>file {i}</a>" for i in range(60)) + "</main>"
+    assert len(detail(page)["attachments"]) == 50
+    wide = page_detail(page, "https://h.kr/", None, Limits(text=10, files=100, label=4))
+    assert (len(wide["attachments"]), wide["attachments"][0]["label"], len(wide["detail_content"])) == (60, "file", 10)
+
+
+def test_charsets():
+    page = "<meta charset='euc-kr'><p>한국</p>"
+    assert decode_html(page.encode("cp949")) == page
+    assert decode_html("한국".encode("cp949"), "text/html; charset=KS_C_5601-1987") == "한국"
+    assert decode_html("한국".encode(), "text/html; charset=nonsense") == "한국"
+    assert decode_html(b"a\xffb") == "a\ufffdb"
+    assert decode_html("\ufeffx".encode()) == "x"
+    assert decode_html(None) is None
+
+
+def test_pages_as_bytes_and_nulls(spark):
+    page = "<main>충분히 긴 본문이 여기에 있습니다. 그리고 더 있습니다.</main>"
+    rows = [(1, "https://h.kr/", page.encode("cp949"), "text/html; charset=euc-kr"), (2, None, None, None), (3, "https://h.kr/", b"\x00\xff\xfe", "charset=utf-16")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html binary, content_type string")
+    found = {r["page_id"]: r["detail"] for r in parse_pages(df).collect()}
+    assert found[1]["detail_content"] == "충분히 긴 본문이 여기에 있습니다. 그리고 더 있습니다."
+    assert found[2]["reason"] and found[3]["reason"]
+
+
+def test_proxied_files():
+    assert proxied_file("/api/attachments/msit?fileOrd=1&nttSeqNo=3&atchFileNo=%202") == "/api/attachments/msit?nttSeqNo=3&atchFileNo=2&fileOrd=1"
+    for bad in (None, "", "/api/attachments/msit", "/api/attachments/msit?nttSeqNo=3", "/api/attachments/msit?nttSeqNo=3&atchFileNo=x&fileOrd=1", "/other?nttSeqNo=3&atchFileNo=2&fileOrd=1", "//h/api/attachments/msit?nttSeqNo=3&atchFileNo=2&fileOrd=1"):
+        assert proxied_file(bad) is None
+    assert page_has_file("<a onclick=\"FN_download('12', '1', 'hwp')\">", "12", "1")
+    assert not page_has_file("<a onclick=\"fn_download('12', '1', 'hwp')\">", "12", "2") and not page_has_file("", "x", "1")
