@@ -1,11 +1,9 @@
-"""Text functions on columns. All but those of whole Unicode forms and bigrams stay in the JVM."""
+"""Text functions on columns. All but the folding of Unicode forms stay in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +14,7 @@ from noticeloom.functions.values import QUESTION_ENDINGS
 
 #: White space as Unicode-aware trimming sees it; spelled out, as regex dialects differ on the short form.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# Characters and marks that are cleared or recognised.
 EMOJI = r"[\x{1F000}-\x{10FFFF}]|[\x{2600}-\x{27BF}]\x{FE0F}?|\x{FE0F}|\x{200D}"
 BRACKETS = r"[\[\]()〈〉<>「」『』【】]"
 EMPHASIS = r"\[\[/?(?:em|b)\]\]"
@@ -56,7 +55,7 @@ def has_one(text: Column, keywords: list[str]) -> Column:
 
 # -- HTML remains ----------------------------------------------------------------------------------------------------
 
-# Ampersands first, so that twice encoded tags become tags and go.
+# Fixed values. Ampersands first, so that twice encoded tags become tags and go.
 NAMED = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'")]
 TAGS = [(r"(?i)<br\s*/?>", "\n"), ("(?i)</p>", "\n"), ("<[^>]+>", " ")]
 
@@ -118,7 +117,7 @@ def strip_emphasis(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+    return s.str.normalize("NFKC")
 
 
 def hash_form(c: Column) -> Column:
@@ -146,42 +145,34 @@ def digit_signature(c: Column) -> Column:
     return F.array_join(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), "|")
 
 
-def _numbered_bigrams(text: str) -> list[str]:
-    """Bigrams, each with its occurrence number, so that sets of them intersect as multisets do."""
-    seen: Counter = Counter()
-    out = []
-    for i in range(len(text) - 1):
-        pair = text[i : i + 2]
-        seen[pair] += 1
-        out.append(f"{pair}{seen[pair]}")
-    return out
+def bigrams(c: Column) -> Column:
+    """Bigrams, each with its occurrence number, so that sets of them intersect as multisets do; in time linear in the
+    text but for a sort. Texts of under two characters have none."""
+    characters = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    pairs = once(characters, lambda ch: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(ch) - 1), lambda i: F.concat(F.get(ch, i - 1), F.get(ch, i)))))
 
+    def numbered(sorted_: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(sorted_) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def bigrams(s: pd.Series) -> pd.Series:
-    return s.map(_numbered_bigrams, na_action="ignore")
+        def runs(at: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(at, k + 1), F.size(sorted_))
+            each = lambda start, k: F.transform(F.sequence(F.lit(1), end(k) - start), lambda n: F.concat(F.get(sorted_, start), n.cast("string")))
+            return F.flatten(F.transform(at, each))
 
+        return once(starts, runs)
 
-@lru_cache(maxsize=20_000)
-def _counted(text: str) -> Counter:
-    return Counter(map("".join, zip(text, text[1:])))
+    return F.when(F.length(c) >= 2, once(pairs, numbered)).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
-def dice_score(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    if len(a) < 2 or len(b) < 2:
-        return 0.0
-    fewer, more = sorted((_counted(a), _counted(b)), key=len)
-    return 2.0 * sum(min(n, more[g]) for g, n in fewer.items() if g in more) / (len(a) + len(b) - 2)
+def dice_of(a: Column, b: Column, grams_a: Column, grams_b: Column) -> Column:
+    """Twice the common bigrams by all bigrams; equal texts have 1, others of under two characters 0."""
+    common = 2.0 * F.size(F.array_intersect(grams_a, grams_b)) / (F.length(a) + F.length(b) - 2)
+    return F.when(a == b, F.lit(1.0)).when((F.length(a) < 2) | (F.length(b) < 2), F.lit(0.0)).otherwise(common)
 
 
-@F.pandas_udf(T.DoubleType())
-def dice(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the common bigrams by all bigrams; equal texts have 1, others of under two characters 0."""
-    return pd.Series([dice_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def dice(a: Column, b: Column) -> Column:
+    return dice_of(a, b, bigrams(a), bigrams(b))
 
 
 # -- addresses -------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import dates
 from noticeloom.functions.scratch import written
-from noticeloom.functions.text import bigrams, dedup_title, dice, digit_signature, view_title
+from noticeloom.functions.text import bigrams, dedup_title, dice_of, digit_signature, view_title
 from noticeloom.functions.values import FUZZY_DICE, MIN_CANONICAL
 
 
@@ -28,6 +28,17 @@ def public_view(notices: DataFrame, today: Column) -> DataFrame:
     return best.join(earlier, hidden, "left_anti").drop("_title").withColumn("status", dates.status(F.col("apply_end"), today))
 
 
+def keyed(df: DataFrame, canonical) -> DataFrame:
+    """Rows with a title of at least ten kept characters, and that title."""
+    return df.withColumn("canonical", canonical(F.col("title"))).where(F.length("canonical") >= MIN_CANONICAL)
+
+
+def exact_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=dedup_title) -> DataFrame:
+    """Ids of ``candidates`` that have a title of ``preferred``, whatever the deadlines; an equi-join of titles."""
+    known = keyed(preferred.select("title"), canonical).select("canonical").distinct()
+    return keyed(candidates.select("id", "title"), canonical).join(known, "canonical", "left_semi").select("id", F.lit("exact").alias("how"))
+
+
 def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=dedup_title, threshold: float = FUZZY_DICE) -> DataFrame:
     """Ids of ``candidates`` (id, title, apply_end) that repeat a title of ``preferred`` (title, apply_end): exactly,
     whatever the deadlines, or with a bigram similarity of at least ``threshold``, the same digit runs, and deadlines that
@@ -37,20 +48,16 @@ def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=
     share one of the rarest of each, and only titles with the same digit runs and such a bigram are compared.
     """
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("canonical", canonical(F.col("title"))).where(F.length("canonical") >= MIN_CANONICAL)
-
-    left = keyed(candidates.select("id", "title", "apply_end"))
-    known = keyed(preferred.select("title", "apply_end")).select("canonical", "apply_end").distinct()
-    exact = left.join(known.select("canonical").distinct(), "canonical", "left_semi").select("id", F.lit("exact").alias("how"))
-
+    left = keyed(candidates.select("id", "title", "apply_end"), canonical)
+    known = keyed(preferred.select("title", "apply_end"), canonical).select("canonical", "apply_end").distinct()
+    exact = exact_duplicates(candidates, preferred, canonical)
     rest = left.join(exact.select("id"), "id", "left_anti").select("id", "canonical", "apply_end")
     # Titles go by a digest, so that a row per bigram doesn't carry the title.
     titles = rest.select("canonical", F.lit(1).alias("own")).unionByName(known.select("canonical", F.lit(0).alias("own")))
     titles = titles.groupBy("canonical").agg(F.max("own").alias("own"), F.min("own").alias("theirs"))
-    titles = titles.select(F.md5(F.col("canonical").cast("binary")).alias("key"), "canonical", "own", (1 - F.col("theirs")).alias("theirs"), (F.length("canonical") - 1).alias("n"), digit_signature(F.col("canonical")).alias("digits"))
-    titles = written(titles, "titles")  # or the digits would be sought again for each bigram
-    parts = titles.select("key", "own", "theirs", "n", "digits", F.explode(bigrams(F.col("canonical"))).alias("bigram"))
+    titles = titles.select(F.md5(F.col("canonical").cast("binary")).alias("key"), "canonical", "own", (1 - F.col("theirs")).alias("theirs"), (F.length("canonical") - 1).alias("n"), digit_signature(F.col("canonical")).alias("digits"), bigrams(F.col("canonical")).alias("grams"))
+    titles = written(titles, "titles")  # or digits and bigrams would be sought again for each pair
+    parts = titles.select("key", "own", "theirs", "n", "digits", F.explode("grams").alias("bigram"))
     common = parts.groupBy("digits", "bigram").agg(F.count(F.lit(1)).alias("titles")).where("titles > 1")
     each = Window.partitionBy("key")
     # A bigram that no other title has comes first in the order and joins nothing: it only takes its place.
@@ -65,8 +72,10 @@ def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=
     near = prefix.where("own = 1").select("key", "n", "digits", "bigram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     fits = 2 * F.least("n", "k_n") >= (F.col("n") + F.col("k_n")) * threshold
     pairs = near.join(other, ["digits", "band", "bigram"]).where(fits).select("key", "k_key").distinct()
-    pairs = pairs.join(titles.select("key", "canonical"), "key").join(titles.select(F.col("key").alias("k_key"), F.col("canonical").alias("k_title")), "k_key")
-    similar = pairs.where(dice(F.col("canonical"), F.col("k_title")) >= threshold).select("canonical", "k_title")
+    theirs = titles.select(F.col("key").alias("k_key"), F.col("canonical").alias("k_title"), F.col("grams").alias("k_grams"))
+    pairs = pairs.join(titles.select("key", "canonical", "grams"), "key").join(theirs, "k_key")
+    score = dice_of(F.col("canonical"), F.col("k_title"), F.col("grams"), F.col("k_grams"))
+    similar = pairs.where(score >= threshold).select("canonical", "k_title")
     ends = known.select(F.col("canonical").alias("k_title"), F.col("apply_end").alias("k_end"))
     may = F.col("apply_end").isNull() | F.col("k_end").isNull() | (F.col("apply_end") == F.col("k_end"))
     found = rest.join(similar, "canonical").join(ends, "k_title").where(may)

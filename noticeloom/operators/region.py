@@ -17,30 +17,54 @@ from noticeloom.functions.values import NATIONWIDE, UNKNOWN_REGION
 
 # Names of the provinces and of their cities, counties and districts.
 ALIASES = {
-    "서울": "서울특별시 서울시 서울", "부산": "부산광역시 부산시 부산", "대구": "대구광역시 대구시 대구", "인천": "인천광역시 인천시 인천",
-    "광주": "광주광역시 광주", "대전": "대전광역시 대전시 대전", "울산": "울산광역시 울산시 울산", "세종": "세종특별자치시 세종시 세종",
-    "경기": "경기도 경기", "강원": "강원특별자치도 강원도 강원", "충북": "충청북도 충북도 충북", "충남": "충청남도 충남도 충남",
-    "전북": "전북특별자치도 전라북도 전북도 전북", "전남": "전라남도 전남도 전남", "경북": "경상북도 경북도 경북", "경남": "경상남도 경남도 경남",
-    "제주": "제주특별자치도 제주도 제주",
+    "서울": ["서울특별시", "서울시", "서울"],
+    "부산": ["부산광역시", "부산시", "부산"],
+    "대구": ["대구광역시", "대구시", "대구"],
+    "인천": ["인천광역시", "인천시", "인천"],
+    "광주": ["광주광역시", "광주"],
+    "대전": ["대전광역시", "대전시", "대전"],
+    "울산": ["울산광역시", "울산시", "울산"],
+    "세종": ["세종특별자치시", "세종시", "세종"],
+    "경기": ["경기도", "경기"],
+    "강원": ["강원특별자치도", "강원도", "강원"],
+    "충북": ["충청북도", "충북도", "충북"],
+    "충남": ["충청남도", "충남도", "충남"],
+    "전북": ["전북특별자치도", "전라북도", "전북도", "전북"],
+    "전남": ["전라남도", "전남도", "전남"],
+    "경북": ["경상북도", "경북도", "경북"],
+    "경남": ["경상남도", "경남도", "경남"],
+    "제주": ["제주특별자치도", "제주도", "제주"],
 }
 PLACES = {
-    "서울": "종로구 용산구 성동구 광진구 동대문구 중랑구 성북구 강북구 도봉구 노원구 은평구 서대문구 마포구 양천구 구로구 금천구 영등포구 동작구 관악구 서초구 강남구 송파구 강동구",
-    "부산": "기장군 부산진구 해운대구 금정구 연제구 수영구 사상구",
-    "대구": "달성군 군위군 수성구 달서구",
-    "인천": "강화군 옹진군 미추홀구 연수구 남동구 부평구 계양구",
-    "광주": "광산구",
-    "대전": "유성구 대덕구",
-    "울산": "울주군",
-    "경기": "수원시 고양시 용인시 성남시 부천시 화성시 안산시 남양주시 안양시 평택시 시흥시 파주시 의정부시 김포시 광주시 광명시 군포시 하남시 오산시 양주시 이천시 구리시 안성시 포천시 의왕시 여주시 동두천시 과천시 양평군 가평군 연천군",
-    "강원": "춘천시 원주시 강릉시 동해시 태백시 속초시 삼척시 홍천군 횡성군 영월군 평창군 정선군 철원군 화천군 양구군 인제군 양양군",
-    "충북": "청주시 충주시 제천시 보은군 옥천군 영동군 증평군 진천군 괴산군 음성군 단양군",
-    "충남": "천안시 공주시 보령시 아산시 서산시 논산시 계룡시 당진시 금산군 부여군 서천군 청양군 홍성군 예산군 태안군",
-    "전북": "전주시 군산시 익산시 정읍시 남원시 김제시 완주군 진안군 무주군 장수군 임실군 순창군 고창군 부안군",
-    "전남": "목포시 여수시 순천시 나주시 광양시 담양군 곡성군 구례군 고흥군 보성군 화순군 장흥군 강진군 해남군 영암군 무안군 함평군 영광군 장성군 완도군 진도군 신안군",
-    "경북": "포항시 경주시 김천시 안동시 구미시 영주시 영천시 상주시 문경시 경산시 의성군 청송군 영양군 영덕군 청도군 고령군 성주군 칠곡군 예천군 봉화군 울진군 울릉군",
-    "경남": "창원시 진주시 통영시 사천시 김해시 밀양시 거제시 양산시 의령군 함안군 창녕군 남해군 하동군 산청군 함양군 거창군 합천군",
-    "제주": "제주시 서귀포시",
-}
+    "서울": [
+        "종로구", "용산구", "성동구", "광진구", "동대문구", "중랑구", "성북구", "강북구", "도봉구", "노원구", "은평구", "서대문구", "마포구", "양천구", "구로구", "금천구", "영등포구", "동작구",
+        "관악구", "서초구", "강남구", "송파구", "강동구",
+    ],
+    "부산": ["기장군", "부산진구", "해운대구", "금정구", "연제구", "수영구", "사상구"],
+    "대구": ["달성군", "군위군", "수성구", "달서구"],
+    "인천": ["강화군", "옹진군", "미추홀구", "연수구", "남동구", "부평구", "계양구"],
+    "광주": ["광산구"],
+    "대전": ["유성구", "대덕구"],
+    "울산": ["울주군"],
+    "경기": [
+        "수원시", "고양시", "용인시", "성남시", "부천시", "화성시", "안산시", "남양주시", "안양시", "평택시", "시흥시", "파주시", "의정부시", "김포시", "광주시", "광명시", "군포시", "하남시",
+        "오산시", "양주시", "이천시", "구리시", "안성시", "포천시", "의왕시", "여주시", "동두천시", "과천시", "양평군", "가평군", "연천군",
+    ],
+    "강원": ["춘천시", "원주시", "강릉시", "동해시", "태백시", "속초시", "삼척시", "홍천군", "횡성군", "영월군", "평창군", "정선군", "철원군", "화천군", "양구군", "인제군", "양양군"],
+    "충북": ["청주시", "충주시", "제천시", "보은군", "옥천군", "영동군", "증평군", "진천군", "괴산군", "음성군", "단양군"],
+    "충남": ["천안시", "공주시", "보령시", "아산시", "서산시", "논산시", "계룡시", "당진시", "금산군", "부여군", "서천군", "청양군", "홍성군", "예산군", "태안군"],
+    "전북": ["전주시", "군산시", "익산시", "정읍시", "남원시", "김제시", "완주군", "진안군", "무주군", "장수군", "임실군", "순창군", "고창군", "부안군"],
+    "전남": [
+        "목포시", "여수시", "순천시", "나주시", "광양시", "담양군", "곡성군", "구례군", "고흥군", "보성군", "화순군", "장흥군", "강진군", "해남군", "영암군", "무안군", "함평군", "영광군",
+        "장성군", "완도군", "진도군", "신안군",
+    ],
+    "경북": [
+        "포항시", "경주시", "김천시", "안동시", "구미시", "영주시", "영천시", "상주시", "문경시", "경산시", "의성군", "청송군", "영양군", "영덕군", "청도군", "고령군", "성주군", "칠곡군",
+        "예천군", "봉화군", "울진군", "울릉군",
+    ],
+    "경남": ["창원시", "진주시", "통영시", "사천시", "김해시", "밀양시", "거제시", "양산시", "의령군", "함안군", "창녕군", "남해군", "하동군", "산청군", "함양군", "거창군", "합천군"],
+    "제주": ["제주시", "서귀포시"],
+}
 #: A city that has the name of another province's capital.
 TWIN, TWIN_REGION, TWIN_MARK = "광주시", "광주", re.compile(r"광주광역시|^\s*[\[(（【]\s*광주[\])）】]")
 
@@ -68,8 +92,8 @@ class Place:
 
 
 class Gazetteer:
-    def __init__(self, aliases: dict[str, str] = ALIASES, places: dict[str, str] = PLACES):
-        self.terms = [(t, r, False) for r, names in aliases.items() for t in names.split()] + [(t, r, True) for r, names in places.items() for t in names.split()]
+    def __init__(self, aliases: dict[str, list[str]] = ALIASES, places: dict[str, list[str]] = PLACES):
+        self.terms = [(t, r, False) for r, names in aliases.items() for t in names] + [(t, r, True) for r, names in places.items() for t in names]
 
     def places(self, text: str, title_regions: frozenset[str] = frozenset()) -> list[Place]:
         """All names in a text, by start, longer ones first. Names of two letters count as words of their own only."""

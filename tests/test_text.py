@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noticeloom.functions import dates, text
-from noticeloom.functions.text import dice_score
 
 
 def values(spark, function, given_values, kind="string"):
@@ -44,14 +42,25 @@ def test_digit_signature(spark):
     assert values(spark, text.digit_signature, ["2026년 3차 12", "없음", None]) == ["2026|3|12", "", None]
 
 
-@given(st.text("가나다ab ", max_size=12), st.text("가나다ab ", max_size=12))
-def test_dice_is_symmetric_and_counts_multisets(a, b):
-    score = dice_score(a, b)
-    assert score == dice_score(b, a)
-    assert 0.0 <= score <= 1.0
-    if a != b and len(a) > 1 and len(b) > 1:
-        pairs = [Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a, b)]
-        assert score == pytest.approx(2 * sum((pairs[0] & pairs[1]).values()) / (len(a) + len(b) - 2))
+def plain_dice(a, b):
+    if a is None or b is None:
+        return None
+    if a == b or len(a) < 2 or len(b) < 2:
+        return float(a == b)
+    pairs = [Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a, b)]
+    return 2 * sum((pairs[0] & pairs[1]).values()) / (len(a) + len(b) - 2)
+
+
+def test_dice_counts_multisets(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("가나다ab 😀\n") for _ in range(r.randint(0, 12)))
+    rows = [(word(), word()) for _ in range(300)] + [(None, "ab"), ("ab", None), ("aaaa", "aa"), ("aa", "aa"), ("", ""), ("a", "a"), ("ab" * 3000, "ba" * 3000)]
+    for a, b, score, back in spark.createDataFrame(rows, "a string, b string").select("a", "b", text.dice(F.col("a"), F.col("b")), text.dice(F.col("b"), F.col("a"))).collect():
+        assert score == back == (None if a is None or b is None else pytest.approx(plain_dice(a, b)))
+
+
+def test_bigrams_are_numbered(spark):
+    assert values(spark, text.bigrams, ["aaab", "a", "", None, "😀b"]) == [["aa1", "aa2", "ab1"], [], [], None, ["😀b1"]]
 
 
 def test_urls(spark):
