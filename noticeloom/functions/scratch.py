@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once to the folder that all executors share (``spark.checkpoint.dir``; a local one only where that
-    is unset, as in tests) and read from there, so that plans that use it several times stay small."""
+    """``df``, written once to the folder that all executors share (``spark.checkpoint.dir``) and read from there, so that
+    plans that use it several times stay small. Local sessions (tests) get a folder of their own where it is unset; on a
+    cluster that is an error."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-noticeloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared}/noticeloom/{name}-{uuid.uuid4().hex}"
