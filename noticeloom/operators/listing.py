@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import values as V
-from noticeloom.functions.dates import seoul_date
+from noticeloom.functions.dates import seoul_date, status
+from noticeloom.functions.scratch import written
 from noticeloom.functions.text import http_url, sanitize
 from noticeloom.operators.classify import audience, source_code
 
+# Columns of the notices.
 SEARCHED = ["title", "organization", "target", "support_type", "summary"]
 LIST_COLUMNS = ["id", "source_id", "title", "organization", "category_ids", "region", "target", "support_type", "summary", "apply_start", "apply_end", "detail_url", "status", "created_at"]
 DISPLAYED = ["title", "organization", "region", "target", "support_type", "summary"]
@@ -72,10 +74,18 @@ def filtered(view: DataFrame, p: ListParams, audiences: dict[str, list[str]] = V
     return view
 
 
-def ordered(view: DataFrame, sort: str) -> DataFrame:
-    if sort == "deadline":
-        return view.orderBy(F.asc_nulls_last("apply_end"), F.asc("id"))
-    return view.orderBy(F.desc("created_at"), F.desc("id"))
+def list_order(sort: str) -> list[tuple[str, bool]]:
+    """Columns and whether they rise; nulls come last in deadlines."""
+    return [("apply_end", True), ("id", True)] if sort == "deadline" else [("created_at", False), ("id", False)]
+
+
+def ordered(view: DataFrame, sort: str, backward: bool = False) -> DataFrame:
+    def one(c: str, rises: bool) -> Column:
+        if rises != backward:
+            return F.asc_nulls_last(c) if rises else F.asc_nulls_first(c)
+        return F.desc_nulls_last(c) if not rises else F.desc_nulls_first(c)
+
+    return view.orderBy(*[one(c, rises) for c, rises in list_order(sort)])
 
 
 def page_count(total: int, size: int) -> int:
@@ -84,15 +94,31 @@ def page_count(total: int, size: int) -> int:
 
 def list_page(view: DataFrame, p: ListParams, *, largest: int = 100, default: int = 10, display: bool = True) -> DataFrame:
     """One page of the list; beyond the last page it is the last. Counting is an action of its own and runs only for
-    pages after the first."""
+    pages after the first, over the view written once, which the page then reads. A page of the second half is taken from
+    the other end, so the last page costs what the first does; a deep one in the middle holds as many rows as stand before
+    it or after it (``keyset_page`` is the way through a long feed)."""
     size, page = min(largest, positive(p.size, default)), positive(p.page, 1)
     rows = filtered(view, p)
+    before, count, backward = (page - 1) * size, size, False
     if page > 1:
-        page = min(page, page_count(rows.count(), size))
-    found = ordered(rows, p.sort).offset((page - 1) * size).limit(size).select(*LIST_COLUMNS)
+        rows = written(rows.select(*LIST_COLUMNS), "listed")
+        total = rows.count()
+        before = (min(page, page_count(total, size)) - 1) * size
+        count = max(0, min(size, total - before))
+        backward = 2 * before > total
+    if backward:
+        found = ordered(ordered(rows, p.sort, backward=True).offset(total - before - count).limit(count), p.sort)
+    else:
+        found = ordered(rows, p.sort).offset(before).limit(count)
+    found = found.select(*LIST_COLUMNS)
     return found.withColumns({c: sanitize(F.col(c)) for c in DISPLAYED}) if display else found
 
 
+def get_notice(notices: DataFrame, id_: int, today: Column) -> DataFrame:
+    """The notice of an id from the base table, hidden ones included, with its status; no row if there is none."""
+    return notices.where(F.col("id") == id_).withColumn("status", status(F.col("apply_end"), today))
+
+
 def list_totals(view: DataFrame, p: ListParams, size: int) -> DataFrame:
     return filtered(view, p).agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
 

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions import values as V
 from noticeloom.functions.dates import elapsed, is_open
+from noticeloom.functions.scratch import written
 from noticeloom.operators.dedup import first_per
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (), arrival: str | None = None, coalesced: list[str] = ()) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same keys. Columns in ``keep`` stay as they were where a
     row existed; those in ``coalesced`` too where the new value is null. Of new rows with one key the last by ``arrival``
-    counts. Columns that ``new`` lacks stay, or are null in new rows."""
+    counts. Columns that ``new`` lacks stay, or are null in new rows. Null keys equal null keys."""
     if arrival:
         new = first_per(new, keys, [F.desc(arrival)]).drop(arrival)
-    rows = old.select(F.struct(*old.columns).alias("o"), *keys).join(new.select(F.struct(*new.columns).alias("n"), *keys), keys, "full_outer")
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    rows = old.select(F.struct(*old.columns).alias("o")).join(new.select(F.struct(*new.columns).alias("n")), same, "full_outer")
 
     def value(c: str) -> Column:
         if c in keys:
-            return F.col(c)
+            return F.coalesce(f"o.{c}", f"n.{c}")
         if c not in new.columns:
             return F.col(f"o.{c}")
         if c in keep:
@@ -32,18 +36,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
     return rows.select(*[value(c).alias(c) for c in old.columns])
 
 
+def numbered(ordered: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """``ordered`` with ``place``, the rows' places in its order from ``start + 1`` on. The table is written once, with a
+    number that tells partition and place within, so that counts and rows are of one and the same partitioning; a row's
+    place is its partition's start and its place within. One row per partition meets in one task."""
+    row = F.monotonically_increasing_id()
+    marked = written(ordered.withColumn("part", F.shiftright(row, 33)).withColumn("within", row.bitwiseAND(F.lit((1 << 33) - 1))), name)
+    starts = marked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select("part", (F.coalesce(before, F.lit(0)) + start).alias("start"))
+    return marked.join(starts, "part").withColumn("place", F.col("start") + F.col("within") + 1).drop("part", "within", "start")
+
+
 def with_new_ids(df: DataFrame, id_col: str, largest: int) -> DataFrame:
-    """Rows without an id get the next ones, in no particular order, without a sort of the whole table: counts per
-    partition of a hash give the starts, and rows count on within."""
-    missing = df.where(F.col(id_col).isNull())
-    part = F.pmod(F.xxhash64(*[c for c in df.columns if c != id_col]), F.lit(256))
-    counts = missing.groupBy(part.alias("part")).count()
-    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col("part"), F.coalesce(before, F.lit(0)).alias("start"))
-    order = F.xxhash64(*[c for c in df.columns if c != id_col], F.lit(1))
-    numbered = missing.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    numbered = numbered.join(F.broadcast(starts), "part").withColumn(id_col, (F.lit(largest) + F.col("start") + F.col("place")).cast("long"))
-    return df.where(F.col(id_col).isNotNull()).unionByName(numbered.select(*df.columns))
+    """Rows without an id get the next ones after ``largest``, in no particular order and without a sort or shuffle."""
+    new = numbered(df.where(F.col(id_col).isNull()), "new-ids", largest)
+    return df.where(F.col(id_col).isNotNull()).unionByName(new.withColumn(id_col, F.col("place").cast("long")).select(*df.columns))
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,6 +116,21 @@ def next_error(reason: Column, previous: Column) -> Column:
     return F.substring(F.when(reason == V.EMPTY_SHELL, attempt).otherwise(reason), 1, 200)
 
 
+def with_states(prepared: DataFrame, stored: DataFrame) -> DataFrame:
+    """Prepared rows (source_id, source_key, ...) with the stored state of their detail fetch; new ones have none."""
+    state = ["detail_source_hash", "detail_fetched_at", "detail_fetch_status", "detail_fetch_error", "detail_fetch_attempted_at"]
+    known = stored.select("source_id", "source_key", *state)
+    return prepared.drop(*state).join(known, ["source_id", "source_key"], "left")
+
+
+def to_fetch(prepared: DataFrame, stored: DataFrame, payload_hash: Column, today: Column, now: Column) -> DataFrame:
+    """Prepared rows whose page is to be fetched, by the stored states (``needed``)."""
+    c = F.col
+    rows = with_states(prepared, stored).withColumn("payload_hash", payload_hash)
+    needed = needs_detail(c("detail_url"), c("apply_end"), c("payload_hash"), c("detail_source_hash"), c("detail_fetched_at"), c("detail_fetch_error"), c("detail_fetch_attempted_at"), today, now)
+    return rows.withColumn("needed", needed)
+
+
 def apply_details(notices: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Fetch results (source_id, source_key, ok, reason, region and the detail columns) into the notices. Success writes
     all detail columns and, if given, the region; failure only state and reason."""

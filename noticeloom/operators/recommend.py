@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import values as V
 from noticeloom.functions.text import contains_any, has_text
+from noticeloom.operators.listing import list_order, ordered
 
 
 @dataclass
@@ -66,3 +67,19 @@ def recommend(view: DataFrame, condition: Condition, include_nationwide: bool =
     )
     review = (F.col("_region") == "unknown") | (F.col("_target") == "unknown")
     return rows.withColumns({"reasons": F.array_compact(reasons), "needs_review": review}).drop("_region", "_target")
+
+
+def recommendation_page(view: DataFrame, condition: Condition, sort: str, size: int = 10, after: tuple | None = None, include_nationwide: bool = True, **words) -> DataFrame:
+    """The next ``size`` recommendations in the order of ``sort`` and one more, which tells that there are more. ``after``
+    is (created_at or apply_end, id) of the last one shown; each notice counts once, so pages don't repeat any. Without a
+    known interest there are none."""
+    rows = recommend(view, condition, include_nationwide, **words).dropDuplicates(["id"])
+    if after is not None:
+        column, rises = list_order(sort)[0]
+        at, id_ = F.lit(after[0]).cast(view.schema[column].dataType), F.lit(after[1])
+        if rises:  # deadlines, none last
+            later = F.col(column).isNull() & (at.isNotNull() | (F.col("id") > id_))
+            rows = rows.where(F.coalesce((F.col(column) > at) | ((F.col(column) == at) & (F.col("id") > id_)), F.lit(False)) | later)
+        else:
+            rows = rows.where((F.col(column) < at) | ((F.col(column) == at) & (F.col("id") < id_)))
+    return ordered(rows, sort).limit(size + 1)

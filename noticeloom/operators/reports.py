@@ -22,6 +22,25 @@ def kind_of(region: Column, reason: Column) -> Column:
     return F.when(reason == "conflict_or_multiple", F.lit("conflict")).when(region == V.NATIONWIDE, F.lit("nationwide")).when(region == V.UNKNOWN_REGION, F.lit("unknown")).otherwise(F.lit("single_region"))
 
 
+def region_report(analysed: DataFrame) -> DataFrame:
+    """One row of counts over ``region`` (as stored), ``inferred`` and ``reason``: all, by kind, and how many change."""
+    kind = kind_of(F.col("inferred"), F.col("reason"))
+    counts = [F.count_if(kind == k).alias(k) for k in KINDS]
+    return analysed.agg(F.count(F.lit(1)).alias("total"), *counts, F.count_if(~F.col("region").eqNullSafe(F.col("inferred"))).alias("changed"))
+
+
+def grouped(df: DataFrame, key: str, value: str, size: int) -> DataFrame:
+    """Values of each key in order, in numbered groups of at most ``size``, so that no group grows with the table."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
+    parts = df.select(key, value).withColumn("part", F.floor(place / size).cast("int"))
+    return parts.groupBy(key, "part").agg(F.sort_array(F.collect_list(value)).alias(f"{value}s"))
+
+
+def with_public_status(rows: DataFrame, view: DataFrame) -> DataFrame:
+    """Rows (id, ...) with ``public_status`` from the public view; null for what isn't public."""
+    return rows.join(view.select("id", F.col("status").alias("public_status")), "id", "left")
+
+
 def detail_counts(notices: DataFrame, today: Column) -> DataFrame:
     """Per source: all, without detail, of these open, failed, and with a final empty page; in one pass."""
     missing = F.col("detail_content").isNull() & F.col("detail_url").isNotNull()

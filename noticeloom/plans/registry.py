@@ -11,24 +11,9 @@ from noticeloom.operators import classify, dedup, html, lines, listing, merge, r
 from noticeloom.operators.listing import FeedParams, ListParams
 from noticeloom.plans import bridge
 from noticeloom.plans.bridge import NOTICES, TODAY, notices, now, table, today
+from noticeloom.plans.register import QUERIES, SQL, query
 from noticeloom.sources import adapters, payloads
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def joined(c: str):
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
@@ -105,9 +90,10 @@ def search_ilike(spark, sf_dir):
     return ids(spark, sf_dir, ListParams(q=" the_tion ", status="all"))
 
 
-@query(IDS + "status = 'closed' AND (" + " OR ".join(f"coalesce({c} ILIKE '%license  version%', false)" for c in listing.SEARCHED) + ")")
+@query(IDS + "status = 'closed' AND (" + " OR ".join(f"coalesce({c} ILIKE '% th_ %', false)" for c in listing.SEARCHED) + ")")
 def search_separators(spark, sf_dir):
-    return ids(spark, sf_dir, ListParams(q="license, version", status="closed"))
+    """What separates filters in a request becomes a space."""
+    return ids(spark, sf_dir, ListParams(q=",th_%", status="closed"))
 
 
 @query(IDS + "status = 'open' AND " + bridge.any_word("concat_ws(chr(1), title, organization, target, support_type, summary)", bridge.AUDIENCES["worker"]))
@@ -194,7 +180,7 @@ exact AS (SELECT id FROM l WHERE c IN (SELECT c FROM r)) """
 
 @query(SIDES + "SELECT id, 'exact' AS how FROM exact")
 def preferred_dedup_exact(spark, sf_dir):
-    return dedup.preferred_duplicates(*two_sides(spark, sf_dir), canonical=text.view_title).where("how = 'exact'")
+    return dedup.exact_duplicates(*two_sides(spark, sf_dir), canonical=text.view_title)
 
 
 @query(
@@ -226,15 +212,32 @@ def first_seen(spark, sf_dir):
 def ingest_exact(spark, sf_dir):
     """The order of ingest: preferred sources, first arrival, then expiry; with exact repetitions only."""
     left, right = two_sides(spark, sf_dir)
-    exact = dedup.preferred_duplicates(left, right, canonical=text.view_title).where("how = 'exact'")
+    exact = dedup.exact_duplicates(left, right, canonical=text.view_title)
     seen = dedup.first_seen(left.join(exact.select("id"), "id", "left_anti"), F.col("id"), text.view_title)
     return merge.purge_expired(seen, dates.retention_cutoff(today(), V.RETENTION_DAYS)).select("id")
 
 
-@query(NOTICES + ", p AS (SELECT DISTINCT title FROM notices) SELECT CAST(count(*) AS BIGINT) AS titles, CAST(count(*) AS BIGINT) AS equal_to_self FROM p")
-def dice_identity(spark, sf_dir):
-    titles = notices(spark, sf_dir).select("title").distinct()
-    return titles.agg(F.count(F.lit(1)).alias("titles"), F.count_if(text.dice(F.col("title"), F.col("title")) == 1.0).alias("equal_to_self"))
+@query(
+    NOTICES
+    + """, t AS (SELECT id, substr(title, 1, 200) AS a, lead(substr(title, 1, 200)) OVER (ORDER BY id) AS b FROM notices), p AS (SELECT id, a, CASE WHEN id % 5 = 0 THEN a || ' again' ELSE b END AS b FROM t),
+    g AS (SELECT id, s, g, count(*) AS n FROM (SELECT id, 'a' AS s, unnest(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS g FROM p
+      UNION ALL SELECT id, 'b', unnest(list_transform(range(1, length(b)), lambda i: substr(b, i, 2))) FROM p) GROUP BY 1, 2, 3),
+    o AS (SELECT x.id, CAST(sum(least(x.n, y.n)) AS BIGINT) AS m FROM g x JOIN g y ON x.id = y.id AND x.g = y.g AND x.s = 'a' AND y.s = 'b' GROUP BY 1)
+    SELECT id, CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(a) < 2 OR length(b) < 2 THEN 0.0::DOUBLE WHEN b IS NOT NULL THEN round(2.0::DOUBLE * coalesce(m, 0) / (length(a) + length(b) - 2), 9) END AS score FROM p LEFT JOIN o USING (id)"""
+)
+def dice_scores(spark, sf_dir):
+    """Each title's similarity to the next one, and every fifth's to an edited form of its own."""
+    from pyspark.sql import Window
+
+    titles = notices(spark, sf_dir).select("id", F.substring("title", 1, 200).alias("a"))
+    # The next by id, found in ranges of ids: the first of a range is the next one of the range before.
+    part = F.floor(F.col("id") / 1000)
+    following = F.lead("a").over(Window.partitionBy("part").orderBy("id"))
+    parts = titles.withColumn("part", part).withColumn("b", following)
+    firsts = parts.groupBy("part").agg(F.min_by("a", "id").alias("head")).withColumn("part", F.col("part") - 1)
+    paired = parts.join(firsts, "part", "left").withColumn("b", F.coalesce("b", "head"))
+    other = F.when(F.col("id") % 5 == 0, F.concat("a", F.lit(" again"))).otherwise(F.col("b"))
+    return paired.select("id", F.round(text.dice(F.col("a"), other), 9).alias("score"))
 
 
 # -- upserts and deletions -------------------------------------------------------------------------------------------
@@ -285,11 +288,15 @@ def insert_missing(spark, sf_dir):
     return merge.insert_missing(customers.where("c_custkey % 2 = 0"), customers, ["c_custkey"])
 
 
-@query(NOTICES + "SELECT id, CASE WHEN source_id = 1 THEN 'xx' ELSE region END AS region, true AS unchanged FROM notices")
+@query(
+    NOTICES
+    + """, f AS (SELECT *, sha256('{"id":' || id || ',"source_id":' || source_id || ',"organization":"' || organization || '"' || coalesce(',"apply_end":"' || strftime(apply_end, '%Y-%m-%d') || '"', '') || '}') AS print FROM notices)
+    SELECT id, CASE WHEN source_id = 1 THEN 'xx' ELSE region END AS region, print AS before, print AS after FROM f"""
+)
 def region_update(spark, sf_dir):
-    made = notices(spark, sf_dir).select("id", "source_id", "title", "region", "apply_end")
-    updated = merge.update_regions(made, made.where("source_id = 1").select("id", F.lit("xx").alias("new_region")))
-    return updated.select("id", "region", (F.col("before") == F.col("after")).alias("unchanged"))
+    """New regions, and fingerprints of all other columns before and after."""
+    made = notices(spark, sf_dir).select("id", "source_id", "organization", "region", "apply_end")
+    return merge.update_regions(made, made.where("source_id = 1").select("id", F.lit("xx").alias("new_region"))).select("id", "region", "before", "after")
 
 
 # -- feeds, alerts, favourites ----------------------------------------------------------------------------------------
@@ -349,19 +356,7 @@ def favorites_sort(spark, sf_dir):
     """All favourites in the order of deadlines, which aren't all valid; places are taken from ranges of the order."""
     orders = table(spark, sf_dir, "orders")
     end = F.when(F.col("o_orderkey") % 5 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return places(listing.sort_favorites(orders.select(F.col("o_orderkey").alias("id"), end.alias("apply_end"), F.col("o_custkey").alias("favorited_at")), "deadline")).select("id", "place")
-
-
-def places(ordered: DataFrame) -> DataFrame:
-    """Places from 1 of an ordered table. A sort makes ranges; each row's place is its start's and its place within."""
-    from pyspark.sql import Window
-
-    row = F.monotonically_increasing_id()
-    marked = ordered.withColumn("part", F.shiftright(row, 33)).withColumn("within", row.bitwiseAND(F.lit((1 << 33) - 1)))
-    starts = marked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
-    return marked.join(starts, "part").withColumn("place", F.col("start") + F.col("within") + 1).drop("part", "within", "start")
+    return merge.numbered(listing.sort_favorites(orders.select(F.col("o_orderkey").alias("id"), end.alias("apply_end"), F.col("o_custkey").alias("favorited_at")), "deadline"), "favorites").select("id", "place")
 
 
 # -- recommendations, dates, labels -----------------------------------------------------------------------------------
@@ -428,12 +423,14 @@ def props_extract(spark, sf_dir):
 
 @query("SELECT event_type AS page, CAST(count(*) AS BIGINT) AS items, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def json_items(spark, sf_dir):
-    """Each event type's rows as the items of JSON responses, taken apart again."""
+    """Each event type's rows as the items of JSON responses of up to a thousand, taken apart again; responses keep their
+    items in one of six places."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    split = events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(64)))
-    body = F.concat(F.lit('{"response":{"body":{"items":{"item":['), F.array_join(F.collect_list(F.to_json(F.struct("event_id", "user_id"))), ","), F.lit("]}}}}"))
-    responses = split.groupBy("event_type", "part").agg(body.alias("body"))
-    items = responses.select("event_type", F.explode(payloads.json_items(F.col("body"))).alias("item"))
+    paged = events.groupBy("event_type", F.floor(F.col("event_id") / 1000).alias("page")).agg(F.collect_list(F.to_json(F.struct("event_id", "user_id"))).alias("l"))
+    listed = F.concat(F.lit("["), F.array_join("l", ","), F.lit("]"))
+    forms = [('{"response":{"body":{"items":{"item":', "}}}}"), ('{"response":{"body":{"items":', "}}}"), ('{"jsonArray":', "}"), ('{"data":', "}"), ('{"items":', "}"), ('{"body":{"items":', "}}")]
+    body = F.element_at(F.array(*[F.concat(F.lit(a), listed, F.lit(b)) for a, b in forms]), (F.col("page") % len(forms) + 1).cast("int"))
+    items = paged.select("event_type", F.explode(payloads.json_items(body)).alias("item"))
     user = F.get_json_object("item", "$.user_id").cast("bigint")
     return items.groupBy(F.col("event_type").alias("page")).agg(F.count(F.lit(1)).alias("items"), F.sum(user).alias("users"))
 
@@ -569,11 +566,13 @@ def mixed_sample(spark, sf_dir):
     return reports.mixed_sample(kinds(spark, sf_dir), 30).select("id", "kind", "is_open")
 
 
-@query("SELECT user_id % 5 AS source_id, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS upserted, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS skipped, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS failed FROM events GROUP BY 1")
+OUTCOMES = ["upserted", "skipped", "failed", "duplicate", "expired"]
+
+
+@query("SELECT user_id % 5 AS source_id, " + ", ".join(f"CAST(count(*) FILTER (event_id % 6 = {i}) AS BIGINT) AS {o}" for i, o in enumerate(OUTCOMES)) + " FROM events GROUP BY 1")
 def ingest_counters(spark, sf_dir):
-    outcome = F.when(F.col("event_type") == "view", F.lit("upserted")).when(F.col("event_type") == "click", F.lit("skipped")).when(F.col("event_type") == "error", F.lit("failed"))
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("source_id"), outcome.alias("outcome"))
-    return reports.ingest_counters(rows).drop("duplicate", "expired")
+    outcome = F.get(F.array(*map(F.lit, OUTCOMES)), (F.col("event_id") % 6).cast("int"))
+    return reports.ingest_counters(table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("source_id"), outcome.alias("outcome")))
 
 
 # -- texts and pages: no SQL; tests compare them with examples ----------------------------------------------------------
@@ -581,7 +580,10 @@ def ingest_counters(spark, sf_dir):
 
 @query()
 def page_details(spark, sf_dir):
-    parsed = html.parse_pages(table(spark, sf_dir, "pages"))
+    """Pages through the five sources' parsers and the general one in turn."""
+    codes = F.array(*[F.lit(code) for _, code, _ in V.SOURCES], F.lit(None).cast("string"))
+    source = F.get(codes, (F.col("page_id") % 6).cast("int"))
+    parsed = html.parse_pages(table(spark, sf_dir, "pages"), source)
     return parsed.select("page_id", "detail.detail_content", F.size("detail.attachments").alias("files"), "detail.reason", "detail_content_hash")
 
 
@@ -608,3 +610,8 @@ def region_inference(spark, sf_dir):
 def dedup_titles(spark, sf_dir):
     """Titles in the form of ingest, with compatibility characters folded."""
     return notices(spark, sf_dir).select("id", text.dedup_title(F.col("title")).alias("canonical"))
+
+
+from noticeloom.plans import payload_queries, state_queries  # noqa: E402, F401  (they register their own)
+
+__all__ = ["QUERIES", "SQL"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.text import NAMED, replaced, trimmed
 
-#: Where responses keep their items; the first array or object counts.
+#: Where responses keep their items; the first array or object counts.
 ITEM_PATHS = ["$.response.body.items.item", "$.response.body.items", "$.jsonArray", "$.data", "$.items", "$.body.items"]
 
 
@@ -24,9 +24,9 @@ def is_json(body: Column) -> Column:
     return F.try_parse_json(body).isNotNull()
 
 
-def explode_items(responses: DataFrame, items: Column) -> DataFrame:
+def explode_items(responses: DataFrame, items: Column, keep: list[str] = ()) -> DataFrame:
     """One row per item with its ``arrival``: pages in order (column page), items in order within."""
-    return responses.select("page", F.posexplode(items).alias("place", "raw")).withColumn("arrival", F.col("page").cast("long") * 1_000_000 + F.col("place"))
+    return responses.select(*keep, "page", F.posexplode(items).alias("place", "raw")).withColumn("arrival", F.col("page").cast("long") * 1_000_000 + F.col("place"))
 
 
 ELEMENT = r"(?s)<([A-Za-z0-9_:-]+)\b[^>]*>(.*?)</\1>"
