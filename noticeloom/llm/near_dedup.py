@@ -294,6 +294,7 @@ def settled(dealt: DataFrame, texts: DataFrame) -> DataFrame:
     """
     square, layers, width, seen, links = ["block", "i", "j"], 1, WIDE, None, []
     kind = "block binary, i string, j string, p int, q int, a binary, b binary, sure boolean"
+    dealt = dealt.repartition(*square)  # a partitioning by block, from a join before, would do for the grouping, but not spread it
     while True:
         if seen is None:
             pairs = dealt.groupBy(*square).applyInPandas(lambda rows: candidates(rows, None, layers, width), kind)
@@ -438,13 +439,14 @@ def near_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     groups = near_groups(texts)
     stay = saved(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash", "n_shingles").distinct(), "near-stay")
-    names = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{id_col}`").alias("d"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("h"))
-    kept = rows.join(stay, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-    empty = kept.where("n_shingles = 0")
-    once = F.row_number().over(Window.partitionBy("d", "h").orderBy(F.xxhash64("row")))
-    rest = kept.where("n_shingles > 0").withColumn("once", once).where("once = 1").drop("once")
-    return rest.unionByName(empty).select("row.*")
+    # Keys without nulls, alike in join and window, so that rows are dealt once.
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k"), F.col("doc_id").isNull().alias("k_null")]
+    stay = stay.select(*key, F.col("text_hash").alias("h"), "n_shingles")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(row, F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("h"))
+    kept = rows.select("row", *key, "h").join(stay, ["k", "k_null", "h"])
+    once = F.row_number().over(Window.partitionBy("k", "k_null", "h").orderBy(F.xxhash64("row")))
+    return kept.withColumn("once", once).where("once = 1 OR n_shingles = 0").select("row.*")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
