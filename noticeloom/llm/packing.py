@@ -3,7 +3,8 @@
 Each partition tokenizes its documents, cuts the long ones, and packs the pieces by best-fit into sequences. Nearly full
 sequences are final. Underfull ones travel on as single items of (id, fill): in each round of a tree they are dealt out to
 fewer tasks, of at most ``TASK_ITEMS`` items each, and packed by best-fit again, until one task has taken all that were
-left or a round no longer saves any. Rounds are written to the shared folder, so each is computed once.
+left, or a round has joined under 2 % of them: then hardly any two of a task's items fit into one sequence, and others
+dealt at random won't either. Rounds are written to the shared folder, so each is computed once.
 """
 
 from __future__ import annotations

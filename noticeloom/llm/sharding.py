@@ -23,6 +23,8 @@ from noticeloom.llm.common import shuffle_partitions, table
 
 #: Bound on partitions x shards, and so on what is drawn and broadcast (8 bytes a cell).
 MATRIX_CELLS = 4_000_000
+#: So that at least a hundred partitions remain.
+MOST_SHARDS = MATRIX_CELLS // 100
 #: numpy's sampler takes populations below this; above, the distribution is inverted around its mode.
 NUMPY_POPULATION = 10**9
 
@@ -76,12 +78,13 @@ def shard(df: DataFrame, shards: int, *, seed: int = 20_011, partitions: int | N
 
     Shard sizes are at most one apart and the order is a uniform shuffle that depends on the rows' content, the seed and
     the partition count only, so reruns and lost executors give the same result. Nulls hash like any value; rows that
-    repeat in all columns are interchangeable; an empty table gives no rows; input columns named ``shard`` or ``slot``
-    are replaced.
+    repeat in all columns are interchangeable, and stand in one partition; an empty table gives no rows; input columns
+    named ``shard`` or ``slot`` are replaced. More than ``MOST_SHARDS`` shards are refused.
     """
     spark = df.sparkSession
-    cells = max(1, MATRIX_CELLS // shards)
-    partitions = min(cells, partitions or 4 * shuffle_partitions(spark))
+    if shards > MOST_SHARDS:
+        raise ValueError(f"at most {MOST_SHARDS} shards")
+    partitions = min(MATRIX_CELLS // shards, partitions or 4 * shuffle_partitions(spark))
     ranges = max(1, -(-partitions // shards))
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     if not keep:

@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -66,7 +67,14 @@ def test_empty_and_clashing_names(empty, edges):
     check(shard(clashing, 3).collect(), len(EDGES), 3)
 
 
+def test_too_many_shards_are_refused(edges):
+    with pytest.raises(ValueError):
+        shard(edges, 40_001)
+
+
 def test_query(spark):
+    documents = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = op1_sharding(spark, "/root/testdata/sf0.001").collect()
     check(rows, 200, 40)
-    assert {r["law"] for r in rows} == {"rows"}
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(i, len(t) + 16, zlib.crc32(t)) for i, t in documents.items()}
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}

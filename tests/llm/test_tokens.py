@@ -5,11 +5,12 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import noticeloom.llm.token_counts as token_counts_module
-from noticeloom.llm.packing import best_fit, byte_ids, cut, pack
+from noticeloom.llm.packing import best_fit, byte_ids, cut, op8_packing, pack
 from noticeloom.llm.token_counts import PrefixCounter, counter, op7_token_counts, prefix_counts, runs, token_counts
 from tests.llm.conftest import EDGES
 
@@ -99,6 +100,20 @@ def test_ids_equal_the_library():
         assert np.frombuffer(ids.ids(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_every_plain_character_equal_the_library():
+    ids = byte_ids(BYTE, RANKS)
+    plain = [chr(c) for c in range(0x3000) if token_counts_module.PLAIN.fullmatch(chr(c))]
+    assert len(plain) > 300
+    r = random.Random(4)
+    t = []
+    for c in plain:
+        t += [c, 2 * c, f"a{c}b", f" {c}", f"{c} ", f"1{c}2", f"{c}'s", f"'{c}", f"!{c}?", f"\n{c}\n", f"{c}\r\n{c}", f"  {c}  ", f"\t{c}"]
+    t += ["".join(r.choice(plain) for _ in range(40)) for _ in range(3000)]
+    for x in t:
+        if "<|" not in x:
+            assert np.frombuffer(ids.ids(x), "<u4").tolist() == ids.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
+
+
 def test_token_counts_on_edges(edges, empty):
     rows = token_counts(edges, WORD, budgets=(3, 2048)).collect()
     assert len(rows) == len(EDGES)
@@ -110,9 +125,21 @@ def test_token_counts_on_edges(edges, empty):
 
 
 def test_query(spark):
-    rows = op7_token_counts(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 200
-    assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in rows)
+    documents = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows, library = op7_token_counts(spark, "/root/testdata/sf0.001").collect(), counter(WORD).tokenizer
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    for r in rows:
+        n = len(library.encode(documents[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(documents[r["doc_id"]].encode()), n, n > 2048)
+
+
+def test_clashing_names(edges):
+    clashing = {c: F.lit(i) for i, c in enumerate(["n_tokens", "fit_2048", "row", "text_", "piece", "bin", "sequence_id", "offset", "fill"])}
+    counted = token_counts(edges.withColumns(clashing), WORD)
+    assert sorted(counted.columns) == sorted({*edges.columns, *clashing})
+    assert counted.where("row = 2 AND piece = 4").count() == len(EDGES)
+    same = lambda df: sorted((r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert same(pack(edges.withColumns(clashing), BYTE)) == same(pack(edges, BYTE))
 
 
 def test_best_fit_is_whole_and_tight():
@@ -161,3 +188,20 @@ def test_pack_is_a_partition_of_all_ids(edges, monkeypatch, task_items):
 
 def test_pack_nothing(empty):
     assert pack(empty, BYTE).count() == 0
+
+
+def test_packing_query(spark):
+    documents = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    library, expected, sequences = byte_ids(BYTE, None).tokenizer, set(), defaultdict(list)
+    for i, t in documents.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        expected |= {(i, n, s, m, zlib.crc32(np.array(ids[s : s + m], "<u4").tobytes())) for n, (s, m) in enumerate(cut(len(ids), 2048))}
+    rows = op8_packing(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(expected)
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        ends = [0, *[o + n for o, n in sorted(pieces)]]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+    assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + 1
