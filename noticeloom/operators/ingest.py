@@ -61,7 +61,7 @@ def run_ingest(pages: DataFrame, stored: DataFrame, sources: DataFrame, now: Col
     made = written(made, "ingest-made")
     cleared = F.col("source_id") == V.SOURCE_ID[CLEARED]
 
-    first = to_rows(made.where(~cleared & current), now)
+    first = written(to_rows(made.where(~cleared & current), now), "ingest-first")
     of_preferred = F.col("source_id").isin([V.SOURCE_ID[c] for c in PREFERRED])
     narrow = [*KEYS, "title", "apply_end"]
     originals = merge.upsert(stored.where(of_preferred).select(*narrow), first.where(of_preferred).select(*narrow, "arrival"), KEYS, arrival="arrival")

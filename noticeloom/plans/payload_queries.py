@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import dates, text
 from noticeloom.functions import values as V
+from noticeloom.functions.scratch import written
 from noticeloom.operators import ingest, merge
 from noticeloom.plans.bridge import TODAY, now, table, today
 from noticeloom.plans.register import query
@@ -175,8 +176,8 @@ def date_ranges(spark, sf_dir):
     start = F.col("o_orderdate").cast("date")
     end = F.date_add(start, (F.col("o_orderkey") % 90).cast("int"))
     signs = F.element_at(F.array(F.lit(" ~ "), F.lit("∼"), F.lit(" - ")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    written = F.when(F.col("o_orderkey") % 4 == 3, F.date_format(start, "yyyyMMdd")).otherwise(F.concat(F.date_format(start, "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 4 < 3, signs), F.date_format(end, "yyyy.MM.dd")))
-    made = table(spark, sf_dir, "orders").withColumn("period", written)
+    told = F.when(F.col("o_orderkey") % 4 == 3, F.date_format(start, "yyyyMMdd")).otherwise(F.concat(F.date_format(start, "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 4 < 3, signs), F.date_format(end, "yyyy.MM.dd")))
+    made = table(spark, sf_dir, "orders").withColumn("period", told)
     first, last = dates.parse_range(F.col("period"))
     return made.select("o_orderkey", first.alias("first_day"), last.alias("last_day"))
 
@@ -244,7 +245,7 @@ def whole_ingest(spark, sf_dir) -> ingest.Ingest:
     before = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
     stored = old.withColumns({"id": F.regexp_extract("title", r"(\d+)", 1).cast("long"), "created_at": before, "organization": F.lit("before")})
     sources = spark.createDataFrame([(code,) for _, code, _ in V.SOURCES], "code string").withColumn("last_fetched_at", before)
-    return ingest.run_ingest(pages, stored, sources, now())
+    return ingest.run_ingest(pages, written(stored, "stored-notices"), sources, now())
 
 
 @query(
