@@ -205,3 +205,9 @@ def links(c: Column) -> Column:
 
 def valid_uuid(c: Column) -> Column:
     return c.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+
+
+def valid_id(c: Column) -> Column:
+    """A text as the id of a notice: a whole number from 1 to 2**53 - 1, else null."""
+    number = trimmed(c).try_cast("bigint")
+    return F.when(trimmed(c).rlike("^[0-9]+$") & number.between(1, 2**53 - 1), number)

@@ -70,3 +70,4 @@ RETENTION_DAYS, RETRY_HOURS = 2, 24
 EMPTY_SHELL, LEGACY_EMPTY, FINAL_ATTEMPT = "empty_shell_200", "본문 없음", 2
 DETAIL_BUDGET, MAX_DETAIL_BUDGET = 8, 20
 EVENT_TYPES = ["view", "detail", "expert_click"]
+TOKEN_LEAST, TOKEN_MOST = 32, 512

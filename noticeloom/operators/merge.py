@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noticeloom.functions import values as V
 from noticeloom.functions.dates import elapsed, is_open
 from noticeloom.functions.scratch import written
+from noticeloom.functions.text import trimmed, valid_uuid
 from noticeloom.operators.dedup import first_per
 
 
@@ -171,6 +172,14 @@ def valid_leads(leads: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def valid_installations(requests: DataFrame) -> DataFrame:
+    """Requests with a UUID (in any case, trimmed) as ``installation_id`` and a ``token`` of a fitting length, both as they
+    count."""
+    id_, token = F.lower(trimmed(F.col("installation_id"))), trimmed(F.col("token"))
+    made = requests.withColumns({"installation_id": id_, "token": token})
+    return made.where(valid_uuid(F.col("installation_id")) & F.length("token").between(V.TOKEN_LEAST, V.TOKEN_MOST))
+
+
 def register_installations(known: DataFrame, requests: DataFrame) -> DataFrame:
     """Installations by id: new ones are added; known ones take the new platform and version if the token's hash is
     right, else they stay. requests: installation_id, token, platform, app_version, arrival."""

@@ -23,6 +23,19 @@ class Condition:
         return sorted({V.INTEREST_CATEGORIES[i] for i in self.interests if isinstance(i, str) and i in V.INTEREST_CATEGORIES})
 
 
+def condition_of(value: object) -> Condition | None:
+    """A user's condition from a parsed JSON value, or None if a field is missing or of another type. Interests that are no
+    texts are dropped; which of the texts are known is for :meth:`Condition.categories` to say."""
+    if not isinstance(value, dict):
+        return None
+    texts = [value.get(k) for k in ("user_type", "region", "industry", "startup_years")]
+    done, version, interests = value.get("onboarding_completed"), value.get("schema_version"), value.get("interests")
+    whole = isinstance(version, (int, float)) and not isinstance(version, bool) and version == version // 1
+    if not all(isinstance(t, str) for t in texts) or not isinstance(interests, list) or not isinstance(done, bool) or not whole:
+        return None
+    return Condition(texts[0], texts[1], [i for i in interests if isinstance(i, str)], done)
+
+
 def is_nationwide_user(region: str) -> bool:
     return region.strip().lower() in ("nationwide", V.NATIONWIDE)
 

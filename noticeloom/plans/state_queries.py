@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.functions import text
 from noticeloom.functions import values as V
 from noticeloom.operators import classify, dedup, html, listing, merge, recommend, reports
 from noticeloom.operators.listing import ListParams
@@ -145,6 +146,20 @@ def installations(spark, sf_dir):
     return merge.register_installations(known, requests)
 
 
+@query(
+    """SELECT o_orderkey, substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) || '-0000-4000-8000-000000000000' AS installation_id, repeat('t', CAST(o_orderkey % 600 AS INTEGER)) AS token,
+    CASE WHEN o_orderkey % 4 < 2 THEN o_orderkey END AS announcement_id FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 600 BETWEEN 32 AND 512"""
+)
+def credentials(spark, sf_dir):
+    """Requests by a right id and a token of fitting length; ids of notices as texts, some of which are none."""
+    key = F.col("o_orderkey")
+    id_ = F.concat(F.lit(" "), F.upper(F.substring(F.md5(key.cast("string")), 1, 8)), F.when(key % 5 == 0, F.lit("-0000-4000-c000-000000000000")).otherwise(F.lit("-0000-4000-8000-000000000000")))
+    token = F.concat(F.lit(" "), F.repeat(F.lit("t"), (key % 600).cast("int")), F.lit("\n"))
+    wanted = F.element_at(F.array(F.concat(F.lit(" "), key.cast("string")), F.concat(F.lit("00"), key.cast("string")), F.concat(F.lit("-"), key.cast("string")), F.lit(str(2**53))), (key % 4 + 1).cast("int"))
+    made = table(spark, sf_dir, "orders").select("o_orderkey", id_.alias("installation_id"), token.alias("token"), wanted.alias("wanted"))
+    return merge.valid_installations(made).select("o_orderkey", "installation_id", "token", text.valid_id(F.col("wanted")).alias("announcement_id"))
+
+
 @query(
     """WITH f AS (SELECT o_custkey AS owner, o_orderkey AS id, CASE WHEN o_orderkey % 61 = 0 THEN '  ' ELSE o_orderstatus END AS title, CASE WHEN o_orderkey % 53 = 0 THEN 'https://other.example/' ELSE 'https://site.example/n/' END || o_orderkey AS url FROM orders)
     SELECT owner, id FROM f WHERE owner NOT IN (SELECT owner FROM f WHERE trim(title) = '' OR url <> 'https://site.example/n/' || id)"""

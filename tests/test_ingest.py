@@ -135,6 +135,15 @@ def test_recommendation_pages_repeat_nothing(spark, sort):
     assert recommend.recommendation_page(view, recommend.Condition("other", "seoul", ["?"]), sort).count() == 0
 
 
+def test_conditions():
+    good = {"user_type": "sme", "region": "seoul", "industry": "", "startup_years": "", "interests": ["startup_support", 3, None], "onboarding_completed": True, "schema_version": 1}
+    found = recommend.condition_of(good)
+    assert (found.user_type, found.region, found.interests, found.onboarding_completed) == ("sme", "seoul", ["startup_support"], True)
+    assert recommend.condition_of(good | {"schema_version": 2.0}) is not None
+    for bad in (None, [], good | {"region": 1}, good | {"interests": "x"}, good | {"onboarding_completed": 1}, good | {"schema_version": 1.5}, good | {"schema_version": True}, {k: v for k, v in good.items() if k != "industry"}):
+        assert recommend.condition_of(bad) is None
+
+
 def test_groups_are_bounded(spark):
     df = spark.createDataFrame([(i % 2, i) for i in range(25)], "k int, v int")
     found = {(r["k"], r["part"]): r["vs"] for r in reports.grouped(df, "k", "v", 10).collect()}
