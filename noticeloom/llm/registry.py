@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from noticeloom.llm.divergence_audit import OP11_SQL, op11_divergence
 from noticeloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from noticeloom.llm.license_scan import op2_license_scan
 from noticeloom.llm.media import op10_media
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_media": op10_media,
+    "op11_divergence": op11_divergence,
 }
 SQL = {
     "op3_warc": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op11_divergence": OP11_SQL,
 }
