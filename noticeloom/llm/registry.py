@@ -5,6 +5,7 @@ from __future__ import annotations
 from noticeloom.llm.divergence_audit import OP11_SQL, op11_divergence
 from noticeloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from noticeloom.llm.license_scan import op2_license_scan
+from noticeloom.llm.lm_scoring import OP13_SQL, op13_lm_scores
 from noticeloom.llm.media import op10_media
 from noticeloom.llm.mixing import OP4_SQL, op4_mixing
 from noticeloom.llm.near_dedup import op9_near_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_media": op10_media,
     "op11_divergence": op11_divergence,
+    "op13_lm_scores": op13_lm_scores,
 }
 SQL = {
     "op3_warc": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op11_divergence": OP11_SQL,
+    "op13_lm_scores": OP13_SQL,
 }
