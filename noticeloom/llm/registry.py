@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from noticeloom.llm.alignment import op12_alignment
 from noticeloom.llm.divergence_audit import OP11_SQL, op11_divergence
 from noticeloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from noticeloom.llm.license_scan import op2_license_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_media": op10_media,
     "op11_divergence": op11_divergence,
+    "op12_alignment": op12_alignment,
     "op13_lm_scores": op13_lm_scores,
 }
 SQL = {
