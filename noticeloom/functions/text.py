@@ -14,6 +14,8 @@ from noticeloom.functions.values import QUESTION_ENDINGS
 
 #: White space as Unicode-aware trimming sees it; spelled out, as regex dialects differ on the short form.
 WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same characters as a text, for trimming without a regex.
+BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Characters and marks that are cleared or recognised.
 EMOJI = r"[\x{1F000}-\x{10FFFF}]|[\x{2600}-\x{27BF}]\x{FE0F}?|\x{FE0F}|\x{200D}"
 BRACKETS = r"[\[\]()〈〉<>「」『』【】]"
@@ -32,7 +34,8 @@ def replaced(c: Column, *steps: tuple[str, str]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return replaced(c, (f"^{WS}+|{WS}+$", ""))
+    """Without white space at the ends; linear in the text, as a regex that seeks its end isn't."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def has_text(c: Column) -> Column:
@@ -57,12 +60,23 @@ def has_one(text: Column, keywords: list[str]) -> Column:
 
 # Fixed values. Ampersands first, so that twice encoded tags become tags and go.
 NAMED = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'")]
-TAGS = [(r"(?i)<br\s*/?>", "\n"), ("(?i)</p>", "\n"), ("<[^>]+>", " ")]
+BREAKS = [(r"(?i)<br\s*/?>", "\n"), ("(?i)</p>", "\n")]
+
+
+def untagged(c: Column) -> Column:
+    """Line ends for breaks and paragraphs, a space for each other tag. What follows the last ``>`` has no tag and isn't
+    searched for one, so that texts full of ``<`` take no longer than others."""
+
+    def spaced(text: Column) -> Column:
+        rest = F.substring_index(text, ">", -1)
+        return once(rest, lambda r: F.concat(F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - F.length(r)), F.lit("<[^>]+>"), F.lit(" ")), r))
+
+    return once(replaced(c, *BREAKS), spaced)
 
 
 def strip_html(c: Column) -> Column:
     """Plain text of an adapter's field; empty becomes null only if it was."""
-    return trimmed(replaced(F.nullif(c, F.lit("")), *NAMED, *TAGS, (r"[ \t]+", " "), (rf"\n{WS}+", "\n")))
+    return trimmed(replaced(untagged(replaced(F.nullif(c, F.lit("")), *NAMED)), (r"[ \t]+", " "), (rf"\n{WS}+", "\n")))
 
 
 def _code_points(c: Column, pattern: str, radix: int) -> Column:
@@ -90,21 +104,22 @@ def strip_question_marks(c: Column) -> Column:
     """Question marks at the edges are traces of broken characters, but one stays after what ends like a question."""
 
     def stripped(text: Column) -> Column:
-        base = replaced(text, (rf"(?:\?|{WS})+$", ""))
+        base = F.rtrim(text, F.lit("?" + BLANKS))
         return once(base, lambda b: F.when(b.rlike("(?:" + "|".join(QUESTION_ENDINGS) + ")$") & (F.substr(text, F.length(b) + 1, F.lit(1)) == "?"), F.concat(b, F.lit("?"))).otherwise(b))
 
-    return once(replaced(c, (rf"^(?:\?{WS}*)+", "")), lambda text: F.when(text.endswith("?"), stripped(text)).otherwise(text))
+    leading = once(c, lambda text: F.when(text.startswith("?"), F.ltrim(text, F.lit("?" + BLANKS))).otherwise(text))
+    return once(leading, lambda text: F.when(text.endswith("?"), stripped(text)).otherwise(text))
 
 
 def sanitize(c: Column) -> Column:
     """Text for display: entities, tags, emoji, white space and stray question marks are cleared."""
-    plain = replaced(decode_entities(c), *TAGS, (EMOJI, ""), (r"[ \t]{2,}", " "), (r"\n[ \t]+", "\n"))
+    plain = replaced(untagged(decode_entities(c)), (EMOJI, ""), (r"[ \t]{2,}", " "), (r"\n[ \t]+", "\n"))
     return strip_question_marks(trimmed(plain))
 
 
 def clean_text(c: Column) -> Column:
     """Plain display text of a detail field; blank is null."""
-    plain = replaced(F.nullif(c, F.lit("")), *NAMED, ("&nbsp;", " "), *TAGS, (r"[ \t]+", " "), (rf"\n{WS}+", "\n"))
+    plain = replaced(untagged(replaced(F.nullif(c, F.lit("")), *NAMED, ("&nbsp;", " "))), (r"[ \t]+", " "), (rf"\n{WS}+", "\n"))
     return F.nullif(sanitize(trimmed(plain)), F.lit(""))
 
 

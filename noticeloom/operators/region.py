@@ -98,12 +98,13 @@ class Gazetteer:
     def places(self, text: str, title_regions: frozenset[str] = frozenset()) -> list[Place]:
         """All names in a text, by start, longer ones first. Names of two letters count as words of their own only."""
         found = []
+        twin = TWIN in text and (TWIN_REGION in title_regions or TWIN_MARK.search(text) is not None)
         for term, region, town in self.terms:
             if term not in text:
                 continue
             alone = len(term) <= 2 and not town
             for m in re.finditer(rf"(?<![가-힣]){term}(?![가-힣])" if alone else term, text):
-                if term == TWIN and (TWIN_REGION in title_regions or TWIN_MARK.search(text)):
+                if term == TWIN and twin:
                     found.append(Place(*m.span(), TWIN_REGION, town))
                 else:
                     found.append(Place(*m.span(), region, town))
@@ -111,7 +112,9 @@ class Gazetteer:
 
 
 def plain(text: str | None) -> str:
-    text = re.sub(r"<[^>]+>", " ", text or "")
+    text = text or ""
+    end = text.rfind(">") + 1  # no tag begins after the last
+    text = re.sub(r"<[^>]+>", " ", text[:end]) + text[end:]
     text = re.sub("(?i)&amp;", "&", re.sub("(?i)&nbsp;|&#160;", " ", text))
     return re.sub(r"[\s﻿]+", " ", text).strip(" ")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -75,3 +77,37 @@ def test_dates(spark):
     df = spark.createDataFrame([("20240101 ~ 20240131",), ("2026.01.01.~2026.12.31.",), ("2026-01-01 - 2026-02-01",), ("상시",)], "v string")
     assert [tuple(map(str, r)) for r in df.select(start, end).collect()] == [("2024-01-01", "2024-01-31"), ("2026-01-01", "2026-12-31"), ("2026-01-01", "2026-02-01"), ("None", "None")]
     assert values(spark, lambda c: dates.seoul_date(c.cast("timestamp_ntz")).cast("string"), ["2026-07-12 14:59:59", "2026-07-12 15:00:00"]) == ["2026-07-12", "2026-07-13"]
+
+
+MANY = 1_000_000
+
+
+@pytest.mark.parametrize("mass", ["?", " ", "<", "\n", "? ", "<?", "&lt;", "\n ", "&#", "&amp;", "<br ", "\u3000?\n"])
+def test_masses_of_one_mark(spark, mass):
+    """A million marks in a text, at its ends or within it, take seconds and no stack."""
+    masses = mass * (MANY // len(mass))
+    given_values = [masses, f"a{masses}b", f"{masses}a", f"a{masses}", f"{masses}a>b"]
+    functions = (text.sanitize, text.clean_text, text.strip_html, text.trimmed, text.hash_form, text.dedup_title)
+    began = time.time()
+    df = spark.createDataFrame([(v,) for v in given_values], "v string").repartition(4)
+    found = df.select(*[F.length(f(F.col("v"))).alias(f.__name__) for f in functions]).collect()
+    assert len(found) == 5 and time.time() - began < 60
+
+
+def plain_untagged(t):
+    return re.sub("<[^>]+>", " ", re.sub("(?i)</p>", "\n", re.sub(r"(?i)<br\s*/?>", "\n", t)))
+
+
+def plain_edges(t):
+    return re.sub(rf"^(?:\?[{text.BLANKS}]*)+", "", t)
+
+
+def test_clearing_equals_plain_rules(spark):
+    rng = random.Random(6)
+    given_values = ["".join(rng.choice(["<", ">", "a", "?", " ", "<br>", "</P>", "\n", "\u3000", "<b x>"]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    assert values(spark, text.untagged, given_values) == [plain_untagged(v) for v in given_values]
+    leading = values(spark, text.strip_question_marks, [f"{v}x" for v in given_values])
+    assert leading == [plain_edges(f"{v}x") for v in given_values]
+    trailing = values(spark, text.strip_question_marks, [f"x{v}" for v in given_values])
+    assert trailing == [re.sub(rf"[?{text.BLANKS}]+$", "", f"x{v}") if v.endswith("?") else f"x{v}" for v in given_values]
+    assert values(spark, text.trimmed, given_values) == [v.strip(text.BLANKS) for v in given_values]
