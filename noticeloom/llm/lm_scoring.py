@@ -16,6 +16,7 @@ Words are compared as they are, longer n-grams by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,8 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
-        known: dict[bytes, int] = {}
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__  # a new word gets the next number
         parts, lengths, ids, train, held = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
@@ -108,7 +110,7 @@ def blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
             for i, text in enumerate(batch["text"].to_pylist()):
                 before = held
                 for words in words_of(text or ""):
-                    parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words)))
+                    parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
                     held += len(words)
                 parts.append(np.array([-1]))
                 held += 1
@@ -134,7 +136,7 @@ def combined(before: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
 
 class Ngrams:
     """The n-grams of one block. ``places[k]``: the positions of the text with begins where one of k tokens ends;
-    ``of[k]``: its number there (-1 elsewhere); ``first[k]``: the position of the first of each number; ``own[k]``: how
+    ``of[k]``: its number there (-1 elsewhere); ``one[k]``: the position of one of each number; ``own[k]``: how
     often each stands in the block's training texts; ``hashes[k]``."""
 
     def __init__(self, row: dict, order: int):
@@ -148,27 +150,27 @@ class Ngrams:
         self.tokens, self.inside, self.starts, self.lengths = s, inside, starts, lengths
         train = np.repeat(np.array(row["train"], dtype=bool), lengths + 1)
         width = np.int64(len(self.words))
-        self.of, self.first, self.own, self.hashes = {1: s}, {}, {1: np.bincount(s[train], minlength=width)}, {}
-        self.first[1] = np.zeros(width, dtype=np.int64)
+        self.of, self.one, self.own, self.hashes = {1: s}, {}, {1: np.bincount(s[train], minlength=width)}, {}
         self.hashes[1] = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), dtype=np.uint64, count=len(self.words))
         there = inside
         for k in range(2, order + 1):
             places = np.flatnonzero(there)
             code = self.of[k - 1][places - 1] * width + s[places]
-            _, first, of = np.unique(code, return_index=True, return_inverse=True)
+            order_ = np.argsort(code)
+            new = np.diff(code[order_], prepend=-1) != 0
+            at = np.cumsum(new) - 1
             self.of[k] = np.full(len(s), -1, dtype=np.int64)
-            self.of[k][places] = of
-            self.first[k] = places[first]
-            self.own[k] = np.bincount(of[train[places]], minlength=len(first))
-            self.hashes[k] = combined(self.hashes[k - 1][self.of[k - 1][self.first[k] - 1]], self.hashes[1][s[self.first[k]]], k)
+            self.of[k][places[order_]] = at
+            self.one[k] = places[order_[new]]
+            self.own[k] = np.bincount(at[train[places[order_]]], minlength=len(self.one[k]))
+            self.hashes[k] = combined(self.hashes[k - 1][self.of[k - 1][self.one[k] - 1]], self.hashes[1][s[self.one[k]]], k)
             there = there & np.concatenate([[False], there[:-1]])  # one more token before it
 
     def dealt(self, k: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """The numbers of the n-grams of each bucket, by hash."""
-        hashes = self.hashes[k]
-        bucket = (hashes >> np.uint64(20)) % np.uint64(buckets)
-        order = np.lexsort((hashes, bucket))
-        found, starts = np.unique(bucket[order], return_index=True)
+        """The numbers of the n-grams of each bucket, which is a range of hashes, in the order of these."""
+        order = np.argsort(self.hashes[k])
+        bucket = ((self.hashes[k][order] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        found, starts = np.unique(bucket, return_index=True)
         yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True)
 
 
@@ -206,8 +208,7 @@ def answered(group: pa.Table) -> pa.Table:
     else:
         keys, at = np.unique(np.concatenate([np.cumsum(unpacked(p.as_py(), m, "<u8"), dtype=np.uint64) for p, m in zip(group["keys"], sizes, strict=True)]), return_inverse=True)
         n = len(keys)
-    totals = np.zeros(n, dtype=np.int64)
-    np.add.at(totals, at, np.concatenate(counts))
+    totals = np.bincount(at, weights=np.concatenate(counts), minlength=n).astype(np.int64)  # exact up to 2**53
     out, start = [], 0
     for block, own in zip(blocks_, counts, strict=True):
         found = totals[at[start : start + len(own)]]
@@ -238,7 +239,7 @@ class Automaton:
         probability = (totals[1] + 1) / (whole + distinct + 1)
         self.weight = {1: np.log10(probability)}
         for k in range(2, len(totals) + 1):
-            strength, last = strengths[k - 2], grams.first[k]
+            strength, last = strengths[k - 2], grams.one[k]
             context = totals[k - 1][grams.of[k - 1][last - 1]]
             lower = grams.of[k - 1][last]
             shorter = probability[lower]
