@@ -231,8 +231,9 @@ def ingest_items(spark, sf_dir) -> DataFrame:
     return made.withColumn("raw", raw)
 
 
-def whole_ingest(spark, sf_dir) -> ingest.Ingest:
-    """Documents as response pages of twenty items; one source breaks off at its second page."""
+def whole_ingest(spark, sf_dir, twice: bool = False, only: str | None = None, unfit: Column | None = None, states: bool = False) -> ingest.Ingest:
+    """Documents as response pages of twenty items; one source breaks off at its second page. ``twice``: every other page
+    comes again. ``states``: the stored notices have states of detail fetches, and pages were fetched."""
     items = ingest_items(spark, sf_dir)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))), lambda x: x["raw"])
     is_xml = F.col("source_code").isin(ingest.XML_SOURCES)
@@ -241,11 +242,77 @@ def whole_ingest(spark, sf_dir) -> ingest.Ingest:
     json = F.concat(F.lit('{"items":['), F.array_join("l", ","), F.lit("]}"))
     body = F.when(is_xml, xml).when((F.col("source_code") == "mois") & (F.col("page") == 1), F.lit("<html>busy")).otherwise(json)
     pages = paged.select(F.col("source_code").alias("source"), "page", body.alias("body"))
+    if twice:
+        pages = pages.unionByName(pages.where("page % 2 = 0"))
     old = adapters.to_rows(adapters.bizinfo(items.where("doc_id % 35 = 0").select("raw", F.col("doc_id").alias("arrival"))).withColumn("apply_end", F.lit(None).cast("date")), now()).drop("arrival")
     before = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
     stored = old.withColumns({"id": F.regexp_extract("title", r"(\d+)", 1).cast("long"), "created_at": before, "organization": F.lit("before")})
     sources = spark.createDataFrame([(code,) for _, code, _ in V.SOURCES], "code string").withColumn("last_fetched_at", before)
-    return ingest.run_ingest(pages, written(stored, "stored-notices"), sources, now())
+    fetched = None
+    if states:
+        none = F.lit(None)
+        fresh, number = F.col("id") % 2 == 0, F.col("id").cast("string")
+        hash_ = F.when(fresh, adapters.payload_hash(F.col("raw"), F.col("source_id"))).otherwise(F.lit("older"))
+        stored = stored.withColumns({"detail_source_hash": hash_, "detail_fetched_at": before, "detail_fetch_status": F.lit("success"), "detail_fetch_error": none.cast("string"), "detail_fetch_attempted_at": before, "detail_content": F.concat(F.lit("old "), number)})
+        of = items.where("source_code = 'bizinfo'").select(F.lit(1).alias("source_id"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("B"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("U"), F.col("doc_id").cast("string"))).otherwise(F.col("title")).alias("source_key"), F.col("doc_id"))
+        fetched = of.select("source_id", "source_key", (F.col("doc_id") % 4 != 0).alias("ok"), F.lit("busy").alias("reason"), none.cast("string").alias("region"), F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("detail_content"))
+    return ingest.run_ingest(pages, written(stored, "stored-notices"), sources, now(), only, unfit=unfit, fetched=fetched)
+
+
+#: Two sources with every other page twice; titles that end in 5 aren't taken.
+DOUBLED = ITEMS + f""", doubled AS (SELECT *, 0 AS copy_ FROM items WHERE code IN ('bizinfo', 'mss') UNION ALL SELECT *, 1 FROM items WHERE code IN ('bizinfo', 'mss') AND page % 2 = 0),
+judged AS (SELECT *, ends >= DATE '{TODAY}' - 2 AS current_, title LIKE '%5 지원사업' AS fails FROM doubled),
+known AS (SELECT title FROM judged WHERE code = 'bizinfo' AND current_ AND NOT fails UNION SELECT title FROM stored),
+thirds AS (SELECT *, title IN (SELECT title FROM known) AS found FROM judged WHERE code = 'mss'),
+firsts AS (SELECT *, found OR row_number() OVER (PARTITION BY found, title ORDER BY page, copy_, doc_id) > 1 AS again FROM thirds),
+results AS (SELECT code, doc_id, title, false AS again, current_, fails FROM judged WHERE code = 'bizinfo' UNION ALL SELECT code, doc_id, title, again, current_, fails FROM firsts),
+ended AS (SELECT code, doc_id, title, CASE WHEN again THEN 'duplicate' WHEN NOT current_ THEN 'expired' WHEN fails THEN 'failed' ELSE 'upserted' END AS outcome FROM results) """
+
+
+@query(
+    DOUBLED
+    + f"""SELECT s.code, CAST(count(r.doc_id) AS BIGINT) AS items, CAST(count(*) FILTER (outcome = 'upserted') AS BIGINT) AS upserted, CAST(count(*) FILTER (outcome IN ('duplicate', 'expired')) AS BIGINT) AS skipped,
+    CAST(count(*) FILTER (outcome = 'duplicate') AS BIGINT) AS duplicates, CAST(count(*) FILTER (outcome = 'expired') AS BIGINT) AS expired, CAST(count(*) FILTER (outcome = 'failed') AS BIGINT) AS failed,
+    CASE WHEN count(*) FILTER (outcome = 'failed') > 0 THEN TIMESTAMP '2026-01-01' ELSE TIMESTAMP '{TODAY} 03:00:00' END AS last_fetched_at
+    FROM (VALUES ('bizinfo'), ('mss')) s(code) LEFT JOIN ended r USING (code) GROUP BY 1"""
+)
+def ingest_repeated_pages(spark, sf_dir):
+    """Two sources by name, with pages that come twice and rows that the table doesn't take: counts, and when each source was fetched."""
+    run = whole_ingest(spark, sf_dir, twice=True, only=" mss,bizinfo, ", unfit=F.col("title").like("%5 지원사업"))
+    return run.counters.join(run.sources, "code").select("code", "items", "upserted", "skipped", "duplicates", "expired", "failed", "last_fetched_at")
+
+
+@query(DOUBLED + "SELECT code, title, CAST(count(*) AS BIGINT) AS times FROM (SELECT DISTINCT code, doc_id, title FROM ended WHERE outcome = 'upserted' UNION SELECT 'bizinfo', doc_id, title FROM stored) GROUP BY ALL")
+def ingest_repeated_stored(spark, sf_dir):
+    """Each notice of the pages that came twice is stored once."""
+    run = whole_ingest(spark, sf_dir, twice=True, only="mss,bizinfo", unfit=F.col("title").like("%5 지원사업"))
+    code = F.element_at(F.array(*[F.lit(c) for _, c, _ in V.SOURCES]), F.col("source_id").cast("int"))
+    return run.notices.groupBy(code.alias("code"), "title").agg(F.count("*").alias("times"))
+
+
+#: Of the first source's taken items those have an address whose id isn't 2 more than a multiple of 3; stored ones of even id
+#: have been fetched with this payload.
+FETCHED = ITEMS + """, mine AS (SELECT doc_id, doc_id % 3 < 2 AND NOT (doc_id IN (SELECT doc_id FROM stored) AND doc_id % 2 = 0) AS needed FROM outcomes WHERE code = 'bizinfo' AND outcome = 'upserted'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY needed ORDER BY doc_id) AS nth FROM mine),
+tried AS (SELECT doc_id FROM ranked WHERE needed AND nth <= 8) """
+
+
+@query(FETCHED + """SELECT CAST(count(*) FILTER (needed AND nth <= 8 AND doc_id % 4 <> 0) AS BIGINT) AS details_fetched, CAST(count(*) FILTER (needed AND nth <= 8 AND doc_id % 4 = 0) AS BIGINT) AS details_failed,
+    CAST(count(*) FILTER (NOT needed) AS BIGINT) AS details_skipped, CAST(count(*) FILTER (needed AND nth > 8) AS BIGINT) AS details_pending FROM ranked""")
+def ingest_detail_counts(spark, sf_dir):
+    """Which pages of notices an ingest may fetch, within its budget, and what came of them."""
+    counters = whole_ingest(spark, sf_dir, states=True).counters.where("code = 'bizinfo'")
+    return counters.select("details_fetched", "details_failed", "details_skipped", "details_pending")
+
+
+@query(FETCHED + f"""SELECT title, CASE WHEN doc_id IN (SELECT doc_id FROM tried) AND doc_id % 4 <> 0 THEN 'new ' || doc_id WHEN doc_id IN (SELECT doc_id FROM stored) THEN 'old ' || doc_id END AS detail_content,
+    CASE WHEN doc_id IN (SELECT doc_id FROM tried) AND doc_id % 4 = 0 THEN 'busy' END AS detail_fetch_error,
+    CASE WHEN doc_id IN (SELECT doc_id FROM tried) THEN TIMESTAMP '{TODAY} 03:00:00' WHEN doc_id IN (SELECT doc_id FROM stored) THEN TIMESTAMP '2026-01-01' END AS attempted_at
+    FROM (SELECT doc_id, title FROM outcomes WHERE code = 'bizinfo' AND outcome = 'upserted' UNION SELECT doc_id, title FROM stored)""")
+def ingest_details_stored(spark, sf_dir):
+    """The first source's notices after the run, with what was fetched for them."""
+    notices = whole_ingest(spark, sf_dir, states=True).notices.where("source_id = 1")
+    return notices.select("title", "detail_content", "detail_fetch_error", F.col("detail_fetch_attempted_at").alias("attempted_at"))
 
 
 @query(
@@ -257,7 +324,7 @@ def whole_ingest(spark, sf_dir) -> ingest.Ingest:
 )
 def ingest_run(spark, sf_dir):
     """What came of the items of each source."""
-    return whole_ingest(spark, sf_dir).counters.drop("failed")
+    return whole_ingest(spark, sf_dir).counters.select("code", "items", "upserted", "skipped", "duplicates", "expired", "error")
 
 
 @query(

@@ -25,8 +25,11 @@ def is_json(body: Column) -> Column:
 
 
 def explode_items(responses: DataFrame, items: Column, keep: list[str] = ()) -> DataFrame:
-    """One row per item with its ``arrival``: pages in order (column page), items in order within."""
-    return responses.select(*keep, "page", F.posexplode(items).alias("place", "raw")).withColumn("arrival", F.col("page").cast("long") * 1_000_000 + F.col("place"))
+    """One row per item with its ``arrival`` (page, copy, place), unique within what ``keep`` names: pages in order (column
+    page), copies of one page in the order of their ``copy`` (0 where there is no such column), items in order within."""
+    copy = F.col("copy") if "copy" in responses.columns else F.lit(0)
+    rows = responses.select(*keep, "page", copy.alias("copy"), F.posexplode(items).alias("place", "raw"))
+    return rows.withColumn("arrival", F.struct("page", "copy", "place")).drop("copy")
 
 
 ELEMENT = r"(?s)<([A-Za-z0-9_:-]+)\b[^>]*>(.*?)</\1>"
