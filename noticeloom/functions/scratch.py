@@ -5,14 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once to the folder that all executors share (``spark.checkpoint.dir``) and read from there, so that
-    plans that use it several times stay small. Local sessions (tests) get a folder of their own where it is unset; on a
-    cluster that is an error."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that all executors share (``spark.checkpoint.dir``). Local sessions (tests) get a folder of
+    their own where it is unset; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         master = spark.sparkContext.master
@@ -20,6 +18,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-noticeloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/noticeloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared}/noticeloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once to a scratch folder and read from there, so that plans that use it several times stay small."""
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
