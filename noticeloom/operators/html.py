@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -71,36 +72,13 @@ class Node:
     def classes(self) -> set[str]:
         return set(self.attributes.get("class", "").split())
 
-    def walk(self):
-        stack = [iter(self.children)]  # explicit, as pages may nest deeper than Python's calls
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, Node):
-                yield child
-                stack.append(iter(child.children))
-
-    def select(self, selector: str) -> list[Node]:
-        if selector[0] == ".":
-            return [n for n in self.walk() if selector[1:] in n.classes]
-        if selector[0] == "#":
-            return [n for n in self.walk() if n.attributes.get("id") == selector[1:]]
-        return [n for n in self.walk() if n.name == selector]
-
-    def raw_text(self) -> str:
-        return "".join(self.raw_pieces())
-
-    def raw_pieces(self):
-        stack = [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, Node):
-                stack.append(iter(child.children))
-            else:
-                yield child
+
+def nodes_below(root: Node):
+    waiting = [root]
+    while waiting:
+        children = [c for c in waiting.pop().children if isinstance(c, Node)]
+        yield from children
+        waiting += children
 
 
 class Tree(HTMLParser):
@@ -163,12 +141,6 @@ def hidden(node: Node) -> bool:
     )
 
 
-def cleared(root: Node) -> Node:
-    for node in [root, *root.walk()]:
-        node.children = [c for c in node.children if isinstance(c, str) or not hidden(c)]
-    return root
-
-
 def squeezed(text: str) -> str:
     text = re.sub(r"[ \t]+", " ", text.replace("\r", ""))
     return re.sub(r"\n{3,}", "\n\n", re.sub(" *\n *", "\n", text)).strip()
@@ -196,77 +168,180 @@ def emphasis(node: Node) -> tuple[str, str] | None:
     return BOLD if node.name in ("strong", "b") or re.search(r"font-weight\s*:\s*(?:bold|bolder|[7-9]00)", style) else None
 
 
-def text_of(node: Node) -> str:
-    """A node's text with line ends after blocks, and marks around red and bold parts (the outermost)."""
-
-    out: list[str] = []
-    # The open nodes: their remaining children, whether they stand within marks, and what follows them.
-    stack = [(iter(node.children), False, "")]
-    while stack:
-        children, marked, after = stack[-1]
-        child = next(children, None)
-        if child is None:
-            stack.pop()
-            out.append(after)
-        elif isinstance(child, str):
-            out.append(child)
-        elif child.name == "br":
-            out.append("\n")
-        else:
-            marks = None if marked else emphasis(child)
-            if marks and not any(map(str.strip, child.raw_pieces())):
-                marks = None
-            out.append(marks[0] if marks else "")
-            end = (marks[1] if marks else "") + ("\n" if child.name in BLOCKS else "")
-            stack.append((iter(child.children), marked or marks is not None, end))
-    return squeezed("".join(out))
+class Page:
+    """A page as flat lists, made in one walk: its nodes in order, each with where its descendants end, and the pieces of its
+    text. What is asked of a node is then a slice of a list, so work follows the sizes of the answers."""
+
+    def __init__(self, root: Node, dropped=None):
+        self.nodes: list[Node] = []
+        #: By node: its parent, the first node after its descendants, and the range of its pieces.
+        self.parents: list[int] = []
+        self.ends: list[int] = []
+        self.pieces_of: list[tuple[int, int]] = []
+        #: By node: how many marked nodes it stands in, itself included.
+        self.inner: list[int] = []
+        #: Pieces of text; of raw text, line ends and marks (with the number of marked nodes around, else -1).
+        self.pieces: list[str] = []
+        self.raw: list[bool] = []
+        #: By piece: how many before it have more than white space, of the raw text.
+        self.told: list[int] = [0]
+        self.level: list[int] = []
+        self.by: dict[str, list[int]] = {}
+        self._walk(root, dropped)
+
+    def _add(self, piece: str, raw: bool, level: int = -1) -> None:
+        self.pieces.append(piece)
+        self.raw.append(raw)
+        self.told.append(self.told[-1] + (raw and not piece.isspace()))
+        self.level.append(level)
+
+    def _open(self, node: Node, parent: int, inner: int) -> int:
+        i = len(self.nodes)
+        self.nodes.append(node)
+        self.parents.append(parent)
+        self.ends.append(i + 1)
+        self.pieces_of.append((len(self.pieces), len(self.pieces)))
+        self.inner.append(inner)
+        for key in (node.name, f"#{node.attributes.get('id', '')}", *(f".{c}" for c in node.classes)):
+            self.by.setdefault(key, []).append(i)
+        return i
+
+    def _walk(self, root: Node, dropped) -> None:
+        # Open nodes: number, remaining children, where their opening mark stands, marks, number of marked nodes around.
+        stack = [(self._open(root, -1, 0), iter(root.children), None, None, 0)]
+        blank = [True]  # whether an open node has had only blank text so far
+        while stack:
+            i, children, at, marks, around = stack[-1]
+            child = next(children, None)
+            if isinstance(child, str):
+                self._add(child, True)
+                blank[-1] = blank[-1] and not child.strip()
+            elif child is None:
+                stack.pop()
+                empty = blank.pop()
+                if blank:
+                    blank[-1] = blank[-1] and empty
+                self.ends[i] = len(self.nodes)
+                self.pieces_of[i] = (self.pieces_of[i][0], len(self.pieces))
+                if marks and empty:  # no text, no mark; what stands within has none either
+                    self.pieces[at] = ""
+                elif marks:
+                    self._add(marks[1], False, around)
+                if i and self.nodes[i].name in BLOCKS:
+                    self._add("\n", False)
+            elif dropped is None or not dropped(child):
+                if child.name == "br":
+                    self._add("\n", False)
+                marks, at = emphasis(child), None
+                if marks:
+                    at = len(self.pieces)
+                    self._add(marks[0], False, self.inner[i])
+                number = self._open(child, i, self.inner[i] + bool(marks))
+                stack.append((number, iter(child.children), at, marks, self.inner[i]))
+                blank.append(True)
+
+    def select(self, selector: str, within: int = 0) -> list[int]:
+        """Nodes of a name, .class or #id below a node, in order."""
+        found = self.by.get(selector, [])
+        return found[bisect_right(found, within) : bisect_left(found, self.ends[within])]
+
+    def raw_text(self, i: int, most: int = 10_000) -> str:
+        """What a label may be made of: the first characters of a node's text, far more than a label has."""
+        first, last = self.pieces_of[i]
+        found, size = [], 0
+        for k in range(first, last):
+            if self.raw[k]:
+                found.append(self.pieces[k])
+                size += len(found[-1])
+                if size >= most:
+                    break
+        return "".join(found)[:most]
 
+    def text(self, i: int) -> str:
+        """A node's text with line ends after blocks, and marks around red and bold parts (the outermost)."""
+        (first, last), inner = self.pieces_of[i], self.inner[i]
+        if self.told[first] == self.told[last]:
+            return ""
+        return squeezed("".join(p for p, level in zip(self.pieces[first:last], self.level[first:last], strict=True) if level < 0 or level == inner))
 
-def body_of(root: Node) -> Node:
-    return next(iter(root.select("body")), root)
+    def body(self) -> int:
+        return next(iter(self.select("body")), 0)
 
 
-def main_text(root: Node, selectors: list[str]) -> str:
-    for selector in selectors:
-        if texts := [t for t in map(text_of, root.select(selector)) if len(t) >= LEAST_TEXT]:
-            return squeezed("\n\n".join(texts))
-    return text_of(body_of(root))
+def cleared(root: Node) -> Page:
+    """The page without what isn't shown."""
+    return Page(root, hidden)
 
 
-def sections(root: Node) -> list[dict]:
-    out = []
-    for part in root.select(".information_list"):
-        title = squeezed(next((t.raw_text() for t in part.select(".title")), ""))
-        items = part.select(".dot_list")
-        body = squeezed("".join(text_of(i) + "\n" for i in items)) if items else text_of(part)
+def main_text(page: Page, selectors: list[str], limits: Limits = LIMITS) -> str:
+    """The texts of the first selector that has some; no more of them than the limit of characters needs."""
+    for selector in selectors:
+        texts, size = [], 0
+        for i in page.select(selector):
+            if size >= limits.text:
+                break
+            if len(text := page.text(i)) >= LEAST_TEXT:
+                texts.append(text)
+                size += len(text)
+        if texts:
+            return squeezed("\n\n".join(texts))
+    return page.text(page.body())
+
+
+def sections(page: Page, limits: Limits = LIMITS) -> list[dict]:
+    """Titles and bodies; lists that come after the limit of characters, or lie in others beyond it, aren't read."""
+    out, size = [], 0
+    for part in page.select(".information_list"):
+        if size >= limits.text:
+            break
+        title = squeezed(next((page.raw_text(t) for t in page.select(".title", part)), ""))
+        items = page.select(".dot_list", part)
+        texts, length = [], 0
+        for i in items:
+            if length >= limits.text:
+                break
+            texts.append(page.text(i) + "\n")
+            length += len(texts[-1])
+        body = squeezed("".join(texts)) if items else page.text(part)
+        size += length + len(body) + len(items)
         if title and body:
             out.append({"title": title, "body": body})
     return out
 
 
+def names_beside(page: Page) -> list[int]:
+    """By node: the file's name that stands nearest, in the first of its ancestors of a kind of row that has one; else -1."""
+    names, out = [i for i in page.select(".file_bg") if page.nodes[i].name == "a"], []
+    for i, node in enumerate(page.nodes):
+        out.append(out[page.parents[i]] if i else -1)
+        if node.name in ("li", "tr", "dd", "div"):
+            k = bisect_right(names, i)
+            if k < len(names) and names[k] < page.ends[i]:
+                out[i] = names[k]
+    return out
+
+
 def private(host: str) -> bool:
     host = host.lower().rstrip(".")
     m = re.match(r"172\.(\d{1,3})\.", host)
     return host == "localhost" or host.endswith(".local") or re.match(r"127\.|10\.|192\.168\.|169\.254\.", host) is not None or (m is not None and 16 <= int(m[1]) <= 31)
 
 
-def attachments(root: Node, url: str, limits: Limits = LIMITS) -> list[dict]:
+def attachments(page: Page, url: str, limits: Limits = LIMITS) -> list[dict]:
     found: dict[str, str] = {}
-    for a in root.select("a"):
+    beside = names_beside(page)
+    for i in page.select("a"):
+        if len(found) >= limits.files:
+            break
+        a = page.nodes[i]
         href = a.attributes.get("href", "").strip()
-        if len(found) >= limits.files or not href or href[0] == "#" or href.lower().startswith("javascript:"):
+        if not href or href[0] == "#" or href.lower().startswith("javascript:"):
             continue
-        text, title = squeezed(a.raw_text()), squeezed(a.attributes.get("title", ""))
+        text, title = squeezed(page.raw_text(i)), squeezed(a.attributes.get("title", ""))
         no_text, no_title = not text or GENERIC_TEXT.match(text), not title or GENERIC_TITLE.match(title)
         label = title if no_text and not no_title else text or title or ATTACHMENT
-        if no_text and no_title:  # the name may stand beside the button
-            at = a.parent
-            while at is not None:
-                names = [n for n in at.select(".file_bg") if n.name == "a"] if at.name in ("li", "tr", "dd", "div") else []
-                if names:
-                    label = squeezed(names[0].raw_text()) or label
-                    break
-                at = at.parent
+        if no_text and no_title and beside[page.parents[i]] >= 0:  # the name may stand beside the button
+            label = squeezed(page.raw_text(beside[page.parents[i]])) or label
         label = squeezed(re.sub(r"(?:\s*(?:다운로드|바로보기|내려받기))+$", "", re.sub(rf"^\[?{ATTACHMENT}\]?\s*", "", label))) or ATTACHMENT
         if "download" not in a.attributes and not FILE_NAME.search(href) and not FILE_WORD.search(f"{href} {label}"):
             continue
@@ -280,7 +355,7 @@ def attachments(root: Node, url: str, limits: Limits = LIMITS) -> list[dict]:
     return [{"label": label, "url": u} for u, label in found.items()]
 
 
-def numbered_files(root: Node, url: str, path: str = PROXY_PATH, limits: Limits = LIMITS) -> list[dict]:
+def numbered_files(shown: Page, url: str, path: str = PROXY_PATH, limits: Limits = LIMITS) -> list[dict]:
     """Files of a board that names them by numbers in a script call; addresses go through a proxy path."""
     try:
         page = parse_qs(urlsplit(url or "").query).get("nttSeqNo", [""])[0].strip()
@@ -288,22 +363,34 @@ def numbered_files(root: Node, url: str, path: str = PROXY_PATH, limits: Limits
         return []
     if not re.fullmatch(r"[0-9]{1,20}", page):
         return []
+    # Calls stand in links within a box of buttons; by link, the innermost of these.
+    box_of, calls, items = [], [], {}
+    for i, node in enumerate(shown.nodes):
+        box_of.append(i if "down_btn" in node.classes else box_of[shown.parents[i]] if i else -1)
+        if node.name == "a" and box_of[i] >= 0 and "fn_download" in node.attributes.get("onclick", "") and box_of[i] != i:
+            calls.append(i)
+        if node.name == "li":
+            items.setdefault(shown.parents[i], []).append(i)
+    named = [i for i in shown.select("a") if "ico_file_" in shown.nodes[i].attributes.get("class", "")]
     found: dict[tuple, dict] = {}
-    for item in (li for box in root.select(".down_file") for li in box.children if isinstance(li, Node) and li.name == "li"):
-        calls = [a.attributes.get("onclick", "") for box in item.select(".down_btn") for a in box.select("a") if "fn_download" in a.attributes.get("onclick", "")]
-        m = re.search(r"""(?i)fn_download\(\s*['"](\d{1,20})['"]\s*,\s*['"](\d{1,20})['"]\s*,\s*['"][a-z0-9]{1,12}['"]\s*\)""", calls[0]) if calls else None
-        if m and m.groups() not in found and len(found) < limits.files:
-            names = [a.raw_text() for a in item.select("a") if "ico_file_" in a.attributes.get("class", "")]
-            label = re.sub(r"\s+", " ", names[0]).strip()[: limits.label] if names else ""
+    for item in (i for box in shown.select(".down_file") for i in items.get(box, ())):
+        if len(found) >= limits.files:
+            break
+        inside = range(bisect_right(calls, item), bisect_left(calls, shown.ends[item]))
+        call = next((shown.nodes[calls[k]].attributes["onclick"] for k in inside if box_of[calls[k]] > item), "")
+        m = re.search(r"""(?i)fn_download\(\s*['"](\d{1,20})['"]\s*,\s*['"](\d{1,20})['"]\s*,\s*['"][a-z0-9]{1,12}['"]\s*\)""", call)
+        if m and m.groups() not in found:
+            k = bisect_right(named, item)
+            label = re.sub(r"\s+", " ", shown.raw_text(named[k])).strip()[: limits.label] if k < len(named) and named[k] < shown.ends[item] else ""
             query = urlencode({"nttSeqNo": page, "atchFileNo": m[1], "fileOrd": m[2]})
             found[m.groups()] = {"label": label or f"{ATTACHMENT} {len(found) + 1}", "url": f"{path}?{query}"}
     return list(found.values())
 
 
-def empty_shell(root: Node, files: list[dict], iframe: bool, login: bool, app: bool) -> bool:
+def empty_shell(page: Page, files: list[dict], iframe: bool, login: bool, app: bool) -> bool:
     """Whether a page has nothing to read and no sign of why."""
     there = [".information_list", *SELECTORS["kstartup"], *ALTERNATES]
-    return not (iframe or files or login or app or len(text_of(body_of(root))) >= LEAST_TEXT or any(len(text_of(n)) >= LEAST_TEXT for s in there for n in root.select(s)))
+    return not (iframe or files or login or app or len(page.text(page.body())) >= LEAST_TEXT or any(len(page.text(i)) >= LEAST_TEXT for s in there for i in page.select(s)))
 
 
 def proxied_file(url: str | None, path: str = PROXY_PATH) -> str | None:
@@ -356,16 +443,19 @@ DETAIL = "detail_content string, sections array<struct<title:string,body:string>
 
 def page_detail(html: str | None, url: str | None, source: str | None, limits: Limits = LIMITS) -> dict:
     tree = Tree(html or "", limits.depth).root
-    login = any(n.attributes.get("type") == "password" for n in tree.select("input"))
-    iframe, app = bool(tree.select("iframe")), any(n.attributes.get("id") in ("root", "app", "__next") for n in tree.select("div"))
-    root = cleared(tree)
-    files = (numbered_files(root, url, limits=limits) if source == "msit" else []) or attachments(root, url, limits)
-    parts = sections(root) if source == "kstartup" else []
+    login = iframe = app = False
+    for node in nodes_below(tree):
+        login = login or (node.name == "input" and node.attributes.get("type") == "password")
+        iframe = iframe or node.name == "iframe"
+        app = app or (node.name == "div" and node.attributes.get("id") in ("root", "app", "__next"))
+    page = cleared(tree)
+    files = (numbered_files(page, url, limits=limits) if source == "msit" else []) or attachments(page, url, limits)
+    parts = sections(page, limits) if source == "kstartup" else []
     mapped = {k: next((p["body"] for p in parts if t in p["title"]), None) for k, t in MAPPED_SECTIONS.items()}
-    text = "\n\n".join(f"{p['title']}\n{p['body']}" for p in parts) or main_text(root, SELECTORS.get(source, ["main", "article"]))
+    text = "\n\n".join(f"{p['title']}\n{p['body']}" for p in parts) or main_text(page, SELECTORS.get(source, ["main", "article"]), limits)
     reason = None
     if len(text) < LEAST_TEXT:
-        reason = "empty_shell_200" if source == "kstartup" and empty_shell(root, files, iframe, login, app) else "본문 없음"
+        reason = "empty_shell_200" if source == "kstartup" and empty_shell(page, files, iframe, login, app) else "본문 없음"
     return {"detail_content": text[: limits.text], "sections": parts, **mapped, "attachments": files, "reason": reason}
 
 

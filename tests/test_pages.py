@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import resource
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators.html import Limits, Tree, attachments, cleared, decode_html, is_red, main_text, page_detail, page_has_file, parse_pages, proxied_file, text_of
+from noticeloom.operators.html import BLOCKS, Limits, Page, Tree, attachments, cleared, decode_html, emphasis, is_red, main_text, page_detail, page_has_file, parse_pages, proxied_file, squeezed
 from noticeloom.operators.lines import classify_lines, text_lines
 from noticeloom.operators.region import RegionInference, infer_region
 
@@ -29,7 +31,7 @@ def test_short_matches_fall_through_to_the_body():
 
 def test_emphasis_marks_the_outermost():
     page = "<p>a <span style='color:#ff0000'>b <b>c</b></span> <strong>d</strong> <font color='blue'>e</font></p>"
-    assert text_of(Tree(page).root) == "a [[em]]b c[[/em]] [[b]]d[[/b]] e"
+    assert Page(Tree(page).root).text(0) == "a [[em]]b c[[/em]] [[b]]d[[/b]] e"
     assert [is_red(c) for c in ("RED", "#f00", "rgb(160, 96, 96)", "rgb(159,0,0)", "#ff6161", "")] == [True, True, True, False, False, False]
 
 
@@ -43,7 +45,7 @@ def test_sections():
 def test_attachments():
     page = """<a href="/f/a.pdf">공고문 다운로드</a><a href="/f/a.pdf">again</a><a href="#x.pdf">no</a><a href="javascript:f()">no</a><a href="/page">no</a>
     <a href="http://10.0.0.1/b.hwp">no</a><a href="http://u:p@h.kr/b.hwp">no</a><a href="/x" download title="신청서.hwp">다운로드</a><li><a class="file_bg">이름.zip</a><a href="/download?id=1">다운로드</a></li>"""
-    assert attachments(Tree(page).root, "https://h.kr/v") == [
+    assert attachments(Page(Tree(page).root), "https://h.kr/v") == [
         {"label": "공고문", "url": "https://h.kr/f/a.pdf"}, {"label": "신청서.hwp", "url": "https://h.kr/x"}, {"label": "이름.zip", "url": "https://h.kr/download?id=1"},
     ]
 
@@ -76,7 +78,7 @@ def test_deep_pages(tag):
 
 def test_options_end_each_other():
     root = Tree("<select><option>a<option>b<optgroup><option>c<optgroup><option>d</select>").root
-    assert [n.raw_text() for n in root.select("option")] == ["a", "b", "c", "d"]
+    assert [Page(root).raw_text(i) for i in Page(root).select("option")] == ["a", "b", "c", "d"]
 
 
 def kinds(text):
@@ -187,3 +189,53 @@ def test_proxied_files():
         assert proxied_file(bad) is None
     assert page_has_file("<a onclick=\"FN_download('12', '1', 'hwp')\">", "12", "1")
     assert not page_has_file("<a onclick=\"fn_download('12', '1', 'hwp')\">", "12", "2") and not page_has_file("", "x", "1")
+
+
+# -- large and nested pages --------------------------------------------------------------------------------------------------
+
+MASSES = {
+    "links": "<div>" + "<a href='/f/{0}.pdf'>다운로드</a>" * 100_000 + "</div>",
+    "nested views": "<div class='board_view'>" * 500 + "가나다라마 " * 40_000 + "</div>" * 500,
+    "nested lists": "<div class='information_list'><p class='title'>t</p>" * 500 + "<ul class='dot_list'>x</ul>" * 50_000 + "</div>" * 500,
+    "nested links": "<a href='/download'>" * 500 + "x " * 500_000,
+    "buttons": "<ul class='down_file'><li><div class='down_btn'>" * 250 + "<a onclick=\"fn_download('1','2','hwp')\">x</a>" * 20_000,
+    "emphasis": "<b style='color:red'>" * 500 + "<i>y</i>" * 100_000,
+    "empty blocks": "<div class='board_view'>" * 300 + "<p></p>" * 100_000,
+    "rows": "<li><div>" * 250 + "<a href='/x.pdf'></a>" * 50_000 + "<a class='file_bg'>name</a>",
+}
+
+
+@pytest.mark.parametrize("name", list(MASSES))
+@pytest.mark.parametrize("source", ["bizinfo", "kstartup", "msit"])
+def test_large_pages_take_seconds(name, source):
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = page_detail(MASSES[name], "https://h.kr/v?nttSeqNo=7", source)
+    assert time.time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < before + 300_000
+    assert len(found["detail_content"]) <= 200_000 and len(found["attachments"]) <= 50
+
+
+def plain_text(node, marked=False):
+    """Text of a node by plain recursion."""
+    out = ""
+    for c in node.children:
+        if isinstance(c, str):
+            out += c
+        elif c.name == "br":
+            out += "\n"
+        else:
+            raw = lambda n: "".join(x if isinstance(x, str) else raw(x) for x in n.children)
+            marks = None if marked or not raw(c).strip() else emphasis(c)
+            out += (marks[0] if marks else "") + plain_text(c, marked or marks is not None) + (marks[1] if marks else "") + ("\n" if c.name in BLOCKS else "")
+    return out
+
+
+def test_flat_pages_equal_plain_recursion():
+    rng = random.Random(12)
+    tags = ["div", "p", "b", "span style='color:red'", "span", "li", "br", "strong", "i class='x'", "section id='y'"]
+    for _ in range(300):
+        html = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(['div', 'p', 'b', 'span', 'li', 'i'])}>", "text ", " ", "\n"]) for _ in range(40))
+        page = Page(Tree(html).root)
+        for i, node in enumerate(page.nodes):
+            assert page.text(i) == squeezed(plain_text(node))
+        for selector, holds in ((".x", lambda n: "x" in n.classes), ("#y", lambda n: n.attributes.get("id") == "y"), ("b", lambda n: n.name == "b")):
+            assert page.select(selector) == [i for i, n in enumerate(page.nodes) if i and holds(n)]
