@@ -210,6 +210,38 @@ def parse_feed_params(params: dict[str, str]) -> FeedParams:
     return FeedParams(since, whole("deadlineWithinDays", 7, 30, False), whole("limit", 100, 100, True), decode_cursor(cursor) if cursor else None)
 
 
+def checked_requests(asked: DataFrame) -> DataFrame:
+    """:func:`parse_feed_params` of many requests (since, deadlineWithinDays, limit as texts, and further columns): ``error``
+    names the first parameter that is wrong, and then the three are null."""
+
+    def whole(name: str, default: int, most: int, clamp: bool) -> tuple[Column, Column]:
+        given = F.nullif(F.col(name), F.lit(""))
+        number = F.when(given.rlike("^[0-9]+$"), given.try_cast("decimal(38,0)"))
+        bad = given.isNotNull() & ~F.coalesce(number.between(1, 2**53 - 1 if clamp else most), F.lit(False))
+        return bad, F.when(number.isNotNull(), F.least(number, F.lit(most))).otherwise(F.lit(default)).cast("int")
+
+    told = F.nullif(F.trim("since"), F.lit(""))
+    # Read as a time of UTC, so that neither the session's zone nor a zone of the text but its offset counts.
+    local = F.try_to_timestamp(F.concat(F.regexp_extract(told, r"^(.{19}(?:\.\d{1,3})?)", 1), F.lit("Z"))).isNotNull()
+    time = F.regexp_extract(told, r"^(.{19}(?:\.\d{1,3})?)", 1).try_cast("timestamp_ntz")
+    offset = F.regexp_extract(told, r"([+-])(\d{2}):(\d{2})$", 0)
+    minutes = F.when(offset == "", 0).otherwise((F.substr(offset, F.lit(2), F.lit(2)).cast("int") * 60 + F.substr(offset, F.lit(5), F.lit(2)).cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1))
+    wrong = told.isNotNull() & ~F.coalesce(told.rlike(f"^(?:{STAMP.pattern})$") & local & time.isNotNull(), F.lit(False))
+    bad_within, within = whole("deadlineWithinDays", 7, 30, False)
+    bad_limit, limit = whole("limit", 100, 100, True)
+    error = F.when(wrong, "since").when(bad_within, "deadlineWithinDays").when(bad_limit, "limit")
+    checked = asked.withColumns({"error": error, "_since": F.timestamp_add("MINUTE", -minutes, time), "_within": within, "_limit": limit})
+    good = F.col("error").isNull()
+    kept = [c for c in asked.columns if c not in ("since", "deadlineWithinDays", "limit")]
+    return checked.select(*kept, "error", *[F.when(good, F.col(f"_{c}")).alias(name) for c, name in (("since", "since"), ("within", "deadlineWithinDays"), ("limit", "limit"))])
+
+
+def positive_number(c: Column, default: int) -> Column:
+    """:func:`positive` of a column."""
+    finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return F.when(finite, F.greatest(F.lit(1).cast("long"), F.floor(c))).otherwise(F.lit(default).cast("long"))
+
+
 def parse_open_params(params: dict[str, str]) -> ListParams:
     """Checked parameters of the open list."""
 

@@ -36,6 +36,24 @@ def condition_of(value: object) -> Condition | None:
     return Condition(texts[0], texts[1], [i for i in interests if isinstance(i, str)], done)
 
 
+def conditions(told: Column) -> Column:
+    """:func:`condition_of` of a column of JSON texts: a struct of user_type, region, interests and onboarding_completed, or null."""
+    json = F.try_parse_json(told)
+    part = lambda name: F.try_variant_get(json, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(part(name)), F.lit(""))
+    texts = ["user_type", "region", "industry", "startup_years"]
+    version = F.try_variant_get(json, "$.schema_version", "double")
+    number = kind("schema_version").rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    good = kind("onboarding_completed") == "BOOLEAN"
+    for name in texts:
+        good = good & (kind(name) == "STRING")
+    good = good & kind("interests").startswith("ARRAY<") & number & (version == F.floor(version))
+    items = F.try_variant_get(json, "$.interests", "array<variant>")
+    interests = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    value = lambda name, kind_: F.try_variant_get(json, f"$.{name}", kind_).alias(name)
+    return F.when(F.coalesce(good, F.lit(False)), F.struct(value("user_type", "string"), value("region", "string"), interests.alias("interests"), value("onboarding_completed", "boolean")))
+
+
 def is_nationwide_user(region: str) -> bool:
     return region.strip().lower() in ("nationwide", V.NATIONWIDE)
 
