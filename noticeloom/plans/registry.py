@@ -612,6 +612,6 @@ def dedup_titles(spark, sf_dir):
     return notices(spark, sf_dir).select("id", text.dedup_title(F.col("title")).alias("canonical"))
 
 
-from noticeloom.plans import own_text_queries, payload_queries, search_queries, state_queries, stream_queries, temporal_queries, text_queries  # noqa: E402, F401  (they register their own)
+from noticeloom.plans import own_text_queries, payload_queries, rollup_queries, search_queries, state_queries, stream_queries, temporal_queries, text_queries  # noqa: E402, F401  (they register their own)
 
 __all__ = ["QUERIES", "SQL"]
