@@ -5,8 +5,10 @@ A linear model on statistics of the whole text minimises the non-negative unbias
     prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)])
 
 with the logistic loss, trusted positives P (label 1 in the training fold), unlabelled web text U, and a class prior that
-is estimated from P and U alone: labels 0 aren't used. It is fitted on the driver from at most ``sample`` rows of each (a
-parameter of :func:`fit`; the rows are those with the smallest hashes of id and text); scoring covers all rows.
+is estimated from P and U alone: labels 0 aren't used. All texts are learnt from: their features are written once and dealt to
+blocks of about ``sample`` rows, a task minimises its block's risk against the trusted rows, and the blocks' models, which
+share one scale of the features, are averaged by their rows. Of the labelled rows at most ``sample`` are taken (a parameter of
+:func:`fit`; those with the smallest hashes of id and text) and broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.llm.common import table
+from noticeloom.llm.common import saved, table
 
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -99,11 +101,14 @@ def risk(weights: np.ndarray, bias: float, p: np.ndarray, u: np.ndarray, prior:
     return positive, negative, prior * slope(p, sp - 1), slope(u, su) - prior * slope(p, sp)
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk. While its second part is negative, the step goes up that part's slope
+def scale_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rows.mean(axis=0), rows.std(axis=0) + 1e-3
+
+
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, penalty: float = 1e-4, scale: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """Full-batch Adam on the non-negative risk, of features in the given scale (else in that of these rows). While its second part is negative, the step goes up that part's slope
     instead, so that the model unlearns what made it so."""
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    mean, scale = scale or scale_of(np.vstack([positive, unlabelled]))
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     weights, bias = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
@@ -138,7 +143,7 @@ def least_ratio(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1
     return float(np.clip(of_all[at] / share[at], 0.02, 0.98))
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, scale: tuple[np.ndarray, np.ndarray] | None = None) -> float:
     """The class prior of the unlabelled rows. Each half of the rows is scored by a model of the other half; a better prior
     gives better scores, and these a better prior."""
     prior = 0.5
@@ -147,51 +152,104 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     for _ in range(3):
         found = []
         for half in (0, 1):
-            trial = fit_risk(positive[1 - half :: 2], unlabelled[1 - half :: 2], prior, steps=300)
+            trial = fit_risk(positive[1 - half :: 2], unlabelled[1 - half :: 2], prior, steps=300, scale=scale)
             found.append(least_ratio(trial.score(positive[half::2]), trial.score(unlabelled[half::2])))
         prior = sum(found) / 2
     return prior
 
 
-def collected(texts: DataFrame, rows: int, sample: int, salt: int) -> np.ndarray:
-    """Features of all ``rows`` texts (columns doc_id, text), or of the ``sample`` with the smallest hashes of id and text.
+def featured(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """All columns of ``df`` but the text, with ``features`` (bytes of :func:`features`); null texts count as empty."""
+    names = [c for c in df.columns if c not in ("features", text_col)]
+    given = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in names]).alias("row"))
+    schema = T.StructType([given.schema["row"], T.StructField("features", T.BinaryType())])
 
-    A threshold on the hash turns most rows away before their features are taken; it is raised if too few pass, as
-    repeated rows have one hash and pass or fail together. The limit, not the threshold, is the bound on what reaches the
-    driver.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([features(t.as_py()).astype(np.float32).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), found], names=["row", "features"])
+
+    return given.mapInArrow(work, schema).select(*[F.col(f"row.`{c}`") for c in names], "features")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), MANY).astype(np.float64)
+
+
+def collected(told: DataFrame, sample: int) -> np.ndarray:
+    """Features of the ``sample`` rows (place, features) with the smallest places."""
+    found = told.select("place", "features").orderBy("place", "features").limit(sample).toArrow()
+    return matrix(found["features"])
+
+
+def whole_scale(told: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of rows, and the means and deviations of their features."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros((2, MANY))
         for batch in batches:
-            found = pa.array([features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), found], names=["h", "f"])
+            rows = matrix(batch.column("features"))
+            n, sums = n + len(rows), sums + [rows.sum(axis=0), (rows**2).sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(2 * MANY + 1), pa.int32()), pa.array([float(n), *sums.ravel()])], names=["i", "x"])
+
+    parts = told.select("features").mapInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    n = int(parts[0]["x"]) if parts else 0
+    mean, square = np.array([r["x"] for r in parts[1:]]).reshape(2, MANY) / max(1, n) if parts else np.zeros((2, MANY))
+    return n, mean, np.sqrt(np.maximum(0.0, square - mean**2)) + 1e-3
+
+
+def fit_featured(told: DataFrame, labels: DataFrame, *, prior: float | None = None, sample: int = SAMPLE) -> Model:
+    """:func:`fit` from a written table (doc_id, place, features), where place is a hash of id and text."""
+    known = labels.select("doc_id", "quality").where((remainder(F.col("doc_id")) != 0) & (F.col("quality") == 1))
+    positive = collected(told.join(known.select("doc_id").distinct(), "doc_id", "left_semi"), sample)
+    n, mean, scale = whole_scale(told)
+    if not len(positive) or not n:
+        prior = 0.5 if prior is None else prior
+        return Model(np.zeros(MANY), np.ones(MANY), np.zeros(MANY), float(np.log(prior / (1 - prior))), prior)
+    blocks, sent = -(-n // sample), told.sparkSession.sparkContext.broadcast(positive)
+
+    def work(block: pa.Table) -> pa.Table:
+        own = prior
+        rows = matrix(block["features"])
+        if own is None:
+            own = estimated_prior(sent.value, rows, (mean, scale))
+        model = fit_risk(sent.value, rows, own, scale=(mean, scale))
+        found = np.array([1.0, own, model.bias, *model.weights]) * len(rows)
+        return pa.Table.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found)], names=["i", "x"])
+
+    # Rows are dealt by their number, as equal texts have equal hashes.
+    dealt = told.select("features", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
+    sums = dealt.groupBy("block").applyInArrow(work, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    found = np.array([r["x"] for r in sums])
+    found = found[1:] / found[0]
+    return Model(mean, scale, found[2:], float(found[1]), float(found[0]))
 
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 30))
-    given = texts.select(place.alias("h"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    share = min(1.0, (1.2 * sample + 100) / max(1, rows))
-    while True:
-        passed = given if share == 1 else given.where(F.col("h") < int((1 << 30) * share))
-        found = passed.mapInArrow(work, "h bigint, f binary").orderBy("h", "f").limit(sample).collect()
-        if share == 1 or len(found) == sample:
-            return np.array([np.frombuffer(r["f"]) for r in found]).reshape(len(found), MANY)
-        share = min(1.0, 8 * share)
+
+def placed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("place", F.xxhash64("doc_id", "text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, prior: float | None = None, sample: int = SAMPLE) -> Model:
     """``documents``: doc_id, text. ``labels``: doc_id, quality (others ignored), of which the held-out fold isn't read.
 
-    At most ``sample`` positives and ``sample`` unlabelled texts are learnt from. Without a positive row to learn from, or
+    All texts are learnt from as unlabelled, and at most ``sample`` positives. Without a positive row to learn from, or
     without documents, all texts score the prior (0.5 if none is given).
     """
-    known = labels.select("doc_id", "quality").where((remainder(F.col("doc_id")) != 0) & (F.col("quality") == 1))
-    texts = documents.select("doc_id", "text")
-    trusted = texts.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    positive = collected(trusted, trusted.select("doc_id").count(), sample, 1)
-    unlabelled = collected(texts, texts.count(), sample, 2)
-    if not len(positive) or not len(unlabelled):
-        prior = 0.5 if prior is None else prior
-        return Model(np.zeros(MANY), np.ones(MANY), np.zeros(MANY), float(np.log(prior / (1 - prior))), prior)
-    return fit_risk(positive, unlabelled, estimated_prior(positive, unlabelled) if prior is None else prior)
+    return fit_featured(saved(featured(placed(documents.select("doc_id", "text"))), "quality-features"), labels, prior=prior, sample=sample)
+
+
+def classified(told: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """:func:`classify` of rows with ``features``, which go."""
+    names = [c for c in told.columns if c not in ("score", "predicted", "features")]
+    given = told.select(F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in names]).alias("row"), "features")
+    schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(matrix(batch.column("features"))))], names=["row", "score"])
+
+    scored = given.mapInArrow(work, schema)
+    return scored.select(*[F.col(f"row.`{c}`") for c in names], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def classify(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
@@ -201,20 +259,19 @@ def classify(df: DataFrame, model: Model, *, text_col: str = "text", threshold:
     replaced. An empty table gives no rows.
     """
     names = [c for c in df.columns if c not in ("score", "predicted") and (keep_text or c != text_col)]
-    given = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    given = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in names]).alias("row"))
     schema = T.StructType([given.schema["row"], T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, MANY)
+            rows = np.array([features(t.as_py()) for t in batch.column("text")], dtype=np.float32).reshape(batch.num_rows, MANY).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(rows))], names=["row", "score"])
 
     scored = given.mapInArrow(work, schema)
-    return scored.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*[F.col(f"row.`{c}`") for c in names], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(documents, table(spark, sf_dir, "labels"))
-    held_out = documents.withColumn("held_out", remainder(F.col("doc_id")) == 0)
-    return classify(held_out, model, keep_text=False).select("doc_id", "held_out", "score", "predicted")
+    told = saved(featured(placed(table(spark, sf_dir, "documents").select("doc_id", "text"))), "quality-features")
+    model = fit_featured(told, table(spark, sf_dir, "labels"))
+    return classified(told.withColumn("held_out", remainder(F.col("doc_id")) == 0), model).select("doc_id", "held_out", "score", "predicted")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.llm.quality import MANY, classify, collected, estimated_prior, features, fit, fit_risk, op6_quality, risk
+from noticeloom.llm.quality import MANY, classify, collected, estimated_prior, featured, features, fit, fit_risk, op6_quality, placed, risk, whole_scale
 from tests.llm.conftest import EDGES
 
 
@@ -56,18 +56,51 @@ def test_the_prior_is_estimated_without_negatives(share):
     assert estimated_prior(good[:1000], unlabelled) == pytest.approx(share, abs=0.06)
 
 
-def test_the_bound_holds_for_repeated_and_null_ids(spark):
+def test_labelled_rows_are_bounded_and_all_texts_learnt_from(spark):
     repeated = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
     nulls = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     for texts in (repeated, nulls, repeated.unionByName(nulls)):
-        n = texts.count()
-        assert len(collected(texts, n, 100, 1)) == 100
-        assert np.array_equal(collected(texts, n, 100, 1), collected(texts.repartition(7), n, 100, 1))
-    assert len(collected(repeated, 3000, 3000, 1)) == 3000
-    model = fit(repeated, spark.createDataFrame([(7, 1)], "doc_id bigint, quality int"), sample=50)
+        told = featured(placed(texts))
+        n, mean, scale = whole_scale(told)
+        rows = np.array([features(r["text"].encode()) for r in texts.collect()])
+        assert n == len(rows) and np.allclose(mean, rows.mean(axis=0), atol=1e-4) and np.allclose(scale, rows.std(axis=0) + 1e-3, atol=1e-3)
+        assert len(collected(told, 100)) == 100
+        assert np.array_equal(collected(told, 100), collected(told.repartition(7), 100))
+    model = fit(repeated, spark.createDataFrame([(7, 1)], "doc_id bigint, quality int"), sample=500)
     assert 0 < model.prior < 1
 
 
+def test_blocks_average_to_the_risk_of_all(spark):
+    """Models of several blocks, averaged, lower the risk over all rows, and decide as one model of all does."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one, many = fit(documents, labels, prior=0.85), fit(documents, labels, prior=0.85, sample=350)
+    told = featured(placed(documents.select("doc_id", "text"))).collect()
+    known = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = np.array([np.frombuffer(r["features"], np.float32) for r in told], dtype=float)
+    trusted = np.array([r["doc_id"] in known for r in told])
+
+    def whole(model):
+        scaled = np.clip((rows - model.mean) / model.scale, -8, 8)
+        first, second, _, _ = risk(model.weights, model.bias, scaled[trusted], scaled, 0.85)
+        return first + max(0, second)
+
+    assert np.allclose(one.mean, many.mean) and np.allclose(one.scale, many.scale)
+    assert whole(many) < whole(fit(documents, labels.limit(0), prior=0.85)) / 2
+    assert np.mean((one.score(rows) >= 0.3) == (many.score(rows) >= 0.3)) > 0.97
+
+
+def test_scores_equal_a_plain_recomputation(spark):
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    model = fit(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in classify(documents, model).collect():
+        x = features(texts[r["doc_id"]].encode())
+        z = sum(w * min(8, max(-8, (v - m) / s)) for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 def test_held_out_accuracy_and_use_of_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in op6_quality(spark, sf).collect()}
