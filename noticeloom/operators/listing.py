@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import values as V
 from noticeloom.functions.dates import seoul_date, status
-from noticeloom.functions.scratch import written
 from noticeloom.functions.text import http_url, sanitize
 from noticeloom.operators.classify import audience, source_code
 
@@ -94,14 +93,14 @@ def page_count(total: int, size: int) -> int:
 
 def list_page(view: DataFrame, p: ListParams, *, largest: int = 100, default: int = 10, display: bool = True) -> DataFrame:
     """One page of the list; beyond the last page it is the last. Counting is an action of its own and runs only for
-    pages after the first, over the view written once, which the page then reads. A page of the second half is taken from
-    the other end, so the last page costs what the first does; a deep one in the middle holds as many rows as stand before
-    it or after it (``keyset_page`` is the way through a long feed)."""
+    pages after the first; it reads what the filters need and no column of the list, and the page is then a top-k of the same
+    view, so nothing is written for a few rows. (Who asks for many pages of one view writes the view first.) A page of the
+    second half is taken from the other end, so the last page costs what the first does; a deep one in the middle holds as many
+    rows as stand before it or after it (``keyset_page`` is the way through a long feed)."""
     size, page = min(largest, positive(p.size, default)), positive(p.page, 1)
     rows = filtered(view, p)
     before, count, backward = (page - 1) * size, size, False
     if page > 1:
-        rows = written(rows.select(*LIST_COLUMNS), "listed")
         total = rows.count()
         before = (min(page, page_count(total, size)) - 1) * size
         count = max(0, min(size, total - before))
