@@ -1,6 +1,7 @@
 """Detail pages: main text, sections, attachments, emphasis. Pages are rows of a table (url, html, source).
 
-Parsing HTML has no built-in function; a small tree on the standard library's parser does it, inside pandas UDFs.
+Parsing HTML has no built-in function; a small tree on the standard library's parser makes flat lists of nodes and pieces of text
+of it, inside a UDF. What is read from them is said in DataFrame functions, in ``page_rules``.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import parse_qs, urlencode, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +40,8 @@ FILE_WORD = re.compile("(?i)file|atch|attach|download")
 RED_NAMES = {"red", "crimson", "firebrick", "darkred", "orangered", "tomato", "indianred", "maroon"}
 RED, BOLD = ("[[em]]", "[[/em]]"), ("[[b]]", "[[/b]]")
 LEAST_TEXT = 20
+#: Characters of a text that a label may be made of, and how many times the characters that are kept of a page are read for them.
+LABEL_TEXT, READ_TIMES = 2_000, 20
 
 
 @dataclass(frozen=True)
@@ -168,6 +172,11 @@ def emphasis(node: Node) -> tuple[str, str] | None:
     return BOLD if node.name in ("strong", "b") or re.search(r"font-weight\s*:\s*(?:bold|bolder|[7-9]00)", style) else None
 
 
+def keys_of(node: Node) -> list[str]:
+    """The selectors that a node answers to: its name, #id and .classes."""
+    return [node.name, f"#{node.attributes.get('id', '')}", *(f".{c}" for c in sorted(node.classes))]
+
+
 class Page:
     """A page as flat lists, made in one walk: its nodes in order, each with where its descendants end, and the pieces of its
     text. What is asked of a node is then a slice of a list, so work follows the sizes of the answers."""
@@ -202,7 +211,7 @@ class Page:
         self.ends.append(i + 1)
         self.pieces_of.append((len(self.pieces), len(self.pieces)))
         self.inner.append(inner)
-        for key in (node.name, f"#{node.attributes.get('id', '')}", *(f".{c}" for c in node.classes)):
+        for key in keys_of(node):
             self.by.setdefault(key, []).append(i)
         return i
 
@@ -245,7 +254,7 @@ class Page:
         found = self.by.get(selector, [])
         return found[bisect_right(found, within) : bisect_left(found, self.ends[within])]
 
-    def raw_text(self, i: int, most: int = 10_000) -> str:
+    def raw_text(self, i: int, most: int = LABEL_TEXT) -> str:
         """What a label may be made of: the first characters of a node's text, far more than a label has."""
         first, last = self.pieces_of[i]
         found, size = [], 0
@@ -273,42 +282,6 @@ def cleared(root: Node) -> Page:
     return Page(root, hidden)
 
 
-def main_text(page: Page, selectors: list[str], limits: Limits = LIMITS) -> str:
-    """The texts of the first selector that has some; no more of them than the limit of characters needs."""
-    for selector in selectors:
-        texts, size = [], 0
-        for i in page.select(selector):
-            if size >= limits.text:
-                break
-            if len(text := page.text(i)) >= LEAST_TEXT:
-                texts.append(text)
-                size += len(text)
-        if texts:
-            return squeezed("\n\n".join(texts))
-    return page.text(page.body())
-
-
-def sections(page: Page, limits: Limits = LIMITS) -> list[dict]:
-    """Titles and bodies; lists that come after the limit of characters, or lie in others beyond it, aren't read."""
-    out, size = [], 0
-    for part in page.select(".information_list"):
-        if size >= limits.text:
-            break
-        title = squeezed(next((page.raw_text(t) for t in page.select(".title", part)), ""))
-        items = page.select(".dot_list", part)
-        texts, length = [], 0
-        for i in items:
-            if length >= limits.text:
-                break
-            texts.append(page.text(i) + "\n")
-            length += len(texts[-1])
-        body = squeezed("".join(texts)) if items else page.text(part)
-        size += length + len(body) + len(items)
-        if title and body:
-            out.append({"title": title, "body": body})
-    return out
-
-
 def names_beside(page: Page) -> list[int]:
     """By node: the file's name that stands nearest, in the first of its ancestors of a kind of row that has one; else -1."""
     names, out = [i for i in page.select(".file_bg") if page.nodes[i].name == "a"], []
@@ -327,72 +300,6 @@ def private(host: str) -> bool:
     return host == "localhost" or host.endswith(".local") or re.match(r"127\.|10\.|192\.168\.|169\.254\.", host) is not None or (m is not None and 16 <= int(m[1]) <= 31)
 
 
-def attachments(page: Page, url: str, limits: Limits = LIMITS) -> list[dict]:
-    found: dict[str, str] = {}
-    beside = names_beside(page)
-    for i in page.select("a"):
-        if len(found) >= limits.files:
-            break
-        a = page.nodes[i]
-        href = a.attributes.get("href", "").strip()
-        if not href or href[0] == "#" or href.lower().startswith("javascript:"):
-            continue
-        text, title = squeezed(page.raw_text(i)), squeezed(a.attributes.get("title", ""))
-        no_text, no_title = not text or GENERIC_TEXT.match(text), not title or GENERIC_TITLE.match(title)
-        label = title if no_text and not no_title else text or title or ATTACHMENT
-        if no_text and no_title and beside[page.parents[i]] >= 0:  # the name may stand beside the button
-            label = squeezed(page.raw_text(beside[page.parents[i]])) or label
-        label = squeezed(re.sub(r"(?:\s*(?:다운로드|바로보기|내려받기))+$", "", re.sub(rf"^\[?{ATTACHMENT}\]?\s*", "", label))) or ATTACHMENT
-        if "download" not in a.attributes and not FILE_NAME.search(href) and not FILE_WORD.search(f"{href} {label}"):
-            continue
-        try:
-            whole = urljoin(url or "", href)
-            parts = urlsplit(whole)
-        except ValueError:
-            continue
-        if parts.scheme in ("http", "https") and parts.hostname and not (parts.username or parts.password or private(parts.hostname)):
-            found.setdefault(whole, label[: limits.label])
-    return [{"label": label, "url": u} for u, label in found.items()]
-
-
-def numbered_files(shown: Page, url: str, path: str = PROXY_PATH, limits: Limits = LIMITS) -> list[dict]:
-    """Files of a board that names them by numbers in a script call; addresses go through a proxy path."""
-    try:
-        page = parse_qs(urlsplit(url or "").query).get("nttSeqNo", [""])[0].strip()
-    except ValueError:  # no address
-        return []
-    if not re.fullmatch(r"[0-9]{1,20}", page):
-        return []
-    # Calls stand in links within a box of buttons; by link, the innermost of these.
-    box_of, calls, items = [], [], {}
-    for i, node in enumerate(shown.nodes):
-        box_of.append(i if "down_btn" in node.classes else box_of[shown.parents[i]] if i else -1)
-        if node.name == "a" and box_of[i] >= 0 and "fn_download" in node.attributes.get("onclick", "") and box_of[i] != i:
-            calls.append(i)
-        if node.name == "li":
-            items.setdefault(shown.parents[i], []).append(i)
-    named = [i for i in shown.select("a") if "ico_file_" in shown.nodes[i].attributes.get("class", "")]
-    found: dict[tuple, dict] = {}
-    for item in (i for box in shown.select(".down_file") for i in items.get(box, ())):
-        if len(found) >= limits.files:
-            break
-        inside = range(bisect_right(calls, item), bisect_left(calls, shown.ends[item]))
-        call = next((shown.nodes[calls[k]].attributes["onclick"] for k in inside if box_of[calls[k]] > item), "")
-        m = re.search(r"""(?i)fn_download\(\s*['"](\d{1,20})['"]\s*,\s*['"](\d{1,20})['"]\s*,\s*['"][a-z0-9]{1,12}['"]\s*\)""", call)
-        if m and m.groups() not in found:
-            k = bisect_right(named, item)
-            label = re.sub(r"\s+", " ", shown.raw_text(named[k])).strip()[: limits.label] if k < len(named) and named[k] < shown.ends[item] else ""
-            query = urlencode({"nttSeqNo": page, "atchFileNo": m[1], "fileOrd": m[2]})
-            found[m.groups()] = {"label": label or f"{ATTACHMENT} {len(found) + 1}", "url": f"{path}?{query}"}
-    return list(found.values())
-
-
-def empty_shell(page: Page, files: list[dict], iframe: bool, login: bool, app: bool) -> bool:
-    """Whether a page has nothing to read and no sign of why."""
-    there = [".information_list", *SELECTORS["kstartup"], *ALTERNATES]
-    return not (iframe or files or login or app or len(page.text(page.body())) >= LEAST_TEXT or any(len(page.text(i)) >= LEAST_TEXT for s in there for i in page.select(s)))
-
-
 def proxied_file(url: str | None, path: str = PROXY_PATH) -> str | None:
     """A proxied file's address in its one form, or None if it isn't one: the path and three numbers."""
     if not url or not url.startswith(f"{path}?"):
@@ -438,38 +345,61 @@ def proxied_url(url: pd.Series) -> pd.Series:
     return url.map(proxied_file, na_action="ignore")
 
 
-DETAIL = "detail_content string, sections array<struct<title:string,body:string>>, apply_method string, documents string, contact string, attachments array<struct<label:string,url:string>>, reason string"
+def whole_address(page: str | None, href: str) -> str | None:
+    """A link as a whole address of http or https on a public host, else None."""
+    try:
+        whole = urljoin(page or "", href)
+        parts = urlsplit(whole)
+        public = parts.scheme in ("http", "https") and parts.hostname and not (parts.username or parts.password or private(parts.hostname))
+    except ValueError:
+        return None
+    return whole if public else None
+
+
+NODE = [("i", pa.int32()), ("name", pa.string()), ("keys", pa.list_(pa.string())), ("href", pa.string()), ("title", pa.string()), ("onclick", pa.string()), ("download", pa.bool_()),
+        ("parent", pa.int32()), ("end", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("inner", pa.int32()), ("beside", pa.int32()), ("box", pa.int32()), ("size", pa.int64())]
+PIECE = [("text", pa.string()), ("raw", pa.bool_()), ("level", pa.int32())]
+FLAT = "struct<nodes:array<struct<i:int,name:string,keys:array<string>,href:string,title:string,onclick:string,download:boolean,parent:int,end:int,first:int,last:int,inner:int,beside:int,box:int,size:long>>,pieces:array<struct<text:string,raw:boolean,level:int>>,login:boolean,iframe:boolean,app:boolean>"
 
 
-def page_detail(html: str | None, url: str | None, source: str | None, limits: Limits = LIMITS) -> dict:
-    tree = Tree(html or "", limits.depth).root
+def flat_columns(html: str | None, deepest: int) -> tuple[list[list], list[list], tuple[bool, bool, bool]]:
+    """Columns of a page's nodes and pieces, without what isn't shown, and whether the page asks for a password, frames another
+    page, or is an application's."""
+    tree = Tree(html or "", deepest).root
     login = iframe = app = False
     for node in nodes_below(tree):
         login = login or (node.name == "input" and node.attributes.get("type") == "password")
         iframe = iframe or node.name == "iframe"
         app = app or (node.name == "div" and node.attributes.get("id") in ("root", "app", "__next"))
     page = cleared(tree)
-    files = (numbered_files(page, url, limits=limits) if source == "msit" else []) or attachments(page, url, limits)
-    parts = sections(page, limits) if source == "kstartup" else []
-    mapped = {k: next((p["body"] for p in parts if t in p["title"]), None) for k, t in MAPPED_SECTIONS.items()}
-    text = "\n\n".join(f"{p['title']}\n{p['body']}" for p in parts) or main_text(page, SELECTORS.get(source, ["main", "article"]), limits)
-    reason = None
-    if len(text) < LEAST_TEXT:
-        reason = "empty_shell_200" if source == "kstartup" and empty_shell(page, files, iframe, login, app) else "본문 없음"
-    return {"detail_content": text[: limits.text], "sections": parts, **mapped, "attachments": files, "reason": reason}
-
-
-def parse_pages(pages: DataFrame, source: Column | None = None, limits: Limits = LIMITS) -> DataFrame:
-    """``pages`` (url, html, ...) with a struct ``detail`` and ``detail_content_hash``. ``html`` may be bytes; a column
-    ``content_type`` then may name their charset. Pages that aren't HTML, and null ones, have no text and a reason."""
-    names = ["detail_content", "sections", "apply_method", "documents", "contact", "attachments", "reason"]
-
-    def details(html: pd.Series, url: pd.Series, source: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([page_detail(*row, limits) for row in zip(html, url, source, strict=True)], columns=names)
-
-    html = F.col("html")
-    if dict(pages.dtypes)["html"] == "binary":
-        html = decoded_html(html, F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string"))
-    parsed = pages.withColumn("detail", F.pandas_udf(details, DETAIL)(html, "url", source if source is not None else F.lit(None).cast("string")))
-    hashed = [F.col(f"detail.{c}") for c in ("detail_content", "apply_method", "documents", "contact", "attachments")]
-    return parsed.withColumn("detail_content_hash", F.sha2(F.to_json(F.struct(*hashed), {"ignoreNullFields": "false"}), 256))
+    told = lambda name: [n.attributes.get(name, "") for n in page.nodes]
+    box: list[int] = []
+    for i, node in enumerate(page.nodes):
+        box.append(i if "down_btn" in node.classes else box[page.parents[i]] if i else -1)
+    characters = [0]
+    for piece in page.pieces:
+        characters.append(characters[-1] + len(piece))
+    first, last = zip(*page.pieces_of)
+    size = [characters[b] - characters[a] + end - i for i, (a, b, end) in enumerate(zip(first, last, page.ends))]
+    count = range(len(page.nodes))
+    nodes = [list(count), [n.name for n in page.nodes], [keys_of(n) for n in page.nodes], [h.strip() for h in told("href")], told("title"), told("onclick"), ["download" in n.attributes for n in page.nodes],
+             page.parents, page.ends, list(first), list(last), page.inner, names_beside(page), box, size]
+    return nodes, [page.pieces, page.raw, page.level], (login, iframe, app)
+
+
+def flat_pages(deepest: int = LIMITS.depth):
+    """A UDF from a page's HTML to its flat form."""
+
+    @F.arrow_udf(FLAT)
+    def flat(html: pa.Array) -> pa.Array:
+        pages = [flat_columns(h, deepest) for h in html.to_pylist()]
+
+        def lists(part: int, kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
+            offsets = pa.array([0, *accumulate(len(p[part][0]) for p in pages)], pa.int32())
+            columns = [pa.array([x for p in pages for x in p[part][k]], kind) for k, (_, kind) in enumerate(kinds)]
+            return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=[pa.field(n, k) for n, k in kinds]))
+
+        signs = [pa.array([p[2][k] for p in pages], pa.bool_()) for k in range(3)]
+        return pa.StructArray.from_arrays([lists(0, NODE), lists(1, PIECE), *signs], names=["nodes", "pieces", "login", "iframe", "app"])
+
+    return flat

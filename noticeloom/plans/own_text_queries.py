@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text
 from noticeloom.functions import values as V
-from noticeloom.operators import html, lines, listing, recommend, region
+from noticeloom.operators import lines, listing, page_rules, recommend, region
 from noticeloom.plans.bridge import NOTICES, TODAY, now, table
 from noticeloom.plans.payload_queries import quoted
 from noticeloom.plans.register import query
@@ -231,7 +231,7 @@ def page_contents(spark, sf_dir):
     own = F.trim(F.regexp_replace("html", "[^A-Za-z]+", " "))
     page = F.replace(with_id(in_turn([p[1] for p in OF_PAGE], "page_id"), "page_id"), F.lit("§"), F.col("own"))
     made = table(spark, sf_dir, "pages").select("page_id", own.alias("own")).select("page_id", page.alias("html"), F.lit("https://h.kr/view.do?nttSeqNo=77").alias("url"))
-    parsed = html.parse_pages(made, in_turn([p[0] for p in OF_PAGE], "page_id")).select("page_id", "detail.*", F.col("detail_content_hash").alias("detail_hash"))
+    parsed = page_rules.parse_pages(made, in_turn([p[0] for p in OF_PAGE], "page_id")).select("page_id", "detail.*", F.col("detail_content_hash").alias("detail_hash"))
     files = F.array_join(F.transform("attachments", lambda a: F.concat_ws("|", a["label"], a["url"])), ";")
     return parsed.select("page_id", "detail_content", "apply_method", "contact", files.alias("files"), "reason", "detail_hash")
 

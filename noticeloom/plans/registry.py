@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import dates, text
 from noticeloom.functions import values as V
-from noticeloom.operators import classify, dedup, html, lines, listing, merge, recommend, region, reports
+from noticeloom.operators import classify, dedup, lines, listing, merge, page_rules, recommend, region, reports
 from noticeloom.operators.listing import FeedParams, ListParams
 from noticeloom.plans import bridge
 from noticeloom.plans.bridge import NOTICES, TODAY, notices, now, table, today
@@ -583,13 +583,13 @@ def page_details(spark, sf_dir):
     """Pages through the five sources' parsers and the general one in turn."""
     codes = F.array(*[F.lit(code) for _, code, _ in V.SOURCES], F.lit(None).cast("string"))
     source = F.get(codes, (F.col("page_id") % 6).cast("int"))
-    parsed = html.parse_pages(table(spark, sf_dir, "pages"), source)
+    parsed = page_rules.parse_pages(table(spark, sf_dir, "pages"), source)
     return parsed.select("page_id", "detail.detail_content", F.size("detail.attachments").alias("files"), "detail.reason", "detail_content_hash")
 
 
 @query()
 def page_lines(spark, sf_dir):
-    parsed = html.parse_pages(table(spark, sf_dir, "pages")).select("page_id", F.col("detail.detail_content").alias("content"))
+    parsed = page_rules.parse_pages(table(spark, sf_dir, "pages")).select("page_id", F.col("detail.detail_content").alias("content"))
     found = lines.text_lines(parsed, "content")
     return found.select("page_id", "place", "kind", "warning", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("line"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text
 from noticeloom.functions import values as V
-from noticeloom.operators import classify, dedup, html, listing, merge, recommend, reports
+from noticeloom.operators import classify, dedup, html, listing, merge, page_rules, recommend, reports
 from noticeloom.operators.listing import ListParams
 from noticeloom.plans import bridge
 from noticeloom.plans.bridge import NOTICES, TODAY, notices, now, table, today
@@ -277,7 +277,7 @@ def page_bytes(spark, sf_dir):
         F.lit("<a href='/d/"), id_, F.lit(".pdf'>file "), id_, F.lit("</a><a href='#x'>up</a></main></body></html>"),
     )
     made = table(spark, sf_dir, "pages").select("page_id", F.lit("https://files.example/").alias("url"), F.encode(page, "UTF-8").alias("html"), F.lit("text/html; charset=UTF-8").alias("content_type"))
-    detail = html.parse_pages(made).select("page_id", "detail.*")
+    detail = page_rules.parse_pages(made).select("page_id", "detail.*")
     files = F.array_join(F.transform("attachments", lambda a: F.concat_ws("|", a["label"], a["url"])), ";")
     # The link's own text stands in the main text as well.
     content = F.regexp_replace("detail_content", r"\n?file \d+up$", "")

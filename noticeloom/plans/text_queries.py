@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text
 from noticeloom.functions import values as V
-from noticeloom.operators import html, lines, region
+from noticeloom.operators import lines, page_rules, region
 from noticeloom.plans.bridge import table
 from noticeloom.plans.register import query
 
@@ -179,6 +179,6 @@ def page_sources(spark, sf_dir):
     """Pages of each source's making: places of the text, sections, emphasis, files of both kinds, empty shells."""
     page = with_id(in_turn([p[1] for p in PAGES], "page_id"), "page_id")
     made = table(spark, sf_dir, "pages").select("page_id", page.alias("html"), F.lit("https://h.kr/view.do?nttSeqNo=77").alias("url"))
-    parsed = html.parse_pages(made, in_turn([p[0] for p in PAGES], "page_id")).select("page_id", "detail.*")
+    parsed = page_rules.parse_pages(made, in_turn([p[0] for p in PAGES], "page_id")).select("page_id", "detail.*")
     files = F.array_join(F.transform("attachments", lambda a: F.concat_ws("|", a["label"], a["url"])), ";")
     return parsed.select("page_id", "detail_content", "apply_method", files.alias("files"), "reason")

@@ -9,9 +9,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.operators.html import BLOCKS, Limits, Page, Tree, attachments, cleared, decode_html, emphasis, is_red, main_text, page_detail, page_has_file, parse_pages, proxied_file, squeezed
+from noticeloom.operators.html import BLOCKS, Limits, Page, Tree, cleared, decode_html, emphasis, is_red, page_has_file, proxied_file, squeezed
 from noticeloom.operators.lines import classify_lines, text_lines
+from noticeloom.operators.page_rules import parse_pages
 from noticeloom.operators.region import RegionInference, infer_region
+from tests.plain_pages import attachments, main_text, page_detail
 
 INFER = RegionInference()
 
@@ -239,3 +241,37 @@ def test_flat_pages_equal_plain_recursion():
             assert page.text(i) == squeezed(plain_text(node))
         for selector, holds in ((".x", lambda n: "x" in n.classes), ("#y", lambda n: n.attributes.get("id") == "y"), ("b", lambda n: n.name == "b")):
             assert page.select(selector) == [i for i, n in enumerate(page.nodes) if i and holds(n)]
+
+
+ROWS = [
+    "<ul class='down_file'><li><a class='x ico_file_hwp'> a  b </a><div class='down_btn'><a onclick=\"fn_download('1','2','hwp')\">받기</a></div></li><li><div class='down_btn'><a onclick=\"fn_download('1','2','hwp')\">again</a></div></li><li><div class='down_btn'><a onclick=\"fn_download('3','4','pdf')\">z</a></div></li></ul>",
+    "<tr><td><a class='file_bg' href='#'> 이름.hwp </a></td><td><a href='/f/1.hwp'>다운로드</a><a href='/f/2' title='제목' download>바로보기</a></td></tr>",
+    "<a href='http://10.0.0.1/a.pdf'>x.pdf</a><a href='http://u:p@h.kr/a.pdf'>x</a><a href=' //h.kr/b.zip '>[첨부파일] 안내 다운로드</a><a href='javascript:x'>f</a><a href='#file'>f</a><a href='http://[bad/a.pdf'>x</a>",
+    "<div class='information_list'><p class='title'>신청방법 및 대상</p><ul><li class='dot_list'>온라인 <b>신청</b></li><li class='dot_list'>방문</li></ul></div><div class='information_list'><p class='title'></p>x</div><div class='information_list'><p class='title'>문의처</p>02</div>",
+    "<div class='board_view'>짧음</div><div class='view_cont'>스무 글자를 넘는 본문이 여기에 있습니다. 그렇습니다.<br>둘<p>셋</p></div><div class='view_cont'>또 하나의 스무 글자를 넘는 본문이 여기에 있습니다.</div>",
+    "<iframe></iframe>", "<input type='password'>", "<div id='app'></div>", "", None, "plain text only", "<body>  <nav>menu</nav>본문 <font color='red'>빨강</font></body>", "<main>" + "긴 글 " * 100_000 + "</main>",
+]
+
+
+def test_rules_equal_a_plain_version(spark):
+    rng = random.Random(21)
+    tags = ["div class='board_view'", "p", "b", "span style='color:red'", "a href='/x/{}.pdf'", "li", "br", "a class='file_bg'", "div class='information_list'", "p class='title'", "li class='dot_list'", "div class='down_btn'", "ul class='down_file'", "main", "article", "a href='/download?i={}' title='다운로드'", "a onclick=\"fn_download('{}','1','hwp')\"", "td", "tr"]
+    made = ["".join(rng.choice([f"<{rng.choice(tags)}>".replace("{}", str(rng.randrange(4))), f"</{rng.choice(['div', 'p', 'a', 'li', 'ul', 'tr'])}>", "글 text ", " ", "\n", "다운로드"]) for _ in range(60)) for _ in range(150)]
+    real = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    sources = ["bizinfo", "kstartup", "mss", "mois", "msit", "other", None]
+    rows = [(n, h, "https://h.kr/a/view.do?nttSeqNo=77", s) for n, (h, s) in enumerate((h, s) for h in [*ROWS, *made[:60], *real[:5]] for s in sources)]
+    rows += [(len(rows) + n, h, u, "msit") for n, (h, u) in enumerate((h, u) for h in made[60:] for u in ("https://h.kr/v?nttSeqNo=x", None, "not an address"))]
+    found = parse_pages(spark.createDataFrame(rows, "n int, html string, url string, source string").repartition(4), F.col("source")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        plain = page_detail(r["html"], r["url"], r["source"])
+        assert r["detail"].asDict(recursive=True) == plain, (r["html"], r["source"])
+
+
+def test_rules_on_large_pages(spark):
+    rows = [(h, "https://h.kr/v?nttSeqNo=7", s) for h in MASSES.values() for s in ("bizinfo", "kstartup", "msit")]
+    began = time.time()
+    found = parse_pages(spark.createDataFrame(rows, "html string, url string, source string").repartition(len(rows)), F.col("source"))
+    sizes = found.select(F.length("detail.detail_content"), F.size("detail.attachments")).collect()
+    assert len(sizes) == len(rows) and all(a <= 200_000 and b <= 50 for a, b in sizes)
+    assert time.time() - began < 240
