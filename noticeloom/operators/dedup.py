@@ -68,9 +68,11 @@ def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=
     # Lengths of similar titles lie in the same band of a geometric scale, or in neighbouring ones.
     band = F.floor(F.log("n") / F.log(F.lit((2 - threshold) / threshold))).cast("int")
     prefix = written(prefix.withColumn("band", band), "title-prefixes")
-    other = prefix.where("theirs = 1").select(F.col("key").alias("k_key"), "digits", "band", "bigram", F.col("n").alias("k_n"))
-    near = prefix.where("own = 1").select("key", "n", "digits", "bigram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    fits = 2 * F.least("n", "k_n") >= (F.col("n") + F.col("k_n")) * threshold
+    other = prefix.where("theirs = 1").select(F.col("key").alias("k_key"), "digits", "band", "bigram", F.col("n").alias("k_n"), F.col("place").alias("k_place"))
+    near = prefix.where("own = 1").select("key", "n", "place", "digits", "bigram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    # At the first bigram of the order that both have, what follows it in either bounds what they share; pairs that meet at a late one go.
+    needed = (F.col("n") + F.col("k_n")) * threshold - 1e-9
+    fits = (2 * F.least("n", "k_n") >= needed) & (2 * (1 + F.least(F.col("n") - F.col("place"), F.col("k_n") - F.col("k_place"))) >= needed)
     pairs = near.join(other, ["digits", "band", "bigram"]).where(fits).select("key", "k_key").distinct()
     theirs = titles.select(F.col("key").alias("k_key"), F.col("canonical").alias("k_title"), F.col("grams").alias("k_grams"))
     pairs = pairs.join(titles.select("key", "canonical", "grams"), "key").join(theirs, "k_key")

@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.functions.values import ATTACHMENT
-
 # Places of the text in the sources' pages, and words of their file links.
 SELECTORS = {
     "bizinfo": [".board_view", ".view_cont", ".view-content", "#contents", "main"],
