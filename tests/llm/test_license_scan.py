@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticeloom.llm.license_scan import LicenseScanner, SuffixAutomaton, license_scan, op2_license_scan, word_runs
 from noticeloom.llm.license_templates import BASE_PHRASES, TEMPLATES
@@ -181,3 +182,11 @@ def test_query_on_whole_texts(spark):
         n, places, labels = brute_places(documents[r["doc_id"]])
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (n, len(places), ",".join(sorted(labels)))
         assert 0 <= r["score"] <= 1
+
+
+def test_clashing_names(spark):
+    """Input columns of the result's names are replaced, others of any name stay."""
+    df = spark.createDataFrame([(1, "under the mit license", "x", 9, "y"), (2, None, None, None, None)], "doc_id bigint, text string, labels string, `n.words` int, row string").withColumn("score", F.lit("old"))
+    rows = {r["doc_id"]: r for r in license_scan(df).collect()}
+    assert rows[1]["labels"] == "mit" and rows[1]["score"] == 1.0 and rows[1]["n.words"] == 9 and rows[1]["row"] == "y"
+    assert rows[2]["labels"] == "" and rows[2]["score"] == 0.0 and rows[2]["n_words"] == 0

@@ -3,6 +3,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from noticeloom.llm.common import scratch_path
 from noticeloom.llm.warc import BadArchive, archive, parse, prepare, read_archives, record_bytes, records, write_archives
@@ -85,3 +86,13 @@ def test_no_pages(spark):
     folder = scratch_path(spark, "test-warc-empty")
     write_archives(prepare(pages), folder)
     assert read_archives(spark, folder).count() == 0
+
+
+def test_clashing_names(spark, tmp_path):
+    """Columns of the archives' own names in the table of pages do no harm."""
+    html = "<p>long enough to be a payload that others can revisit</p>" * 3
+    pages = spark.createDataFrame([(1, "https://a/1", html, "x", "y"), (2, "https://a/2", html, "x", "y"), (3, None, None, None, None)], "page_id bigint, url string, html string, payload string, first string").withColumn("digest", F.lit(7))
+    write_archives(prepare(pages), f"file://{tmp_path}")
+    rows = {r["record_id"][-1]: r for r in read_archives(spark, f"file://{tmp_path}").collect()}
+    assert {k: r["record_type"] for k, r in rows.items()} == {"1": "response", "2": "revisit", "3": "response"}
+    assert bytes(rows["1"]["payload"]) == html.encode() and rows["2"]["payload"] is None
