@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeloom.llm.common import table
-from noticeloom.llm.license_templates import BASE_PHRASES, TEMPLATES
+from noticeloom.llm.license_templates import BASE_PHRASES, QUERY_PHRASES, TEMPLATES
 
 #: Lower-cases A-Z and makes a space of every byte that is in no word.
 SPLITTER = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -276,4 +276,4 @@ def license_scan(
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan(documents, keep_text=False).drop("spans")
+    return license_scan(documents, phrases=QUERY_PHRASES, keep_text=False).drop("spans")

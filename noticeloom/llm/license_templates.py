@@ -1,6 +1,8 @@
 """Texts of public software and content licences, and their short notices."""
 
 BASE_PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Those that the registered query counts, as its contract words them.
+QUERY_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 TEMPLATES = [
     (

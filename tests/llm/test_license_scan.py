@@ -190,3 +190,12 @@ def test_clashing_names(spark):
     rows = {r["doc_id"]: r for r in license_scan(df).collect()}
     assert rows[1]["labels"] == "mit" and rows[1]["score"] == 1.0 and rows[1]["n.words"] == 9 and rows[1]["row"] == "y"
     assert rows[2]["labels"] == "" and rows[2]["score"] == 0.0 and rows[2]["n_words"] == 0
+
+
+def test_query_counts_the_phrases_of_its_contract(spark, tmp_path):
+    """The phrase of the MIT license begins with 'under', and without it doesn't count."""
+    texts = ["x Released under the MIT License y", "the mit license", "Apache License, Version 2.0 under the mit license under the MIT-license cc by nc", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op2_license_scan(spark, str(tmp_path)).collect()}
+    told = lambda r: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])
+    assert [told(rows[i]) for i in range(4)] == [(7, 1, 2, 2, "mit"), (3, 0, None, None, ""), (16, 4, 0, 13, "apache-2,cc-by-nc,mit"), (0, 0, None, None, "")]
