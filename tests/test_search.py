@@ -131,3 +131,25 @@ def test_searches_of_nothing(spark):
     queries = table(spark, [(1, "word")], "query", "text")
     assert search.alike(search.trigram_index(none), queries).collect() == []
     assert search.ranked(search.ranked_index(none, "id", ["title"]), queries).collect() == []
+
+
+@pytest.mark.parametrize(("threshold", "k"), [(0.3, None), (0.5, 3), (1.0, None), (0.05, 2)])
+def test_many_queries_equal_brute_force(spark, monkeypatch, threshold, k):
+    """More queries than few are compared by blocks, however small these are; no inverted list is read for them."""
+    monkeypatch.setattr(search.blocks, "RIGHT", 40)
+    rng = random.Random(3)
+    rows, queries = titles(rng, 150), [*titles(rng, 30), (99, "!!")]
+    index = search.trigram_index(table(spark, rows))
+    unread = search.TrigramIndex(index.postings.limit(0), index.texts, index.counts.limit(0))
+    assert {tuple(r) for r in search.alike(unread, table(spark, queries, "query", "text"), threshold, k, few=5).collect()} == plain_alike(rows, queries, threshold, k)
+
+
+@pytest.mark.parametrize("k", [1, 7, 200])
+def test_many_ranked_queries_equal_few(spark, monkeypatch, k):
+    """The same rows, of which a block hands on no more than k for each query."""
+    monkeypatch.setattr(search.blocks, "RIGHT", 5)
+    rng = random.Random(5)
+    rows, queries = titles(rng, 200), [*titles(rng, 30), (50, "notice notice absent"), (51, ""), (52, "absent")]
+    index = search.ranked_index(table(spark, rows), "id", ["title"], block_texts=16)
+    asked = table(spark, queries, "query", "text")
+    assert sorted(search.ranked(index, asked, k, few=5).collect()) == sorted(search.ranked(index, asked, k).collect())
