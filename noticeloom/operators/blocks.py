@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What one block may hold, in entries (a row's trigrams, a list's places) of either side.
-LEFT, RIGHT = 2_000_000, 2_000_000
+LEFT, RIGHT = 4_000_000, 4_000_000
 
 
 def compared(left: DataFrame, right: DataFrame, by: tuple[str, str], entries: tuple[str, str], work: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType, keys: list[str] = ()) -> DataFrame:
@@ -24,7 +24,8 @@ def compared(left: DataFrame, right: DataFrame, by: tuple[str, str], entries: tu
     blocks as their numbers of ``entries`` (SQL) ask for."""
     least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = [df.agg(F.sum(F.expr(e))).first()[0] or 0 for df, e in ((left, entries[0]), (right, entries[1]))]
-    parts, blocks = max(least, -(-sums[0] // LEFT)), max(1, -(-sums[1] // RIGHT))
+    blocks = max(1, -(-sums[1] // RIGHT))
+    parts = max(1, -(-sums[0] // LEFT), -(-least // blocks))  # a group for each task at least
     dealt = lambda df, c, name, n: df.withColumn(name, F.pmod(F.xxhash64(c), F.lit(n)).cast("int"))
     every = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     one = every(dealt(left, by[0], "_part", parts), "_block", blocks)

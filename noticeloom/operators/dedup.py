@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeloom.functions import dates
 from noticeloom.functions.scratch import written
-from noticeloom.functions.text import bigrams, dedup_title, dice_of, digit_signature, view_title
+from noticeloom.functions.text import bigrams, dedup_title, digit_signature, view_title
 from noticeloom.functions.values import FUZZY_DICE, MIN_CANONICAL
+from noticeloom.operators import blocks
+
+
+#: Stands for an end that isn't known.
+NO_DAY = -(1 << 31)
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -39,13 +49,71 @@ def exact_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=dedu
     return keyed(candidates.select("id", "title"), canonical).join(known, "canonical", "left_semi").select("id", F.lit("exact").alias("how"))
 
 
+def _count_out(threshold: float, schema: T.StructType):
+    """Titles (key, digits, grams) of two blocks, the preferred (with ends, open) and those that may repeat them: of the latter those that
+    score the threshold with any, with each end of these once (null where one is open)."""
+
+    def work(theirs: pa.Table, own: pa.Table) -> pa.Table:
+        if not theirs.num_rows or not own.num_rows:
+            return blocks.empty(schema)
+        (k_grams, k_starts), (grams, starts) = blocks.flat(theirs, "grams"), blocks.flat(own, "grams")
+        k_values, values = blocks.numbers(k_grams, grams)
+        k_digits, digits = blocks.numbers(theirs["digits"].combine_chunks(), own["digits"].combine_chunks())
+        # Bigrams by their number in this block, the rarest first; each title's in this order.
+        rank = np.argsort(np.argsort(np.bincount(np.concatenate([k_values, values])), kind="stable"))
+        sizes = np.diff(k_starts)
+        k_values, values = rank[k_values], rank[values]
+        k_values = k_values[np.lexsort((k_values, np.repeat(np.arange(len(sizes)), sizes)))]
+        every = np.zeros(len(rank), dtype=bool)
+        days, day_starts = blocks.flat(theirs, "ends")
+        days, open_ = days.to_numpy(zero_copy_only=False).astype(np.int64), theirs["open"].to_numpy()
+        least = threshold / (2 - threshold) - 1e-9
+        kept = sizes - np.ceil(sizes * least).astype(np.int64) + 1
+        within = np.arange(len(k_values)) - np.repeat(k_starts[:-1], sizes)
+        heads = within < np.repeat(kept, sizes)
+        head_starts = np.concatenate([[0], np.cumsum(np.minimum(kept, sizes))])
+        lists = blocks.Lists(k_values[heads], head_starts, len(rank))
+        out = []
+        for i in range(own.num_rows):
+            mine = np.sort(values[starts[i] : starts[i + 1]])
+            n = len(mine)
+            met = np.flatnonzero(np.bincount(lists.rows[lists.of(mine[: n - math.ceil(n * least) + 1])], minlength=len(sizes)))
+            near = (k_digits[met] == digits[i]) & (2 * np.minimum(sizes[met], n) >= threshold * (sizes[met] + n) - 1e-9)
+            met = met[near]
+            if not len(met):
+                continue
+            every[mine] = True
+            ends = np.cumsum(sizes[met])
+            places = np.arange(ends[-1]) + np.repeat(k_starts[met] - ends + sizes[met], sizes[met])
+            common = np.add.reduceat(every[k_values[places]].astype(np.int64), ends - sizes[met])
+            every[mine] = False
+            met = met[2.0 * common / (sizes[met] + n) >= threshold]
+            if len(met):
+                found = np.unique(np.concatenate([days[day_starts[k] : day_starts[k + 1]] for k in met] + [[NO_DAY] * bool(open_[met].any())]).astype(np.int64))
+                out.append((np.full(len(found), i), found))
+        if not out:
+            return blocks.empty(schema)
+        i, found = map(np.concatenate, zip(*out))
+        return pa.table({"key": own["key"].take(i), "end": pa.array(found, pa.int32(), mask=found == NO_DAY)})
+
+    return work
+
+
+def _ends_of_similar(titles: DataFrame, threshold: float) -> DataFrame:
+    """(key, end as a day's number) of own titles and the ends of their titles like these, with repetitions."""
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("end", T.IntegerType())])
+    theirs, own = titles.where("theirs = 1").select("key", "digits", "grams", "ends", "open"), titles.where("own = 1").select("key", "digits", "grams")
+    return blocks.compared(theirs, own, ("key", "key"), ("size(grams)", "size(grams)"), _count_out(threshold, schema), schema)
+
+
 def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=dedup_title, threshold: float = FUZZY_DICE) -> DataFrame:
     """Ids of ``candidates`` (id, title, apply_end) that repeat a title of ``preferred`` (title, apply_end): exactly,
     whatever the deadlines, or with a bigram similarity of at least ``threshold``, the same digit runs, and deadlines that
     don't differ. Titles under ten kept characters repeat nothing. ``how`` tells which.
 
-    The similar ones are sought by prefix filtering: titles that score t share t / (2 - t) of either one's bigrams, so they
-    share one of the rarest of each, and only titles with the same digit runs and such a bigram are compared.
+    The similar ones are compared by blocks of bounded size of either side, so that pairs aren't shuffled. Titles that score t
+    share t / (2 - t) of either one's bigrams, so they share one of the rarest of each and have like lengths; within a block only titles
+    with the same digit runs and such a bigram are counted out.
     """
 
     left = keyed(candidates.select("id", "title", "apply_end"), canonical)
@@ -53,34 +121,15 @@ def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=
     exact = exact_duplicates(candidates, preferred, canonical)
     rest = left.join(exact.select("id"), "id", "left_anti").select("id", "canonical", "apply_end")
     # Titles go by a digest, so that a row per bigram doesn't carry the title.
-    titles = rest.select("canonical", F.lit(1).alias("own")).unionByName(known.select("canonical", F.lit(0).alias("own")))
-    titles = titles.groupBy("canonical").agg(F.max("own").alias("own"), F.min("own").alias("theirs"))
-    titles = titles.select(F.md5(F.col("canonical").cast("binary")).alias("key"), "canonical", "own", (1 - F.col("theirs")).alias("theirs"), (F.length("canonical") - 1).alias("n"), digit_signature(F.col("canonical")).alias("digits"), bigrams(F.col("canonical")).alias("grams"))
+    titles = rest.select("canonical", F.lit(1).alias("own"), F.lit(None).cast("date").alias("end")).unionByName(known.select("canonical", F.lit(0).alias("own"), F.col("apply_end").alias("end")))
+    open_ = F.max((F.col("own") == 0) & F.col("end").isNull()).alias("open")
+    titles = titles.groupBy("canonical").agg(F.max("own").alias("own"), F.min("own").alias("theirs"), F.collect_set(F.unix_date("end")).alias("ends"), open_)
+    titles = titles.select(F.md5(F.col("canonical").cast("binary")).alias("key"), "canonical", "own", (1 - F.col("theirs")).alias("theirs"), "ends", "open", digit_signature(F.col("canonical")).alias("digits"), bigrams(F.col("canonical")).alias("grams"))
     titles = written(titles, "titles")  # or digits and bigrams would be sought again for each pair
-    parts = titles.select("key", "own", "theirs", "n", "digits", F.explode("grams").alias("bigram"))
-    common = parts.groupBy("digits", "bigram").agg(F.count(F.lit(1)).alias("titles")).where("titles > 1")
-    each = Window.partitionBy("key")
-    # A bigram that no other title has comes first in the order and joins nothing: it only takes its place.
-    lone = F.col("n") - F.count(F.lit(1)).over(each)
-    place = F.row_number().over(each.orderBy("titles", "bigram")) + lone
-    least = F.ceil(F.col("n") * F.lit(threshold / (2 - threshold)))
-    prefix = parts.join(common, ["digits", "bigram"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1)
-    # Lengths of similar titles lie in the same band of a geometric scale, or in neighbouring ones.
-    band = F.floor(F.log("n") / F.log(F.lit((2 - threshold) / threshold))).cast("int")
-    prefix = written(prefix.withColumn("band", band), "title-prefixes")
-    other = prefix.where("theirs = 1").select(F.col("key").alias("k_key"), "digits", "band", "bigram", F.col("n").alias("k_n"), F.col("place").alias("k_place"))
-    near = prefix.where("own = 1").select("key", "n", "place", "digits", "bigram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    # At the first bigram of the order that both have, what follows it in either bounds what they share; pairs that meet at a late one go.
-    needed = (F.col("n") + F.col("k_n")) * threshold - 1e-9
-    fits = (2 * F.least("n", "k_n") >= needed) & (2 * (1 + F.least(F.col("n") - F.col("place"), F.col("k_n") - F.col("k_place"))) >= needed)
-    pairs = near.join(other, ["digits", "band", "bigram"]).where(fits).select("key", "k_key").distinct()
-    theirs = titles.select(F.col("key").alias("k_key"), F.col("canonical").alias("k_title"), F.col("grams").alias("k_grams"))
-    pairs = pairs.join(titles.select("key", "canonical", "grams"), "key").join(theirs, "k_key")
-    score = dice_of(F.col("canonical"), F.col("k_title"), F.col("grams"), F.col("k_grams"))
-    similar = pairs.where(score >= threshold).select("canonical", "k_title")
-    ends = known.select(F.col("canonical").alias("k_title"), F.col("apply_end").alias("k_end"))
-    may = F.col("apply_end").isNull() | F.col("k_end").isNull() | (F.col("apply_end") == F.col("k_end"))
-    found = rest.join(similar, "canonical").join(ends, "k_title").where(may)
+    # By title the ends of all titles like it, and whether one is open, so that a title's notices meet one row.
+    ends = _ends_of_similar(titles, threshold).groupBy("key").agg(F.collect_set(F.date_from_unix_date("end")).alias("ends"), F.max(F.col("end").isNull()).alias("open"))
+    may = F.col("apply_end").isNull() | F.col("open") | F.array_contains("ends", F.col("apply_end"))
+    found = rest.withColumn("key", F.md5(F.col("canonical").cast("binary"))).join(ends, "key").where(may)
     return exact.unionByName(found.select("id", F.lit("similar").alias("how")).distinct())
 
 

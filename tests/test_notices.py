@@ -283,3 +283,18 @@ def test_stream_merges_batches(spark, tmp_path):
     assert run() == {"1": "a", "2": "b"}
     (inbox / "2.txt").write_text("\n".join([item(2, "B"), item(4, "d")]))
     assert run() == {"1": "a", "2": "B", "4": "d"}
+
+
+def test_similar_titles_shuffle_no_pairs(spark, monkeypatch):
+    """Titles that are all alike: what goes on from the blocks grows with titles and their ends, not with pairs."""
+    from noticeloom.operators import dedup
+
+    made, real = [], dedup._ends_of_similar
+    monkeypatch.setattr(dedup, "_ends_of_similar", lambda *a: made.append(real(*a).localCheckpoint()) or made[0])
+    monkeypatch.setattr(dedup.blocks, "LEFT", 100_000)
+    title = lambda c, i: f"a notice of support for every small enterprise in town {c}{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    c = spark.createDataFrame([(i, title("x", i), "2026-01-01" if i % 2 else "2026-02-02") for i in range(200)], "id long, title string, apply_end string").withColumn("apply_end", F.to_date("apply_end"))
+    p = spark.createDataFrame([(title("y", i), "2026-01-01") for i in range(200)], "title string, apply_end string").withColumn("apply_end", F.to_date("apply_end"))
+    found = dedup.preferred_duplicates(c, p).collect()
+    assert sorted(r["id"] for r in found) == list(range(1, 200, 2)) and {r["how"] for r in found} == {"similar"}
+    assert made[0].count() <= 200 * int(spark.conf.get("spark.sql.shuffle.partitions"))
