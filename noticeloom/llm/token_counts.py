@@ -2,9 +2,8 @@
 
 The count at a prefix is the count at the last word boundary before it plus the count of the cut word, so one pass over a
 text gives the exact token count of every prefix, and truncation or budget questions become searches in that array
-instead of new encodings. A whole word takes one encoding. Counts inside a word are computed where they are asked for: in
-the one word in which a budget is crossed, or in all by ``prefix_counts``; in long words by a pass that is linear in the
-word's length.
+instead of new encodings. The counts inside a word are computed once a word and kept for short ones; in long words by a pass that is
+linear in the word's length. ``token_counts`` reads its answers off the array run by run; ``prefix_counts`` gives it whole.
 """
 
 from __future__ import annotations
@@ -189,12 +188,6 @@ class PrefixCounter:
             self.tables[word] = found
         return found
 
-    def longest(self, word: str, most: int) -> int:
-        """The characters of the longest prefix of a word (with white space before it) with at most so many tokens."""
-        bare = word.lstrip(BLANK)
-        within = np.flatnonzero(self.inside(bare[: most * self.prefixer.longest]) <= most)  # no more can fit
-        return len(word) - len(bare) + (int(within[-1]) + 1 if len(within) else 0)
-
     def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and "<|" not in text:
             return WORDS.findall(text.lower())
@@ -227,27 +220,15 @@ class PrefixCounter:
             before += int(whole[-1])
 
     def answer(self, text: str, budgets: tuple[int, ...]) -> tuple[int, list[int]]:
-        """The text's count, and for each budget the number of characters of the longest prefix within it."""
-        total, chars, fit, known = 0, 0, [0] * len(budgets), self.counts
-        for run in runs(text):
-            words = self.words(run)
-            if not words:
-                continue
-            found = ((n if (n := known.get(w)) is not None else self.count(w)) for w in words)
-            after = np.cumsum(np.fromiter(found, dtype=np.int64, count=len(words))) + total
-            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            size = int(lengths.sum())
+        """The text's count, and for each budget the number of characters of the longest prefix within it, both read off the
+        counts of all prefixes, which don't fall from word to word but may within one."""
+        total, chars, fit = 0, 0, [0] * len(budgets)
+        for counts in self.prefixes(text):
             for i, budget in enumerate(budgets):
-                if fit[i] < chars:
-                    continue
-                if after[-1] <= budget:
-                    fit[i] = chars + size
-                    continue
-                # Counts don't fall from word to word, so the last word that starts within the budget has the prefix.
-                word = int(np.searchsorted(after, budget, side="right"))
-                base = int(after[word - 1]) if word else total
-                fit[i] = chars + int(lengths[:word].sum()) + self.longest(words[word], budget - base)
-            total, chars = int(after[-1]), chars + size
+                within = np.flatnonzero(counts <= budget) if fit[i] == chars else ()
+                if len(within):
+                    fit[i] = chars + int(within[-1]) + 1
+            total, chars = int(counts[-1]), chars + len(counts)
         return total, fit
 
 

@@ -205,3 +205,10 @@ def test_packing_query(spark):
         ends = [0, *[o + n for o, n in sorted(pieces)]]
         assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
     assert len(sequences) <= -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+def test_answers_are_read_off_the_counts_of_all_prefixes(monkeypatch):
+    """No word is counted by itself beside them; an array that is wrong gives wrong answers."""
+    c = PrefixCounter(WORD)
+    monkeypatch.setattr(c, "prefixes", lambda text: iter([np.array([1, 1, 2]), np.array([4, 3, 5])]))
+    assert c.answer("any text", (0, 1, 3, 5)) == (5, [0, 2, 5, 6])
