@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) +
 # Characters and marks that are cleared or recognised.
 EMOJI = r"[\x{1F000}-\x{10FFFF}]|[\x{2600}-\x{27BF}]\x{FE0F}?|\x{FE0F}|\x{200D}"
 BRACKETS = r"[\[\]()〈〉<>「」『』【】]"
+#: Texts that are folded at once.
+NFKC_TEXTS = 256
 EMPHASIS = r"\[\[/?(?:em|b)\]\]"
 
 
@@ -130,9 +133,12 @@ def strip_emphasis(c: Column) -> Column:
 # -- titles ----------------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+@F.arrow_udf(T.StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Few texts at a time, so that memory follows these and not the batch."""
+    for batch in batches:
+        for start in range(0, len(batch), NFKC_TEXTS):
+            yield pa.array([s if s is None or s.isascii() else unicodedata.normalize("NFKC", s) for s in batch.slice(start, NFKC_TEXTS).to_pylist()], pa.string())
 
 
 def hash_form(c: Column) -> Column:

@@ -111,3 +111,17 @@ def test_clearing_equals_plain_rules(spark):
     trailing = values(spark, text.strip_question_marks, [f"x{v}" for v in given_values])
     assert trailing == [re.sub(rf"[?{text.BLANKS}]+$", "", f"x{v}") if v.endswith("?") else f"x{v}" for v in given_values]
     assert values(spark, text.trimmed, given_values) == [v.strip(text.BLANKS) for v in given_values]
+
+
+def test_lines_and_folded_texts_are_held_a_few_at_a_time():
+    """A batch of many or long texts is given back in slices that don't grow with it."""
+    import pyarrow as pa
+
+    from noticeloom.operators import lines
+
+    texts = pa.array(["one\n- two"] * 3000 + [None, "", "x" * 2_000_000, "three"])
+    parts = list(lines._lines(iter([pa.concat_arrays([texts] * 40)])))
+    assert len(parts) > 40 and sum(map(len, parts)) == 40 * len(texts)
+    assert [[line["kind"] for line in told or []] for told in parts[0].slice(0, 1).to_pylist()] == [["heading", "bullet"]]
+    folded = list(text.nfkc.func(iter([texts])))
+    assert max(map(len, folded)) <= text.NFKC_TEXTS and pa.concat_arrays(folded).equals(texts)
