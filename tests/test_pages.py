@@ -275,3 +275,15 @@ def test_rules_on_large_pages(spark):
     sizes = found.select(F.length("detail.detail_content"), F.size("detail.attachments")).collect()
     assert len(sizes) == len(rows) and all(a <= 200_000 and b <= 50 for a, b in sizes)
     assert time.time() - began < 240
+
+
+def test_pages_are_held_a_few_at_a_time(spark):
+    """A batch of pages is given back in slices that don't grow with it."""
+    import pyarrow as pa
+
+    from noticeloom.operators import html, lines
+
+    pages = pa.array([f"<main><p>page {i}</p>{'text ' * 20_000}</main>" for i in range(60)] + [None])
+    parts = list(html.flat_pages().func(iter([pages])))
+    assert len(parts) >= 5 and sum(map(len, parts)) == len(pages)
+    assert max(map(len, parts)) * 100_000 <= lines.HELD
