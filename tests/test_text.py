@@ -7,10 +7,12 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from noticeloom.functions import dates, text
+from noticeloom.operators import region
 
 
 def values(spark, function, given_values, kind="string"):
@@ -125,3 +127,13 @@ def test_lines_and_folded_texts_are_held_a_few_at_a_time():
     assert [[line["kind"] for line in told or []] for told in parts[0].slice(0, 1).to_pylist()] == [["heading", "bullet"]]
     folded = list(text.nfkc.func(iter([texts])))
     assert max(map(len, folded)) <= text.NFKC_TEXTS and pa.concat_arrays(folded).equals(texts)
+
+
+def test_rows_of_equal_texts_are_told_once(monkeypatch):
+    told = []
+    plain = region.RegionInference.infer
+    monkeypatch.setattr(region.RegionInference, "infer", lambda self, *texts: told.append(texts) or plain(self, *texts))
+    none = pa.nulls(900, pa.string())
+    (found,) = region._infer(iter([(pa.array(["[서울] a", "구로구로구 군위군위군", None] * 300), none, none, none)]))
+    assert len(told) == 3 and [f["region"] for f in found.to_pylist()] == ["서울", "미확인", "미확인"] * 300
+    assert [(p.start, p.end, p.region) for p in region.Gazetteer().places("구로구로구 군위군위군")] == [(0, 3, "서울"), (6, 9, "대구")]
