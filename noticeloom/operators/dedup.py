@@ -126,6 +126,9 @@ def preferred_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=
     titles = titles.groupBy("canonical").agg(F.max("own").alias("own"), F.min("own").alias("theirs"), F.collect_set(F.unix_date("end")).alias("ends"), open_)
     titles = titles.select(F.md5(F.col("canonical").cast("binary")).alias("key"), "canonical", "own", (1 - F.col("theirs")).alias("theirs"), "ends", "open", digit_signature(F.col("canonical")).alias("digits"), bigrams(F.col("canonical")).alias("grams"))
     titles = written(titles, "titles")  # or digits and bigrams would be sought again for each pair
+    # Similar titles have the same digits, so those whose digits the other side lacks needn't be compared.
+    shared = titles.groupBy("digits").agg(F.max("own").alias("own"), F.max("theirs").alias("theirs")).where("own = 1 and theirs = 1").select("digits")
+    titles = written(titles.join(shared, "digits", "left_semi"), "titles-shared")
     # By title the ends of all titles like it, and whether one is open, so that a title's notices meet one row.
     ends = _ends_of_similar(titles, threshold).groupBy("key").agg(F.collect_set(F.date_from_unix_date("end")).alias("ends"), F.max(F.col("end").isNull()).alias("open"))
     may = F.col("apply_end").isNull() | F.col("open") | F.array_contains("ends", F.col("apply_end"))

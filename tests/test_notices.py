@@ -298,3 +298,17 @@ def test_similar_titles_shuffle_no_pairs(spark, monkeypatch):
     found = dedup.preferred_duplicates(c, p).collect()
     assert sorted(r["id"] for r in found) == list(range(1, 200, 2)) and {r["how"] for r in found} == {"similar"}
     assert made[0].count() <= 200 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_titles_without_common_digits_are_not_compared(spark, monkeypatch):
+    from noticeloom.operators import dedup
+
+    seen = []
+    plain = dedup._ends_of_similar
+    monkeypatch.setattr(dedup, "_ends_of_similar", lambda titles, threshold: seen.append({r["canonical"] for r in titles.collect()}) or plain(titles, threshold))
+    kinds = "id long, title string, apply_end date"
+    mine = spark.createDataFrame([(1, "abcdefghij klmnop 17", None), (2, "abcdefghij klmnop 5", None), (3, "abcdefghij klmnopq", None)], kinds)
+    known = spark.createDataFrame([(9, "abcdefghij klmnopq 17", None), (10, "abcdefghij klmnop 6", None)], kinds)
+    found = dedup.preferred_duplicates(mine, known.select("title", "apply_end"))
+    assert [(r.id, r.how) for r in found.collect()] == [(1, "similar")]
+    assert seen == [{"abcdefghijklmnop17", "abcdefghijklmnopq17"}]
