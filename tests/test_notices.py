@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
+import re
+from collections import Counter
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -312,3 +316,54 @@ def test_titles_without_common_digits_are_not_compared(spark, monkeypatch):
     found = dedup.preferred_duplicates(mine, known.select("title", "apply_end"))
     assert [(r.id, r.how) for r in found.collect()] == [(1, "similar")]
     assert seen == [{"abcdefghijklmnop17", "abcdefghijklmnopq17"}]
+
+
+def test_similar_titles_are_sent_to_few_blocks(spark, monkeypatch):
+    """What is shuffled grows with the titles where each length has few of them, not with the number of blocks of all."""
+    from noticeloom.operators import dedup
+
+    def sent(threshold, schema):
+        return lambda theirs, own: pa.table({"key": ["x"], "end": pa.array([theirs.num_rows + own.num_rows], pa.int32())})
+
+    monkeypatch.setattr(dedup, "_count_out", sent)
+    monkeypatch.setattr(dedup.blocks, "LEFT", 50_000)
+    monkeypatch.setattr(dedup.blocks, "RIGHT", 50_000)
+    monkeypatch.setattr(dedup, "_ends_of_similar", lambda *a, f=dedup._ends_of_similar: made.append(f(*a)) or made[0])
+    made = []
+    titles = spark.range(1200).selectExpr("id", "repeat(chr(int(97 + id % 26)), int(12 * exp(id / 200))) AS title", "date '2026-01-01' AS apply_end")
+    mine, known = titles.where("id % 2 = 0"), titles.where("id % 2 = 1")
+    dedup.preferred_duplicates(mine, known.select("title", "apply_end"))
+    assert 0 < sum(r["end"] for r in made[0].collect()) <= 5 * 1200
+
+
+def test_similar_titles_equal_brute_force(spark, monkeypatch):
+    """In blocks of a few titles, compared a few pairs at once; some titles are long, with digits, Hangul or the same bigram often."""
+    from noticeloom.operators import dedup
+
+    for name, n in (("SIDE", 7), ("LEAST_TITLES", 3), ("AT_ONCE", 10), ("COUNTED", 20), ("KINDS", 500)):
+        monkeypatch.setattr(dedup, name, n, raising=False)
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        base = "".join(rng.choice("ab가나" if i % 3 else "abcdefgh가나다라") for _ in range(rng.choice([10, 11, 14, 30, 70, 70, 200, 2000 if i % 9 == 0 else 40]))) + "7" * (i % 2)
+        for _ in range(6):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 8))):
+                edited[rng.randrange(len(edited))] = rng.choice("abx가")
+            rows.append(("".join(edited) + rng.choice(["", "", "z", "zz"]), rng.choice([None, date(2026, 1, 1), date(2026, 2, 2)])))
+    mine, known = rows[::2], rows[1::2]
+
+    def score(a, b):
+        grams = lambda s: Counter(s[k : k + 2] for k in range(len(s) - 1))
+        return 2.0 * (grams(a) & grams(b)).total() / (len(a) + len(b) - 2)
+
+    def how(title, end):
+        if any(title == t for t, _ in known):
+            return "exact"
+        near = (t for t, e in known if (end is None or e is None or end == e) and re.findall(r"\d+", t) == re.findall(r"\d+", title))
+        return "similar" if any(score(title, t) >= dedup.FUZZY_DICE for t in near) else None
+
+    c = spark.createDataFrame([(i, *r) for i, r in enumerate(mine)], "id int, title string, apply_end date")
+    found = {r.id: r.how for r in dedup.preferred_duplicates(c, spark.createDataFrame(known, "title string, apply_end date")).collect()}
+    expected = {i: how(*r) for i, r in enumerate(mine)}
+    assert found == {i: h for i, h in expected.items() if h}
+    assert {"exact", "similar", None} == set(expected.values())
