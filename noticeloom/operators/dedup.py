@@ -57,30 +57,32 @@ def exact_duplicates(candidates: DataFrame, preferred: DataFrame, canonical=dedu
 SIDE, LEAST_GROUPS, LEAST_TITLES, AT_ONCE, COUNTED, KINDS = 1 << 16, 8, 512, 1 << 15, 1 << 20, 1 << 22
 
 
-def _bigrams(titles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bigrams of all titles as numbers, and where each title's begin (and the last one's end)."""
+def _bigrams(titles: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bigrams of all titles as numbers, in order in each title, which occurrence each is, and where each title's begin (and the last one's end)."""
     sizes = pc.utf8_length(titles).to_numpy(zero_copy_only=False).astype(np.int64)
     points = np.frombuffer("".join(titles.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64)
     within = np.ones(len(points), dtype=bool)
     within[np.cumsum(sizes) - 1] = False
-    return (points[:-1] << 21 | points[1:])[within[:-1]], np.concatenate([[0], np.cumsum(sizes - 1)])
+    ordered = np.sort((np.repeat(np.arange(len(sizes)), sizes - 1) << 42) | (points[:-1] << 21 | points[1:])[within[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    occurrence = np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
+    return ordered & (1 << 42) - 1, occurrence, np.concatenate([[0], np.cumsum(sizes - 1)])
 
 
-def _bits(grams: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
-    """By word of 64 bits and title: the bits that an odd number of the title's bigrams hash to. Titles differ in no more bits than bigrams."""
-    place = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - int(math.log2(64 * words)))
-    bit, word = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
-    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), starts[:-1]) for w in range(words)])
+def _bits(titles: pa.Array, words: int) -> np.ndarray:
+    """By word of 64 bits and title: the bits that an odd number of the title's numbered bigrams hash to. Titles differ in no more bits than bigrams."""
+    grams, occurrence, starts = _bigrams(titles)
+    mixed = (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ occurrence.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    place = (mixed >> np.uint64(64 - int(math.log2(64 * words)))).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(titles)) * 64 * words, np.diff(starts)) + place, minlength=len(titles) * 64 * words) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8").reshape(len(titles), words).T.copy()
 
 
 def _numbered(titles: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each title's bigrams with their occurrence numbers, as numbers from 0 on, and where each title's begin."""
-    grams, starts = _bigrams(titles)
+    grams, occurrence, starts = _bigrams(titles)
     (kinds,) = blocks.numbers(pa.array(grams))
-    ordered = np.sort(np.repeat(np.arange(len(titles)), np.diff(starts)) << 32 | kinds)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    occurrence = np.arange(len(ordered)) - np.repeat(first, np.diff(np.append(first, len(ordered))))
-    (numbered,) = blocks.numbers(pa.array((ordered & 0xFFFFFFFF) << 32 | occurrence))
+    (numbered,) = blocks.numbers(pa.array(kinds.astype(np.int64) << 32 | occurrence))
     return numbered, starts
 
 
@@ -124,7 +126,8 @@ def _count_out(threshold: float, schema: T.StructType):
             return blocks.empty(schema)
         digits = blocks.numbers(theirs["digits"].combine_chunks(), own["digits"].combine_chunks())
         sizes = [pc.utf8_length(t["canonical"]).to_numpy().astype(np.int64) - 1 for t in (theirs, own)]
-        words = 1 << max(0, math.ceil(math.log2(min(64, max(1, sizes[0].max() / 32)))))
+        longest = int(sizes[0].max())
+        words = 1 << math.ceil(math.log2(min(256, max(1, longest / (32 if longest < 256 else 16)))))  # long titles are more alike by chance
         sides = []
         for table, d, n in zip((theirs, own), digits, sizes, strict=True):
             kinds = d.astype(np.int64) << 32 | n
@@ -132,7 +135,7 @@ def _count_out(threshold: float, schema: T.StructType):
             table = table.take(pa.array(order)).combine_chunks()
             titles = table["canonical"].combine_chunks()
             step = max(1, blocks.LEFT // (4 * int(n.max())))
-            sides.append((table, titles, kinds[order], np.concatenate([_bits(*_bigrams(titles.slice(k, step)), words) for k in range(0, len(titles), step)], axis=1)))
+            sides.append((table, titles, kinds[order], np.concatenate([_bits(titles.slice(k, step), words) for k in range(0, len(titles), step)], axis=1)))
         (theirs, k_titles, k_kinds, k_bits), (own, titles, kinds, bits) = sides
         days, day_starts = blocks.flat(theirs, "ends")
         days, open_ = days.to_numpy(zero_copy_only=False).astype(np.int64), theirs["open"].to_numpy()
